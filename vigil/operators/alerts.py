@@ -43,7 +43,8 @@ def outbox(merged: DataFrame, channels: list[str]) -> DataFrame:
             F.col("alert.alert_summary").alias("summary"),
             F.col(f"{ctx}.aggregates").alias("aggregates"),
             F.col("alert.alert_samples").alias("samples"),
-        )
+        ),
+        {"ignoreNullFields": "false"},
     )
     is_topic = F.col("channel") == TOPIC_CHANNEL
     return (

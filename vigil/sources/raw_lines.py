@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.text import iso_time
+
 
 def number_lines(text: DataFrame, group: Column | None = None) -> DataFrame:
     """Give lines of a text reader a (file, chunk, line_no) position.
@@ -28,26 +30,36 @@ def read_lines(spark: SparkSession, path: str, group: Column | None = None) -> D
     return number_lines(reader.text(path), group)
 
 
-def document_lines(logs: DataFrame) -> DataFrame:
-    """Log rows written out as lines again: a header line, then the rest of the message.
+def line_text(logs: DataFrame, headed: Column | None = None) -> Column:
+    """A log row written out as text again: time, stream and row number, then the message.
 
-    Rows whose stream is not `en` get no header, so their lines continue the event
-    before them. One file per log group, one chunk per row.
+    Rows that are not `headed` get no header, so their lines continue the event before.
     """
     header = F.concat_ws(
         " ",
-        F.date_format(
-            F.timestamp_add("MILLISECOND", F.col("ts_ms"),
-                            F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")),
-            "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
-        ),
+        iso_time("ts_ms"),
         "log_stream",
+        F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]")),
         "message",
     )
-    body = F.when(F.col("log_stream") == "en", header).otherwise(F.col("message"))
+    return header if headed is None else F.when(headed, header).otherwise(F.col("message"))
+
+
+def document_lines(logs: DataFrame) -> DataFrame:
+    """Document rows as raw lines: one file per log group, one chunk per row.
+
+    Only rows in English start an event.
+    """
     return logs.select(
         "log_group",
         F.col("log_group").alias("file"),
         F.col("doc_id").alias("chunk"),
-        F.posexplode(F.split(body, "\n")).alias("line_no", "line"),
+        F.posexplode(
+            F.split(line_text(logs, F.col("log_stream") == "en"), "\n")
+        ).alias("line_no", "line"),
     )
+
+
+def write_line_files(logs: DataFrame, path: str) -> None:
+    """Document rows as text files below one folder per log group."""
+    logs.select("log_group", line_text(logs).alias("value")).write.partitionBy("log_group").text(path)

@@ -63,6 +63,14 @@ def logs_from_documents(
     return docs.withColumn("id", F.col("doc_id").cast("string"))
 
 
+def all_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and documents as one log table; document ids carry a prefix."""
+    docs = logs_from_documents(spark, sf_dir)
+    columns = ("id", "log_group", "log_stream", "ts_ms", "message")
+    docs = docs.withColumn("id", F.concat(F.lit("d"), "id")).select(*columns)
+    return logs_from_events(spark, sf_dir).select(*columns).unionByName(docs)
+
+
 def day_of(ts_ms: Column | str) -> Column:
     """UTC date of an event, the partition column of stored log tables."""
     return F.to_date(utc_wall_clock(ts_ms))
@@ -134,4 +142,5 @@ def ensure_store(spark: SparkSession, base: str) -> dict[str, str]:
 
 
 def rows_as_json(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+    """Each row as one JSON text, null fields included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
