@@ -54,26 +54,23 @@ def is_usable(v: Column | str) -> Column:
 
 
 def mean_pool(tokens: Column | str, pooling: str = "mean") -> Column:
-    """One vector from the token vectors of a row; empty where there are no tokens."""
+    """One `array<double>` from the token vectors of a row; empty where there are none."""
     tokens = _col(tokens)
+    first = F.element_at(tokens, 1).cast("array<double>")
     if pooling == "first":
-        return F.when(F.size(tokens) > 0, F.element_at(tokens, 1)).otherwise(
-            F.array().cast("array<float>")
-        )
-    positions = F.sequence(F.lit(1), F.size(F.element_at(tokens, 1)))
-    averaged = F.transform(
-        positions,
-        lambda i: (
-            F.aggregate(
+        pooled = first
+    else:
+        pooled = F.transform(
+            F.sequence(F.lit(1), F.size(first)),
+            lambda i: F.aggregate(
                 tokens,
                 F.lit(0.0),
                 lambda total, token: total + F.element_at(token, i).cast("double"),
             )
-            / F.size(tokens)
-        ).cast("float"),
-    )
+            / F.size(tokens),
+        )
     has_tokens = (F.size(tokens) > 0) & (F.size(F.element_at(tokens, 1)) > 0)
-    return F.when(has_tokens, averaged).otherwise(F.array().cast("array<float>"))
+    return F.when(has_tokens, pooled).otherwise(F.array().cast("array<double>"))
 
 
 def mean_by_key(df: DataFrame, key: str, vector: str) -> DataFrame:

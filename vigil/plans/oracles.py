@@ -282,7 +282,7 @@ ORACLES: dict[str, str] = {
     "token_pool": (
         "WITH cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, "
         "generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) "
-        f"SELECT vec_id, i % {q.DIM // 4} AS pos, round(avg(x), 5) + 0.0 AS value FROM cells GROUP BY ALL"
+        f"SELECT vec_id, i % {q.DIM // 4} AS pos, round(avg(x), 6) + 0.0 AS value FROM cells GROUP BY ALL"
     ),
     "quality_filter": f"WITH {_LEFT} SELECT id, log_group FROM judged WHERE usable AND filled",
     "reject_counts": (
@@ -414,7 +414,7 @@ ORACLES: dict[str, str] = {
         "arg_max(id, {'t': ts_ms, 'i': id}) AS last_id FROM logs GROUP BY log_group"
     ),
     "sql_limited": q.SQL_LIMITED + " LIMIT 1000",
-    "sql_envelope": 'SELECT 5::BIGINT AS score, 5 AS "limit"',
+    "sql_envelope": f'SELECT count(*) AS score, 5 AS "limit" FROM ({q.SQL_LIMITED} LIMIT 5)',
     "sql_join": q.SQL_JOIN,
     "sql_semi_anti": q.SQL_SEMI_ANTI,
     "sql_rollup": q.SQL_ROLLUP,
@@ -499,8 +499,7 @@ ORACLES: dict[str, str] = {
         "FROM cut WHERE line <> '' GROUP BY log_group, log_stream, ts_ms, doc_id"
     ),
     "stream_detect": (
-        f"WITH {BUILT.replace(LOGS, EV + ', logs AS (SELECT * FROM ev)')}, "
-        f"closed AS (SELECT * FROM built WHERE now_ms <= (SELECT max(ts_ms) - 1 FROM ticked) - {q.DETECT_DELAY_MS}), "
+        f"WITH {BUILT}, closed AS (SELECT * FROM built WHERE now_ms <= (SELECT max(ts_ms) - 1 FROM ticked) - {q.DETECT_DELAY_MS}), "
         f"merged AS ({_fold('closed')}) SELECT id, created_ms, updated_ms, severity, title, first_ts_ms, last_ts_ms, "
         "event_count, sample_ids, dedupe_key FROM merged"
     ),

@@ -14,7 +14,7 @@ from vigil.operators import (
     adhoc, alerts, assemble, browse, convo, detect, embed, incidents, score, search,
 )
 from vigil.plans import detection, ingest
-from vigil.session import shared_dir
+from vigil.session import materialize, shared_dir
 from vigil.sources import raw_lines, tables
 from vigil.streaming import streams
 
@@ -25,7 +25,7 @@ DIM = 64
 AS_OF = 1_706_486_400_000
 DOC_AS_OF = tables.DOC_BASE_MS + 1000 * MINUTE_MS
 TICK = 6 * HOUR_MS
-MID = 1_705_320_000_000
+MID = tables.DOC_BASE_MS + 6 * HOUR_MS
 DEMO = detection.Settings(interval_ms=TICK, min_severity="low", min_confidence=15)
 TIME_ZONE = "America/New_York"
 TOOLS = {"run_sql": "Run a SELECT over the log tables.", "get_time": "Tell the date and time."}
@@ -263,7 +263,7 @@ def token_pool(spark, d):
     )
     return _vectors(spark, d).select(
         "vec_id", F.posexplode(vx.mean_pool(cut)).alias("pos", "value")
-    ).select("vec_id", F.col("pos").cast("long").alias("pos"), _r("value", 5).alias("value"))
+    ).select("vec_id", F.col("pos").cast("long").alias("pos"), _r("value").alias("value"))
 
 
 def quality_filter(spark, d):
@@ -403,7 +403,8 @@ def incident_build(spark, d):
 
 
 def _merged(spark, d):
-    built = _built(spark, d, keyed=True)
+    # Both merges read the built rows, so they are written once.
+    built = materialize(_built(spark, d, keyed=True), "built")
     earlier = incidents.merge(incidents.empty_snapshot(built), built.where(F.col("now_ms") <= MID))
     snapshot = earlier.select(*incidents.INCIDENTS.fieldNames())
     return incidents.merge(snapshot, built.where(F.col("now_ms") > MID))
@@ -651,10 +652,18 @@ def fold_token_lines(spark, d):
 # --- streams ----------------------------------------------------------------
 
 
+def _read_stream(spark, d, name):
+    schema = tables.sample(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def _event_stream(spark, d):
-    schema = tables.sample(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return tables.event_logs(rows)
+    return tables.event_logs(_read_stream(spark, d, "events"))
+
+
+def _log_stream(spark, d):
+    docs = tables.document_logs(_read_stream(spark, d, "documents"))
+    return tables.union_logs(_event_stream(spark, d), docs)
 
 
 def _drain(spark, rows: DataFrame, purpose: str) -> DataFrame:
@@ -693,7 +702,7 @@ def stream_detect(spark, d):
     base = shared_dir(spark, "detect")
     store = streams.incident_store(spark, f"{base}/incidents")
     streams.detect_stream(
-        _event_stream(spark, d), lambda: _ev(spark, d), store, f"{base}/outbox",
+        _log_stream(spark, d), lambda: tables.all_logs(spark, d), store, f"{base}/outbox",
         f"{base}/checkpoint", DEMO, channels=tuple(CHANNELS),
         dedupe=F.concat_ws("|", "log_group", "severity"), every=None,
     ).awaitTermination()

@@ -44,31 +44,40 @@ def logs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_logs(sample(spark, sf_dir, "events"))
 
 
-def logs_from_documents(
-    spark: SparkSession, sf_dir: str, vectors: str | None = None
-) -> DataFrame:
-    """Documents as log events. `vectors` is the join type for the embedding, if wanted."""
-    docs = sample(spark, sf_dir, "documents").select(
-        F.col("doc_id"),
+def document_logs(documents: DataFrame) -> DataFrame:
+    """Document rows as log events; also used on the streaming reader."""
+    return documents.select(
+        "doc_id",
+        F.col("doc_id").cast("string").alias("id"),
         F.col("source").alias("log_group"),
         F.col("lang").alias("log_stream"),
         (F.lit(DOC_BASE_MS) + F.col("doc_id") * 60_000).alias("ts_ms"),
         F.col("text").alias("message"),
     )
-    if vectors:
-        emb = sample(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("doc_id"), "embedding", "label"
-        )
-        docs = docs.join(emb, "doc_id", vectors)
-    return docs.withColumn("id", F.col("doc_id").cast("string"))
 
 
-def all_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs_from_documents(
+    spark: SparkSession, sf_dir: str, vectors: str | None = None
+) -> DataFrame:
+    """Documents as log events. `vectors` is the join type for the embedding, if wanted."""
+    docs = document_logs(sample(spark, sf_dir, "documents"))
+    if not vectors:
+        return docs
+    emb = sample(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), "embedding", "label"
+    )
+    return docs.join(emb, "doc_id", vectors)
+
+
+def union_logs(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Events and documents as one log table; document ids carry a prefix."""
-    docs = logs_from_documents(spark, sf_dir)
     columns = ("id", "log_group", "log_stream", "ts_ms", "message")
-    docs = docs.withColumn("id", F.concat(F.lit("d"), "id")).select(*columns)
-    return logs_from_events(spark, sf_dir).select(*columns).unionByName(docs)
+    docs = documents.withColumn("id", F.concat(F.lit("d"), "id")).select(*columns)
+    return events.select(*columns).unionByName(docs)
+
+
+def all_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return union_logs(logs_from_events(spark, sf_dir), logs_from_documents(spark, sf_dir))
 
 
 def day_of(ts_ms: Column | str) -> Column:
