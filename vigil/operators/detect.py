@@ -159,26 +159,73 @@ def window_summary(counts: DataFrame, key: str = "tick_ms", top: int = TOP_GROUP
     )
 
 
+def with_window(counts: DataFrame, key: str = "tick_ms", top: int = TOP_GROUPS) -> DataFrame:
+    """`window_summary` next to every (tick, group) row, for scoring per group in one pass."""
+    whole = Window.partitionBy(key)
+    ranked = whole.orderBy(*_rank_order())
+    listed = F.struct("rank", F.col("log_group").alias("group"), F.col("n").alias("count"))
+    return (
+        counts.withColumn("rank", F.row_number().over(ranked))
+        .withColumn("ranked", F.array_sort(F.collect_list(F.when(F.col("rank") <= top, listed)).over(whole)))
+        .select(
+            key,
+            "log_group",
+            "n",
+            "n_suspects",
+            F.min("first_ts_ms").over(whole).alias("first_ts_ms"),
+            F.max("last_ts_ms").over(whole).alias("last_ts_ms"),
+            F.sum("n").over(whole).alias("event_count"),
+            F.transform("ranked", lambda g: F.struct(g["group"].alias("group"), g["count"].alias("count"))).alias("aggregates"),
+        )
+    )
+
+
+def sample_lists(df: DataFrame, n: int = MAX_SAMPLES) -> DataFrame:
+    """The samples of each tick as one array; ticks without suspects are absent."""
+    ordered = F.array_sort(F.collect_list(F.struct("sample_no", *SAMPLE)))
+    return samples(df, n).groupBy("tick_ms").agg(
+        F.transform(ordered, lambda s: F.struct(*[s[c].alias(c) for c in SAMPLE])).alias("samples")
+    )
+
+
+def join_samples(ticks: DataFrame, lists: DataFrame) -> DataFrame:
+    empty = F.array().cast(lists.schema["samples"].dataType)
+    return ticks.join(lists, "tick_ms", "left").withColumn("samples", F.coalesce("samples", empty))
+
+
 def tick_context(
     df: DataFrame,
     counts: DataFrame | None = None,
     top: int = TOP_GROUPS,
     max_samples: int = MAX_SAMPLES,
 ) -> DataFrame:
-    """Summary and samples per tick: the input of scoring, building and prompting.
+    """Summary and samples per tick: the input of prompting, and of building for a scorer.
 
     `df` has tick_ms. `counts` is `group_counts(df, "tick_ms")` where it is known already.
     """
     counts = group_counts(df, "tick_ms") if counts is None else counts
-    ordered = F.array_sort(F.collect_list(F.struct("sample_no", *SAMPLE)))
-    listed = samples(df, max_samples).groupBy("tick_ms").agg(
-        F.transform(ordered, lambda s: F.struct(*[s[c].alias(c) for c in SAMPLE])).alias("samples")
+    return join_samples(window_summary(counts, top=top), sample_lists(df, max_samples))
+
+
+def rollup(df: DataFrame, slot_ms: int) -> DataFrame:
+    """Counts per (tick, time slot, group, stream), from which the other counts follow."""
+    return df.groupBy(
+        "tick_ms", bucket_of("ts_ms", slot_ms).alias("slot_ms"), "log_group", "log_stream"
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(tx.is_suspect("message")).alias("n_suspects"),
+        F.min("ts_ms").alias("first_ts_ms"),
+        F.max("ts_ms").alias("last_ts_ms"),
     )
-    empty = F.array().cast(listed.schema["samples"].dataType)
-    return (
-        window_summary(counts, top=top)
-        .join(listed, "tick_ms", "left")
-        .withColumn("samples", F.coalesce("samples", empty))
+
+
+def counts_of(rolled: DataFrame) -> DataFrame:
+    """`group_counts(df, "tick_ms")` from a rollup."""
+    return rolled.groupBy("tick_ms", "log_group").agg(
+        F.sum("n").alias("n"),
+        F.sum("n_suspects").alias("n_suspects"),
+        F.min("first_ts_ms").alias("first_ts_ms"),
+        F.max("last_ts_ms").alias("last_ts_ms"),
     )
 
 

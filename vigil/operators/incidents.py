@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import text as tx
-from vigil.functions.timeparse import MINUTE_MS
-from vigil.operators.detect import bucket_of
 from vigil.schema import INCIDENTS, STATUSES, VECTOR_CONTEXT
 
 
@@ -28,15 +26,14 @@ def incident_id(key: Column | str = "dedupe_key") -> Column:
     return F.substring(F.sha2(F.col(key) if isinstance(key, str) else key, 256), 1, 32)
 
 
-def build(gated: DataFrame, context: DataFrame) -> DataFrame:
-    """Gated scorer rows joined with the context of their tick: rows ready to merge.
+def build(gated: DataFrame) -> DataFrame:
+    """Gated scorer rows next to the context of their tick, as rows ready to merge.
 
     `ord_key` orders the rows of one tick, `now_ms` is the time of the tick. The sample
     rows and the uncut title go along for the notification.
     """
     title = F.nullif("title", F.lit(""))
-    joined = gated.join(context, "tick_ms")
-    return joined.select(
+    return gated.select(
         F.struct("tick_ms", "ord").alias("ord_key"),
         F.col("tick_ms").alias("now_ms"),
         dedupe_key("dedupe_key", "title", "aggregates", "tick_ms").alias("dedupe_key"),
@@ -172,57 +169,43 @@ def evidence(incidents: DataFrame, logs: DataFrame) -> DataFrame:
     )
 
 
-def report(
-    incidents: DataFrame, ticked: DataFrame, interval_ms: int, slot_ms: int = 10 * MINUTE_MS, top: int = 5
-) -> DataFrame:
+def report(incidents: DataFrame, rolled: DataFrame, top: int = 5) -> DataFrame:
     """One row per incident with its groups, busiest streams, timeline and sample rows.
 
-    `incidents` are built rows (with now_ms), `ticked` the events with their tick. One
-    pass counts events per (tick, slot, group, stream); the lists come from that.
+    `incidents` are built rows (with now_ms), `rolled` is the stored rollup of the events,
+    so the lists are made from counts and not from the events again.
     """
-    from pyspark.sql import Window
-
-    base = ticked.groupBy(
-        "tick_ms", bucket_of("ts_ms", slot_ms).alias("slot_ms"), "log_group", "log_stream"
-    ).agg(F.count(F.lit(1)).alias("n"), F.count_if(tx.is_suspect("message")).alias("n_suspects"))
-
-    slots = base.groupBy("tick_ms", "slot_ms").agg(
+    slots = rolled.groupBy("tick_ms", "slot_ms").agg(
         F.sum("n").alias("n"), F.sum("n_suspects").alias("n_suspects")
     )
-    timeline = slots.groupBy("tick_ms").agg(
+    timeline = slots.groupBy(F.col("tick_ms").alias("now_ms")).agg(
         F.array_sort(F.collect_list(F.struct("slot_ms", "n", "n_suspects"))).alias("timeline")
     )
     busiest = Window.partitionBy("tick_ms").orderBy(F.col("n").desc(), "log_group", "log_stream")
     streams = (
-        base.groupBy("tick_ms", "log_group", "log_stream")
+        rolled.groupBy("tick_ms", "log_group", "log_stream")
         .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(busiest))
         .where(F.col("rank") <= top)
-        .groupBy("tick_ms")
+        .groupBy(F.col("tick_ms").alias("now_ms"))
         .agg(
-            F.array_sort(
-                F.collect_list(F.struct("rank", "log_group", "log_stream", "n"))
-            ).alias("streams")
+            F.array_sort(F.collect_list(F.struct("rank", "log_group", "log_stream", "n"))).alias("streams")
         )
     )
-    return (
-        incidents.join(timeline, F.col("now_ms") == timeline["tick_ms"]).drop("tick_ms")
-        .join(streams, F.col("now_ms") == streams["tick_ms"]).drop("tick_ms")
-        .select(
-            incident_id().alias("incident_id"),
-            "severity",
-            "title",
-            "summary",
-            F.col("vector_context.confidence").alias("confidence"),
-            "first_ts_ms",
-            "last_ts_ms",
-            "event_count",
-            F.col("vector_context.aggregates").alias("groups"),
-            "streams",
-            "timeline",
-            "alert_samples",
-            "sample_ids",
-        )
+    return incidents.join(timeline, "now_ms").join(streams, "now_ms").select(
+        incident_id().alias("incident_id"),
+        "severity",
+        "title",
+        "summary",
+        F.col("vector_context.confidence").alias("confidence"),
+        "first_ts_ms",
+        "last_ts_ms",
+        "event_count",
+        F.col("vector_context.aggregates").alias("groups"),
+        "streams",
+        "timeline",
+        "alert_samples",
+        "sample_ids",
     )
 
 

@@ -37,7 +37,7 @@ def clamp_confidence(confidence: Column | str) -> Column:
     return F.when(finite, F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).otherwise(0.0)
 
 
-def rule_scores(counts: DataFrame) -> DataFrame:
+def rule_scores(counts: DataFrame, *keep: str) -> DataFrame:
     """Score every (tick, group) of `group_counts(df, "tick_ms")` by its share of suspects."""
     ratio = F.col("n_suspects") / F.col("n")
     severity = None
@@ -54,13 +54,13 @@ def rule_scores(counts: DataFrame) -> DataFrame:
         F.round(F.col("n_suspects") / (F.col("n_suspects") + CONFIDENCE_PRIOR), 4).alias("confidence"),
         F.format_string("%d suspect events in %s", "n_suspects", "log_group").alias("title"),
         F.format_string("%d of %d events matched", "n_suspects", "n").alias("summary"),
+        *keep,
     )
 
 
-def rule_incidents(counts: DataFrame, dedupe: Column | None = None) -> DataFrame:
+def rule_incidents(counts: DataFrame, dedupe: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rule scores in the shape of parsed scorer output. `dedupe` may give a key."""
-    scored = rule_scores(counts)
-    return scored.select(
+    return rule_scores(counts, *keep).select(
         "tick_ms",
         F.col("log_group").alias("ord"),
         "title",
@@ -69,6 +69,7 @@ def rule_incidents(counts: DataFrame, dedupe: Column | None = None) -> DataFrame
         (F.lit(None).cast("string") if dedupe is None else dedupe).alias("dedupe_key"),
         "summary",
         F.array(F.lit("rule")).alias("tags"),
+        *keep,
     )
 
 

@@ -35,13 +35,7 @@ class Settings:
     min_confidence: float = 60
 
 
-def scored_rows(
-    counts: DataFrame, context: DataFrame, settings: Settings, scorer: Scorer | None, dedupe: Column | None
-) -> DataFrame:
-    if scorer is None:
-        return score.rule_incidents(counts, dedupe)
-    prompts = detect.alert_prompt(context, settings.interval_ms, PROMPT_HEADER, PROMPT_FOOTER)
-    return score.parse_incidents(scorer(prompts))
+CONTEXT = ("first_ts_ms", "last_ts_ms", "event_count", "aggregates")
 
 
 def incidents_of(
@@ -51,12 +45,23 @@ def incidents_of(
     dedupe: Column | None = None,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Built incident rows of all ticks in `ticked` (log rows with tick_ms)."""
+    """Built incident rows of all ticks in `ticked` (log rows with tick_ms).
+
+    The rule scorer works on the counts per (tick, group), which carry the summary of
+    their tick, so the events are read once for counts and once for samples. An external
+    scorer gets one prompt per tick and its answers are joined with the tick again.
+    """
     counts = detect.group_counts(ticked, "tick_ms") if counts is None else counts
+    bounds = (settings.min_severity, settings.min_confidence)
+    if scorer is None:
+        window = detect.with_window(counts, top=settings.top_groups)
+        gated = score.gate(score.rule_incidents(window, dedupe, CONTEXT), *bounds)
+        lists = detect.sample_lists(ticked, settings.max_samples)
+        return incidents.build(detect.join_samples(gated, lists))
     context = detect.tick_context(ticked, counts, settings.top_groups, settings.max_samples)
-    found = scored_rows(counts, context, settings, scorer, dedupe)
-    gated = score.gate(found, settings.min_severity, settings.min_confidence)
-    return incidents.build(gated, context)
+    prompts = detect.alert_prompt(context, settings.interval_ms, PROMPT_HEADER, PROMPT_FOOTER)
+    gated = score.gate(score.parse_incidents(scorer(prompts)), *bounds)
+    return incidents.build(gated.join(context, "tick_ms"))
 
 
 def replay(

@@ -436,7 +436,10 @@ def incident_sessions(spark, d):
 
 
 def incident_report(spark, d):
-    out = incidents.report(_built(spark, d), _ticked(spark, d), TICK, slot_ms=HOUR_MS)
+    ticked = _ticked(spark, d)
+    rolled = materialize(detect.rollup(ticked, HOUR_MS), "rollup")
+    built = detection.incidents_of(ticked, DEMO, counts=detect.counts_of(rolled))
+    out = incidents.report(built, rolled)
     return out.select(
         "incident_id", "severity", "title", "event_count",
         *[_json(c).alias(c) for c in ("groups", "streams", "timeline", "sample_ids")],
