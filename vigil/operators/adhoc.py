@@ -16,7 +16,7 @@ def check_select(sql: str, allow_with: bool = False) -> str:
     words = "select|with" if allow_with else "select"
     if not re.match(rf"\s*({words})\s", sql, re.IGNORECASE):
         raise ValueError("Only SELECT statements are allowed")
-    return re.sub(r";\s*\Z", "", sql.strip())
+    return re.sub(r"\s*;\s*\Z", "", sql.strip())
 
 
 def run_select(

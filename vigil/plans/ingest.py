@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.vectors import norm
 from vigil.operators import assemble, embed
+from vigil.schema import INGESTED
 from vigil.sources.tables import day_of
 
 STORED = ("id", "log_group", "log_stream", "ts_ms", "message", "embedding", "norm")
@@ -17,8 +19,6 @@ def prepare(lines: DataFrame, embedder: embed.Embedder) -> DataFrame:
     The id is made of the content and the position in the file, so reading a file again
     gives the same ids and equal lines stay apart.
     """
-    from vigil.functions.vectors import norm
-
     events = assemble.assemble_events(lines).withColumn(
         "id", assemble.stable_id("file", "event_no")
     )
@@ -42,10 +42,13 @@ def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored.select("id"), "id", "left_anti")
 
 
+def _read(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.schema(INGESTED).parquet(table)
+
+
 def read_table(spark: SparkSession, table: str) -> DataFrame:
-    stored = spark.read.parquet(table)
-    return stored.where(~F.col("rejected")).select(*STORED, "day")
+    return _read(spark, table).where(~F.col("rejected")).select(*STORED, "day")
 
 
 def read_rejects(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(table).where("rejected")
+    return _read(spark, table).where("rejected")

@@ -20,6 +20,18 @@ LOG_EVENTS = T.StructType(
     ]
 )
 
+# The log table as ingest writes it; the last three are folder names.
+INGESTED = T.StructType(
+    LOG_EVENTS.fields
+    + [
+        T.StructField("norm", T.DoubleType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("rejected", T.BooleanType()),
+        T.StructField("day", T.DateType()),
+    ]
+)
+
 GROUP_COUNT = T.StructType(
     [T.StructField("group", T.StringType()), T.StructField("count", T.LongType())]
 )
