@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.functions import vectors as vx
-from vigil.operators import embed, search
+from vigil.operators import ann, embed, search
 from vigil.sources import tables
 
 RNG = np.random.default_rng(3)
@@ -113,7 +113,7 @@ def test_search_by_text_finds_the_text(spark, logs):
 
 
 def test_ann_recall_and_completion(rows):
-    index = search.AnnIndex(rows, tables=8, bucket=1.0)
+    index = ann.BucketIndex(rows, tables=8, bucket=1.0)
     indexed = index.transform(rows).cache()
     hits = 0
     for q in (1, 50, 120):
@@ -128,6 +128,35 @@ def test_ann_recall_and_completion(rows):
     indexed.unpersist()
 
 
+@pytest.mark.parametrize("train_rows", [1000, 100])
+def test_cells_give_the_exact_answer(spark, rows, tmp_path, train_rows):
+    odd = rows.limit(2).withColumns({"id": F.lit("zzz"), "embedding": F.array().cast("array<float>")})
+    index = ann.CellIndex.build(rows.unionByName(odd), str(tmp_path / "ix"), cells=12, train_rows=train_rows)
+    assert sum(c.rows for c in index.cells) == N
+    for q in (5, 40, 200):
+        query = VECTORS[q].astype(float)
+        got = index.search(query.tolist(), k=10, probes=1).collect()
+        assert [r.id for r in got] == [i for _, i in brute(query)[:10]]
+    few = index.search(query.tolist(), k=10, probes=1, condition=F.col("id") < "004").collect()
+    assert [r.id for r in few] == [i for _, i in brute(query, lambda i: i < 4)]
+
+
+def test_cells_skip_folders(spark, tmp_path, capsys):
+    rng = np.random.default_rng(1)
+    vectors = [(np.eye(4)[i % 4] + rng.normal(scale=0.01, size=4)).tolist() for i in range(200)]
+    df = spark.createDataFrame(
+        [(f"{i:03d}", "g", "s", i, "m", v) for i, v in enumerate(vectors)],
+        "id string, log_group string, log_stream string, ts_ms long, message string, embedding array<float>",
+    )
+    index = ann.CellIndex.build(df, str(tmp_path / "ix"), cells=4)
+    found = index.search([1.0, 0.0, 0.0, 0.0], k=5, probes=1)
+    assert all(int(r.id) % 4 == 0 for r in found.collect())
+    found.explain()
+    plan = capsys.readouterr().out
+    pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "cell" in pruned and "," not in pruned.split("isnotnull")[0]
+
+
 def test_mean_pool(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0]],), ([[1.0, 2.0]],), ([],)], "t array<array<float>>")
     assert [r[0] for r in df.select(vx.mean_pool("t")).collect()] == [[2.0, 4.0], [1.0, 2.0], []]

@@ -27,12 +27,18 @@ def list_view(df: DataFrame) -> DataFrame:
 
 
 def latest_stream(df: DataFrame) -> DataFrame:
-    """Per group the stream with the newest event."""
-    newest = F.max(F.struct("ts_ms", "log_stream")).alias("newest")
-    return df.groupBy("log_group").agg(newest).select(
-        "log_group",
-        F.col("newest.log_stream").alias("log_stream"),
-        F.col("newest.ts_ms").alias("last_ts_ms"),
+    """Per group the stream with the newest event.
+
+    Reduced per (group, stream) first: a number per key is a hash aggregate, while
+    picking a stream name straight from the events would sort them.
+    """
+    newest = F.max(F.struct("last_ts_ms", "log_stream")).alias("newest")
+    return (
+        df.groupBy("log_group", "log_stream")
+        .agg(F.max("ts_ms").alias("last_ts_ms"))
+        .groupBy("log_group")
+        .agg(newest)
+        .select("log_group", "newest.log_stream", "newest.last_ts_ms")
     )
 
 

@@ -170,64 +170,3 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector top k first, then relational filters on those rows."""
     return semantic_search(df, query, k=k, min_len=min_len).where(condition)
-
-
-class AnnIndex:
-    """Random projection buckets; a search looks at the rows sharing a bucket with the query.
-
-    Vectors are scaled to length one, so euclidean nearness is cosine nearness. The
-    bucket column can be stored with the rows (`transform` then write); candidates are
-    re-ranked with the exact distance. Fewer than k candidates means the answer is
-    completed from an exact search.
-    """
-
-    def __init__(self, df: DataFrame, tables: int = 6, bucket: float = 0.6, seed: int = 7):
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-        self._lsh = BucketedRandomProjectionLSH(
-            inputCol="_unit", outputCol="buckets", numHashTables=tables, bucketLength=bucket, seed=seed
-        )
-        # Only the vector length is learned from the data.
-        self._model = self._lsh.fit(self._unit(df.limit(1)))
-
-    @staticmethod
-    def _unit(df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import Normalizer
-        from pyspark.ml.functions import array_to_vector
-
-        vec = df.where(vx.is_usable("embedding")).withColumn("_vec", array_to_vector("embedding"))
-        return Normalizer(p=2.0, inputCol="_vec", outputCol="_unit").transform(vec).drop("_vec")
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds `buckets array<long>`, one bucket per projection."""
-        from pyspark.ml.functions import vector_to_array
-
-        return (
-            self._model.transform(self._unit(df))
-            .withColumn(
-                "buckets",
-                F.transform("buckets", lambda v: F.element_at(vector_to_array(v), 1).cast("long")),
-            )
-            .drop("_unit")
-        )
-
-    def search(self, indexed: DataFrame, query: DataFrame, k: int = 20, min_shared: int = 2) -> DataFrame:
-        """`query` is a one-row frame with the column `embedding`."""
-        wanted = self.transform(query.select("embedding")).select("buckets").scalar()
-        shared = F.aggregate(
-            F.zip_with("buckets", "_wanted", lambda a, b: (a == b).cast("int")),
-            F.lit(0),
-            lambda total, hit: total + hit,
-        )
-        near = indexed.withColumn("_wanted", wanted).where(shared >= min_shared).drop("_wanted")
-        best = nearest(with_distance(near, query.select("embedding")).select(*RESULT, "distance"), k)
-        return best.withColumn("score", 1 - F.col("distance"))
-
-    def search_complete(
-        self, indexed: DataFrame, query: DataFrame, k: int = 20, min_shared: int = 2
-    ) -> DataFrame:
-        """As `search`, but exact when the buckets hold fewer than k rows."""
-        near = self.search(indexed, query, k, min_shared)
-        if near.count() >= k:
-            return near
-        return semantic_search(indexed, query.select("embedding"), k=k, min_len=0)

@@ -199,14 +199,15 @@ def _sessions(source: str) -> str:
     )
 
 
+_NEAREST = f"WITH {DOCV} SELECT {_result} FROM docv WHERE length(message) >= 32 ORDER BY dist, id LIMIT 20"
+
 ORACLES: dict[str, str] = {
     "cosine_distance": (
         f"SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], {QUERY}), 6) + 0.0 AS distance "
         "FROM embeddings"
     ),
-    "semantic_search": (
-        f"WITH {DOCV} SELECT {_result} FROM docv WHERE length(message) >= 32 ORDER BY dist, id LIMIT 20"
-    ),
+    "semantic_search": _NEAREST,
+    "cell_search": _NEAREST,
     "search_filtered": (
         f"WITH {DOCV} SELECT {_result} FROM docv WHERE length(message) >= 32 AND log_group = 'src7' "
         f"AND ts_ms >= {q.DOC_AS_OF - 10 * 3_600_000} ORDER BY dist, id LIMIT 10"

@@ -11,7 +11,7 @@ from vigil.functions import text as tx
 from vigil.functions import vectors as vx
 from vigil.functions.timeparse import DAY_MS, HOUR_MS, MINUTE_MS
 from vigil.operators import (
-    adhoc, alerts, assemble, browse, convo, detect, embed, incidents, score, search,
+    adhoc, alerts, ann, assemble, browse, convo, detect, embed, incidents, score, search,
 )
 from vigil.plans import detection, ingest
 from vigil.session import materialize, shared_dir
@@ -139,11 +139,17 @@ def search_by_text(spark, d):
 
 def ann_search(spark, d):
     rows = _doc(spark, d, "inner")
-    index = search.AnnIndex(rows)
+    index = ann.BucketIndex(rows)
     found = index.search_complete(index.transform(rows), _query_vector(spark, d), k=10)
     return _rounded_result(found)
 
 
+def cell_search(spark, d):
+    index = ann.CellIndex.build(_doc(spark, d, "inner"), shared_dir(spark, "cells"), cells=16)
+    query = list(_query_vector(spark, d).first()[0])
+    return _rounded_result(index.search(query, k=20, condition=F.char_length("message") >= 32))
+
+
 def vector_dim_check(spark, d):
     return tables.dims(_vectors(spark, d), dim=DIM)
 
@@ -487,7 +493,7 @@ SQL_LIMITED = (
 )
 SQL_JOIN = (
     "SELECT r.r_name, n.n_name, count(*) AS n_lines, "
-    "round(sum(l.l_extendedprice * (1 - l.l_discount)), 1) AS revenue "
+    "round(sum(l.l_extendedprice * (1 - l.l_discount)), 4) AS revenue "
     "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey "
     "JOIN customer c ON o.o_custkey = c.c_custkey "
     "JOIN nation n ON c.c_nationkey = n.n_nationkey "
@@ -495,7 +501,7 @@ SQL_JOIN = (
     "GROUP BY r.r_name, n.n_name"
 )
 SQL_SEMI_ANTI = (
-    "SELECT c.c_mktsegment, count(*) AS n_customers, round(sum(c.c_acctbal), 1) AS balance "
+    "SELECT c.c_mktsegment, count(*) AS n_customers, round(sum(c.c_acctbal), 2) AS balance "
     "FROM customer c "
     "WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F') "
     "AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT') "
@@ -719,7 +725,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         cosine_distance, semantic_search, search_filtered, multi_search, search_stats, hybrid_search,
-        search_by_text, ann_search, vector_dim_check, vector_from_json, embed_hash,
+        search_by_text, ann_search, cell_search, vector_dim_check, vector_from_json, embed_hash,
         browse_recent, browse_filtered, latest_stream, latest_events, group_catalog, group_filter,
         group_fanout, min_len, since_filter, recent_errors,
         parse_header, assemble_events, strip_ansi, embed_text, mean_pool, token_pool, quality_filter,
