@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vigil.functions.timeparse import MINUTE_MS
 from vigil.operators import detect, embed, incidents
 from vigil.plans import detection, ingest
-from vigil.schema import INCIDENTS, LOG_EVENTS
+from vigil.schema import CURSORS, INCIDENTS, LOG_EVENTS
 from vigil.sources import tables
 from vigil.sources.store import SnapshotStore
 from vigil.streaming import streams
@@ -110,6 +110,37 @@ def test_store_keeps_old_versions_and_knows_its_batches(spark, tmp_path):
     assert SnapshotStore(spark, str(tmp_path / "s"), store.schema).ensure().head()[0] == 2
 
 
+def test_stored_ticks_move_the_cursor_with_the_incidents(spark, tmp_path):
+    settings = detection.Settings(interval_ms=300_000, min_severity="low", min_confidence=10, max_events=20)
+    logs = spark.createDataFrame(log_rows(60, step=10_000), SCHEMA)
+    paths = tables.ensure_store(spark, str(tmp_path / "base"))
+    store = streams.incident_store(spark, paths["incidents"])
+    cursors = SnapshotStore(spark, paths["cursors"], CURSORS)
+    go = lambda now, df=logs: detection.run_tick(
+        df, store, cursors, str(tmp_path / "out"), now, settings, ("slack",), dedupe=F.col("log_group")
+    )
+    assert go(600_000) == 190_001  # at most 20 events, then the cursor stands at the last of them
+    assert go(600_000) == 390_001
+    (row,) = store.read().collect()
+    assert (row.dedupe_key, row.event_count, row.created_ms) == ("g0", 40, 600_000)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+    class Broken(SnapshotStore):
+        def replace(self, rows, batch_id=-1):
+            raise OSError("disk gone")
+
+    with pytest.raises(OSError):
+        detection.run_tick(
+            logs, Broken(spark, paths["incidents"], INCIDENTS), cursors, str(tmp_path / "out"), 600_000,
+            settings, ("slack",), dedupe=F.col("log_group"),
+        )
+    assert go(600_000) == 590_001
+    assert store.read().first().event_count == 60
+    assert go(700_000) == 700_000  # nothing new: the cursor is the time of the tick
+    assert store.read().first().event_count == 60
+    assert incidents.read_cursor(cursors.read(), "alerts") == 700_000
+
+
 def test_unfinished_version_is_not_seen(spark, tmp_path):
     schema = "a long"
     store = SnapshotStore(spark, str(tmp_path / "s"), spark.createDataFrame([], schema).schema).ensure()

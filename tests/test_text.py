@@ -43,6 +43,16 @@ def test_times_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_wall_clock_ignores_summer_time(spark):
+    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-07-01 12:00:00.123999' AS a, TIMESTAMP_NTZ'1969-12-31 23:59:59.9999' AS b")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert tuple(rows.select(tx.wall_clock_ms("a"), tx.wall_clock_ms("b")).first()) == (1_719_835_200_123, -1)
+        assert one(spark, tx.iso_time("t"), t=1_719_835_200_123) == "2024-07-01T12:00:00.123Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_suspects(spark):
     hits = ["order 1500 shipped", "meeting room", "ERROR panic: nil", "DeadLock", "upstream 502", "Failed"]
     misses = ["INFO startup OK", "DEBUG cache miss", "code 49 and 5x5"]

@@ -74,13 +74,10 @@ def rule_incidents(counts: DataFrame, dedupe: Column | None = None, keep: tuple[
 
 
 def rule_bodies(counts: DataFrame) -> DataFrame:
-    """The rule scores of a tick as one JSON text, as an external scorer would answer."""
+    """The rule scores as JSON texts, one per (tick, group), as an external scorer would answer."""
     item = F.struct("title", "severity", "confidence", "summary")
-    listed = F.array_sort(F.collect_list(F.struct("log_group", item.alias("item"))))
-    return (
-        rule_scores(counts)
-        .groupBy("tick_ms")
-        .agg(F.to_json(F.struct(F.transform(listed, lambda e: e["item"]).alias("incidents"))).alias("body"))
+    return rule_scores(counts).select(
+        "tick_ms", F.to_json(F.struct(F.array(item).alias("incidents"))).alias("body")
     )
 
 

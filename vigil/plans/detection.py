@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.timeparse import MINUTE_MS
-from vigil.operators import detect, incidents, score
+from vigil.operators import alerts, detect, incidents, score
+from vigil.sources.store import SnapshotStore
 
 # Instructions around the rows of a prompt; any scorer that answers in this shape fits.
 PROMPT_HEADER = (
@@ -91,3 +92,42 @@ def tick(
         incidents_of(window, settings, scorer, dedupe),
         detect.next_cursor(window, as_of_ms),
     )
+
+
+def run_tick(
+    logs: DataFrame,
+    store: SnapshotStore,
+    cursors: SnapshotStore,
+    outbox_path: str,
+    as_of_ms: int,
+    settings: Settings = Settings(),
+    channels: tuple[str, ...] = (),
+    scorer: Scorer | None = None,
+    dedupe: Column | None = None,
+    pipeline_id: str = "alerts",
+) -> int:
+    """One stored tick: read behind the cursor, merge incidents, write alerts, move the cursor.
+
+    The commit of the incident table carries the new cursor, so both move together: a tick
+    that fails anywhere is simply run again. The cursor table is a copy for readers.
+    """
+    cursor = max(store.head()[2], 0)
+    built, moved = tick(logs, as_of_ms, cursor or None, settings, scorer, dedupe)
+    position = moved.first()["last_ts_ms"]
+    merged = incidents.merge(store.read(), built).persist()
+    try:
+        if merged.where("touched").isEmpty():
+            store.mark(position)
+        else:
+            alerts.outbox(merged, list(channels)).write.mode("overwrite").parquet(
+                f"{outbox_path}/batch={position}"
+            )
+            store.replace(merged, position)
+    finally:
+        merged.unpersist()
+    cursors.replace(
+        incidents.upsert_cursors(
+            cursors.read(), moved.withColumn("pipeline_id", F.lit(pipeline_id))
+        )
+    )
+    return position

@@ -370,8 +370,7 @@ ORACLES: dict[str, str] = {
         "0.0::DOUBLE AS from_text FROM customer"
     ),
     "parse_incidents": (
-        f"WITH {COUNTS}, {SCORED} SELECT tick_ms, (row_number() OVER (PARTITION BY tick_ms ORDER BY log_group) "
-        "- 1)::INTEGER AS ord, title, severity, confidence, summary FROM scored"
+        f"WITH {COUNTS}, {SCORED} SELECT tick_ms, 0 AS ord, title, severity, confidence, summary FROM scored"
     ),
     "dedupe_key": f"WITH {BUILT} SELECT now_ms, title, dedupe_key FROM built",
     "incident_build": (
@@ -415,7 +414,11 @@ ORACLES: dict[str, str] = {
         "arg_max(id, {'t': ts_ms, 'i': id}) AS last_id FROM logs GROUP BY log_group"
     ),
     "sql_limited": q.SQL_LIMITED + " LIMIT 1000",
-    "sql_envelope": f'SELECT count(*) AS score, 5 AS "limit" FROM ({q.SQL_LIMITED} LIMIT 5)',
+    "sql_envelope": (
+        "SELECT to_json(list({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_totalprice': o_totalprice} "
+        "ORDER BY o_totalprice DESC, o_orderkey))::VARCHAR AS \"rows\", "
+        f'count(*) AS score, 5 AS "limit" FROM ({q.SQL_LIMITED} LIMIT 5)'
+    ),
     "sql_join": q.SQL_JOIN,
     "sql_semi_anti": q.SQL_SEMI_ANTI,
     "sql_rollup": q.SQL_ROLLUP,

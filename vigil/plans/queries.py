@@ -533,7 +533,7 @@ def sql_limited(spark, d):
 
 def sql_envelope(spark, d):
     _views(spark, d)
-    return adhoc.envelope(spark, SQL_LIMITED, limit=5).select("score", "limit")
+    return adhoc.envelope(spark, SQL_LIMITED, limit=5)
 
 
 def sql_join(spark, d):

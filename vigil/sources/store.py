@@ -70,11 +70,19 @@ class SnapshotStore:
         version, _, _ = self.head()
         self._commit(rows, version + 1, batch_id)
 
+    def mark(self, batch_id: int) -> None:
+        """Record that a batch is done and changed nothing."""
+        version, folder, _ = self.head()
+        self._log(version + 1, folder, batch_id)
+
     def _commit(self, rows: DataFrame, version: int, batch_id: int) -> None:
         folder = f"v={version}"
         rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
             f"{self.base}/{folder}"
         )
+        self._log(version, folder, batch_id)
+
+    def _log(self, version: int, folder: str, batch_id: int) -> None:
         self.spark.createDataFrame(
             [(version, folder, batch_id, int(time.time() * 1000))], COMMITS
         ).coalesce(1).write.mode("append").parquet(f"{self.base}/commits")
