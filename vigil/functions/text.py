@@ -132,10 +132,15 @@ def is_suspect(c: Column | str, pattern: str = SUSPECT) -> Column:
     c = _col(c)
     if pattern != SUSPECT:
         return c.rlike(pattern)
-    low = F.lower(c)
-    maybe = F.contains(low, F.lit(SUSPECT_KEYWORDS[0]))
-    for word in SUSPECT_KEYWORDS[1:]:
-        maybe = maybe | F.contains(low, F.lit(word))
+
+    def has_keyword(low: Column) -> Column:
+        hit = F.contains(low, F.lit(SUSPECT_KEYWORDS[0]))
+        for word in SUSPECT_KEYWORDS[1:]:
+            hit = hit | F.contains(low, F.lit(word))
+        return hit
+
+    # The one-element array binds the lower-cased text: a filter would compute it per keyword.
+    maybe = F.exists(F.array(F.lower(c)), has_keyword)
     status = F.contains(c, F.lit("5")) & c.rlike(SUSPECT_STATUS)
     return status | (maybe & c.rlike(SUSPECT))
 
