@@ -56,6 +56,42 @@ def test_ingest_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     assert ingest.new_rows(stored, stored).count() == 0
 
 
+def test_events_go_on_in_the_next_file(spark, tmp_path):
+    source, table, ckpt = (str(tmp_path / n) for n in ("in", "table", "ckpt"))
+    embedder = embed.hash_embedder(16)
+    files = [
+        ("1.log", "stray\n2025-01-01T00:00:00Z s one\n more of one\n"),
+        ("2.log", " still one\n"),
+        ("3.log", " end of one\n2025-01-01T00:00:01Z s two\n2025-01-01T00:00:01Z s two\n"),
+        ("4.log", "2025-01-01T00:00:02Z s three\n"),
+        ("5.log", " tail of three\n"),
+    ]
+    query = None
+    for name, text in files:
+        landing(tmp_path, name, text)
+        query = streams.ingest_stream(spark, source, table, ckpt, embedder, every=None, carry_over=True)
+        query.awaitTermination()
+    messages = lambda: sorted(r.message for r in ingest.read_table(spark, table).collect())
+    done = ["one\n more of one\n still one\n end of one", "two", "two"]
+    assert messages() == done
+    for _ in range(2):
+        ingest.flush_open(spark, embedder, table, 4)
+        assert messages() == [done[0], "three\n tail of three", "two", "two"]
+    stored = ingest.read_table(spark, table)
+    assert stored.select("id").distinct().count() == stored.count()
+
+
+def test_several_rotated_files_in_one_batch(spark, tmp_path):
+    source, table, ckpt = (str(tmp_path / n) for n in ("in", "table", "ckpt"))
+    for i in range(6):
+        landing(tmp_path, f"{i}.log", f" tail of {i - 1}\n2025-01-01T00:00:0{i}Z s event {i}\n")
+    streams.ingest_stream(
+        spark, source, table, ckpt, embed.hash_embedder(16), every=None, carry_over=True
+    ).awaitTermination()
+    got = sorted(r.message for r in ingest.read_table(spark, table).collect())
+    assert got == [f"event {i}\n tail of {i}" for i in range(5)]
+
+
 def closed_only(df, settings, delay_ms):
     last = df.agg(F.max("ts_ms")).first()[0] - 1
     built = detection.replay(df, settings)

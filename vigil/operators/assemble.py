@@ -26,13 +26,14 @@ def parse_header(lines: DataFrame) -> DataFrame:
     )
 
 
-def assemble_events(lines: DataFrame) -> DataFrame:
+def assemble_events(lines: DataFrame, strays: bool = False) -> DataFrame:
     """Lines (file, chunk, line_no) to events; a header starts one, other lines continue it.
 
     A file is never put into one task. Headers are numbered inside each chunk, the
     numbers of the chunks before it are added from a table with one row per chunk,
     and the lines of an event are joined per chunk first and then over its chunks.
-    Blank lines and lines before the first header of a file are dropped.
+    Blank lines are dropped, and so are lines before the first header of a file, unless
+    `strays` asks for them as event number 0.
     """
     parsed = parse_header(lines).where(F.col("line") != "")
 
@@ -48,7 +49,6 @@ def assemble_events(lines: DataFrame) -> DataFrame:
             F.min("log_group").alias("log_group"),
             F.min("ts_ms").alias("ts_ms"),
             F.min("log_stream").alias("log_stream"),
-            F.max("is_header").alias("opens"),
             _ordered_text(
                 F.struct("line_no", F.coalesce("rest", "line").alias("part"))
             ).alias("piece"),
@@ -68,10 +68,11 @@ def assemble_events(lines: DataFrame) -> DataFrame:
         )
     )
 
+    numbered = pieces.join(offsets, ["file", "chunk"]).withColumn(
+        "event_no", F.col("earlier") + F.col("local_no")
+    )
     return (
-        pieces.join(offsets, ["file", "chunk"])
-        .withColumn("event_no", F.col("earlier") + F.col("local_no"))
-        .where(F.col("event_no") > 0)
+        (numbered if strays else numbered.where(F.col("event_no") > 0))
         .groupBy("file", "event_no")
         .agg(
             F.min("log_group").alias("log_group"),
@@ -82,6 +83,32 @@ def assemble_events(lines: DataFrame) -> DataFrame:
     )
 
 
+def carry_over(events: DataFrame, open_before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(complete, still open) for files that continue each other over batches.
+
+    `events` come from `assemble_events(..., strays=True)` with one `file` per source, both
+    inputs have the column `opened` (the batch an event began in). Stray lines continue the
+    open event of their source; the newest event of each source stays open.
+    """
+    columns = open_before.columns
+    strays = events.where(F.col("event_no") == 0).select("file", F.col("message").alias("more"))
+    last = events.groupBy("file").agg(F.max("event_no").alias("last_no")).where(F.col("last_no") > 0)
+
+    grown = (
+        open_before.join(strays, "file", "left")
+        .withColumn("message", F.concat_ws("\n", "message", "more"))
+        .select(columns)
+    )
+    begun = events.where(F.col("event_no") > 0).select(columns).join(last, "file")
+    complete = grown.join(last, "file", "left_semi").unionByName(
+        begun.where(F.col("event_no") < F.col("last_no")).select(columns)
+    )
+    still_open = grown.join(last, "file", "left_anti").unionByName(
+        begun.where(F.col("event_no") == F.col("last_no")).select(columns)
+    )
+    return complete, still_open
+
+
 def _ordered_text(piece: Column) -> Column:
     return F.array_join(
         F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["part"]), "\n"

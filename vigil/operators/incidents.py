@@ -41,7 +41,7 @@ def build(gated: DataFrame) -> DataFrame:
         "severity",
         tx.truncate(F.coalesce(title, F.lit("Detected issue")), 255).alias("title"),
         tx.truncate(F.coalesce("summary", F.lit("")), 1000).alias("summary"),
-        F.element_at(F.transform("aggregates", lambda g: g["group"]), 1).alias("affected_group"),
+        F.try_element_at(F.transform("aggregates", lambda g: g["group"]), F.lit(1)).alias("affected_group"),
         F.lit(None).cast("string").alias("affected_stream"),
         "first_ts_ms",
         "last_ts_ms",

@@ -14,16 +14,19 @@ STORED = ("id", "log_group", "log_stream", "ts_ms", "message", "embedding", "nor
 
 
 def prepare(lines: DataFrame, embedder: embed.Embedder) -> DataFrame:
-    """Lines to log rows with vector, vector norm, day and, where unfit, the reason.
+    """Lines to rows ready to store."""
+    return finish(assemble.assemble_events(lines), embedder, "file", "event_no")
 
-    The id is made of the content and the position in the file, so reading a file again
+
+def finish(events: DataFrame, embedder: embed.Embedder, *position: str) -> DataFrame:
+    """Events to log rows with vector, vector norm, day and, where unfit, the reason.
+
+    The id is made of the content and the position in the source, so reading a file again
     gives the same ids and equal lines stay apart.
     """
-    events = assemble.assemble_events(lines).withColumn(
-        "id", assemble.stable_id("file", "event_no")
-    )
+    identified = events.withColumn("id", assemble.stable_id(*position))
     return (
-        embed.embed(events, embedder)
+        embed.embed(identified, embedder)
         .withColumn("norm", norm("embedding"))
         .withColumn("reason", assemble.reject_reason())
         .withColumn("rejected", F.col("reason").isNotNull())
@@ -32,6 +35,48 @@ def prepare(lines: DataFrame, embedder: embed.Embedder) -> DataFrame:
     )
 
 
+OPEN_EVENTS = (
+    "file string, event_no long, log_group string, log_stream string, ts_ms long, "
+    "message string, opened long"
+)
+OPEN_POSITION = ("file", "event_no", "opened")
+
+
+def write_carried(lines: DataFrame, embedder: embed.Embedder, table: str, batch: int) -> None:
+    """Write the complete events of a batch, keep the newest of each group for the next one.
+
+    Files of a group continue each other in the order of their names. The open events of
+    a batch are a folder of their own, so a batch that is run again starts from the same.
+    """
+    spark = lines.sparkSession
+    by_group = lines.withColumn("chunk", F.struct("file", "chunk")).withColumn("file", F.col("log_group"))
+    events = assemble.assemble_events(by_group, strays=True).withColumn(
+        "opened", F.lit(batch).cast("long")
+    )
+    before = (
+        spark.read.schema(OPEN_EVENTS).parquet(f"{table}-open/batch={batch - 1}")
+        if batch > 0
+        else spark.createDataFrame([], OPEN_EVENTS)
+    )
+    events = events.persist()
+    try:
+        complete, still_open = assemble.carry_over(events, before)
+        still_open.write.mode("overwrite").parquet(f"{table}-open/batch={batch}")
+        write_batch(finish(complete, embedder, *OPEN_POSITION), table, batch)
+    finally:
+        events.unpersist()
+
+
+def flush_open(spark: SparkSession, embedder: embed.Embedder, table: str, last_batch: int) -> None:
+    """Store the events left open after a stream has been stopped at `last_batch`."""
+    folder = f"{table}-open/batch={last_batch}"
+    left = spark.read.schema(OPEN_EVENTS).parquet(folder)
+    if left.isEmpty():
+        return
+    write_batch(finish(left, embedder, *OPEN_POSITION), table, -2 - last_batch)
+    spark.createDataFrame([], OPEN_EVENTS).write.mode("overwrite").parquet(folder)
+
+
 def write_batch(rows: DataFrame, table: str, batch: int) -> None:
     """One pass writes kept and rejected rows; writing a batch again replaces it."""
     rows.write.mode("overwrite").partitionBy("rejected", "day").parquet(f"{table}/batch={batch}")

@@ -31,12 +31,14 @@ def ingest_stream(
     every: str | None = "8 seconds",
     max_files: int | None = None,
     group: Column | None = None,
+    carry_over: bool = False,
 ) -> StreamingQuery:
     """Text files landing in `source` to the log table.
 
     A micro-batch holds whole files, which are assembled, embedded, filtered and written
     to the folder of the batch. A batch that is run again replaces its folder, so a
-    restart neither loses nor repeats rows.
+    restart neither loses nor repeats rows. With `carry_over` the files of a group continue
+    each other: an event may go on in the next file and is stored when the next one begins.
     """
     reader = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if max_files:
@@ -44,8 +46,11 @@ def ingest_stream(
     text = reader.text(source).select("value", "_metadata")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest.prepare(number_lines(batch, group), embedder)
-        ingest.write_batch(rows, table, batch_id)
+        lines = number_lines(batch, group)
+        if carry_over:
+            ingest.write_carried(lines, embedder, table, batch_id)
+        else:
+            ingest.write_batch(ingest.prepare(lines, embedder), table, batch_id)
 
     return _start(text.writeStream.foreachBatch(write), checkpoint, every)
 
