@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +37,13 @@ def cosine_distance(
     Pass stored norms to save one pass over each vector.
     """
     scale = (norm(a) if a_norm is None else a_norm) * (norm(b) if b_norm is None else b_norm)
-    return F.when(scale > 0, 1 - dot(a, b) / scale)
+    return 1 - F.try_divide(dot(a, b), scale)
 
 
 def vector_literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant vector. Parsed from one text, which the optimizer folds to a literal array."""
+    text = json.dumps([float(v) for v in values], allow_nan=False)
+    return F.from_json(F.lit(text), T.ArrayType(T.DoubleType()))
 
 
 def vector_from_json(c: Column | str) -> Column:

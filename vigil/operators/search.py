@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +39,24 @@ def candidates(
     return out
 
 
-def with_query(df: DataFrame, query: list[float] | DataFrame) -> DataFrame:
-    """Adds the query vector: a literal, or the single value of a one-row frame."""
-    if isinstance(query, DataFrame):
-        return df.withColumn("_q", query.scalar())
-    return df.withColumn("_q", vx.vector_literal(query))
-
-
 def with_distance(df: DataFrame, query: list[float] | DataFrame) -> DataFrame:
-    stored_norm = F.col("norm") if "norm" in df.columns else None
-    return with_query(df, query).withColumn(
-        "distance", vx.cosine_distance("embedding", "_q", a_norm=stored_norm)
-    ).drop("_q")
+    """Adds the cosine distance to a vector, or to the single value of a one-row frame.
+
+    The norm of the query is worked out once, and that of the rows is taken from the
+    column `norm` where the table has it.
+    """
+    stored = F.col("norm") if "norm" in df.columns else None
+    if isinstance(query, DataFrame):
+        (column,) = query.columns
+        pair = F.struct(F.col(column).alias("v"), vx.norm(column).alias("n"))
+        with_query = df.withColumn("_q", query.select(pair.alias("q")).scalar())
+        distance = vx.cosine_distance("embedding", "_q.v", stored, F.col("_q.n"))
+        return with_query.withColumn("distance", distance).drop("_q")
+    length = math.sqrt(math.fsum(float(x) ** 2 for x in query))
+    return df.withColumn(
+        "distance",
+        vx.cosine_distance("embedding", vx.vector_literal(query), stored, F.lit(length)),
+    )
 
 
 def nearest(df: DataFrame, k: int) -> DataFrame:

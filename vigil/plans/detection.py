@@ -76,6 +76,15 @@ def replay(
     return incidents_of(ticked, settings, scorer, dedupe)
 
 
+def tick_window(
+    logs: DataFrame, as_of_ms: int, cursor_ms: int | None, settings: Settings
+) -> DataFrame:
+    """The events one tick reads, marked with the tick."""
+    return detect.window_scan(
+        logs, as_of_ms, cursor_ms, settings.window_min, settings.max_events, settings.min_len
+    ).withColumn("tick_ms", F.lit(as_of_ms))
+
+
 def tick(
     logs: DataFrame,
     as_of_ms: int,
@@ -85,9 +94,7 @@ def tick(
     dedupe: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(incident rows, cursor row) of one tick at `as_of_ms`."""
-    window = detect.window_scan(
-        logs, as_of_ms, cursor_ms, settings.window_min, settings.max_events, settings.min_len
-    ).withColumn("tick_ms", F.lit(as_of_ms))
+    window = tick_window(logs, as_of_ms, cursor_ms, settings)
     return (
         incidents_of(window, settings, scorer, dedupe),
         detect.next_cursor(window, as_of_ms),
@@ -112,8 +119,11 @@ def run_tick(
     that fails anywhere is simply run again. The cursor table is a copy for readers.
     """
     cursor = max(store.head()[2], 0)
-    built, moved = tick(logs, as_of_ms, cursor or None, settings, scorer, dedupe)
+    # The window is bounded and read several times; cursor and incidents see the same rows.
+    window = tick_window(logs, as_of_ms, cursor or None, settings).persist()
+    moved = detect.next_cursor(window, as_of_ms, pipeline_id)
     position = moved.first()["last_ts_ms"]
+    built = incidents_of(window, settings, scorer, dedupe)
     merged = incidents.merge(store.read(), built).persist()
     try:
         if merged.where("touched").isEmpty():
@@ -123,11 +133,8 @@ def run_tick(
                 f"{outbox_path}/batch={position}"
             )
             store.replace(merged, position)
+        cursors.replace(incidents.upsert_cursors(cursors.read(), moved))
     finally:
         merged.unpersist()
-    cursors.replace(
-        incidents.upsert_cursors(
-            cursors.read(), moved.withColumn("pipeline_id", F.lit(pipeline_id))
-        )
-    )
+        window.unpersist()
     return position
