@@ -85,6 +85,26 @@ def test_multi_search_equals_single_searches(spark, rows, slice_size):
         assert [i for _, i in mine] == [i for _, i in brute(VECTORS[q].astype(float))[:4]]
 
 
+def test_multi_search_in_small_blocks(rows, monkeypatch):
+    queries = rows.where("id < '011'").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    whole = search.multi_search(rows, queries, k=6).collect()
+    monkeypatch.setattr(search, "MAX_CELLS_PER_PRODUCT", 30)
+    assert sorted(search.multi_search(rows, queries, k=6).collect()) == sorted(whole)
+    assert [r.id for r in sorted(whole, key=lambda r: r.rank) if r.qid == "005"][:2] == ["005", "007"]
+
+
+def test_multi_search_skips_unusable_rows(rows):
+    bad = rows.limit(3).withColumns(
+        {"id": F.concat(F.lit("x"), "id"), "embedding": F.array(F.lit(0.0)).cast("array<float>")}
+    )
+    zero = rows.limit(2).withColumns(
+        {"id": F.concat(F.lit("z"), "id"), "embedding": F.array_repeat(F.lit(0.0), DIM).cast("array<float>")}
+    )
+    queries = rows.where("id = '003'").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+    got = search.multi_search(rows.unionByName(bad).unionByName(zero), queries, k=N + 5).collect()
+    assert len(got) == N
+
+
 def test_multi_search_of_nothing(rows):
     none = rows.where("id = 'x'").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
     assert search.multi_search(rows, none, k=4).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vigil.functions.timeparse import MINUTE_MS
 from vigil.operators import detect, embed, incidents
 from vigil.plans import detection, ingest
-from vigil.schema import CURSORS, INCIDENTS, LOG_EVENTS
+from vigil.schema import CURSORS, INCIDENTS, INGESTED, LOG_EVENTS
 from vigil.sources import tables
 from vigil.sources.store import SnapshotStore
 from vigil.streaming import streams
@@ -54,6 +54,9 @@ def test_ingest_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     assert [r.reason for r in ingest.read_rejects(spark, table).collect()] == ["blank message"]
     assert stored.where("day = '2025-01-02'").count() == 1
     assert ingest.new_rows(stored, stored).count() == 0
+    rows = spark.read.schema(INGESTED).parquet(table).drop("batch")
+    ingest.write_batch(rows, str(tmp_path / "again"), 0, rebalance=True)
+    assert ingest.read_table(spark, str(tmp_path / "again")).count() == 3
 
 
 def test_events_go_on_in_the_next_file(spark, tmp_path):

@@ -115,7 +115,8 @@ class CellIndex:
             "cell int, centre array<double>",
         )
         rows = model.transform(unit).drop("_unit")
-        rows.write.partitionBy("cell").parquet(f"{path}/rows")
+        # gathers a cell in few files and splits a large cell over several tasks
+        rows.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/rows")
 
         # The rows are read back, so bound and folder agree whatever a retried task did.
         length = vx.norm("embedding")

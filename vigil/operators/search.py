@@ -15,6 +15,9 @@ from vigil.functions.timeparse import since_ms
 from vigil.operators.embed import Embedder
 from vigil.sources.tables import on_days
 
+# Most numbers a task holds of the product of a block of rows with the queries.
+MAX_CELLS_PER_PRODUCT = 4_000_000
+
 RESULT = ("id", "log_group", "log_stream", "ts_ms", "message")
 
 
@@ -92,9 +95,8 @@ def multi_search(
 ) -> DataFrame:
     """Top k rows for each of many queries (qid, query).
 
-    Each Arrow batch is scored against a slice of the queries by one matrix product
-    and only the k best of the batch per query leave the task, so the pairs are never
-    rows. Queries are shipped to the tasks in slices of at most about `slice_size`;
+    Blocks of rows are scored against a slice of the queries by one matrix product and
+    only the k best of a task per query leave it, so the pairs are never rows. Queries are shipped to the tasks in slices of at most about `slice_size`;
     more queries mean more passes over the rows, not bigger tasks.
     """
     total = queries.count()
@@ -125,44 +127,65 @@ def multi_search(
 def _block_top_k(rows: DataFrame, block: pa.Table, k: int) -> DataFrame:
     qids = [str(q) for q in block.column("qid").to_pylist()]
     matrix = np.array(block.column("query").to_pylist(), dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = matrix / np.linalg.norm(matrix, axis=1)[:, None]
     dim = matrix.shape[1]
 
+    step = max(1, MAX_CELLS_PER_PRODUCT // len(qids))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [_Best(k) for _ in qids]
         for batch in batches:
-            vectors = batch.column("embedding")
-            sizes = np.asarray(vectors.value_lengths().fill_null(-1))
-            keep = np.flatnonzero(sizes == dim)
-            if not len(keep):
-                continue
-            # take() rather than a reshape of everything: rows of another length drop out
-            flat = vectors.take(pa.array(keep)).flatten().to_numpy(zero_copy_only=False)
-            table = flat.astype(np.float64).reshape(len(keep), dim)
-            scale = np.linalg.norm(table, axis=1)[:, None] * lengths[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.where(scale > 0, 1.0 - (table @ matrix.T) / scale, np.nan)
-            ids = np.asarray(batch.column("id").to_pylist(), dtype=object)[keep]
-            out_q, out_id, out_d = [], [], []
-            for j, qid in enumerate(qids):
-                column = distance[:, j]
-                usable = np.flatnonzero(~np.isnan(column))
-                if len(usable) > k:
-                    # keep every row that ties with the k-th, the final rank decides by id
-                    limit = np.partition(column[usable], k - 1)[k - 1]
-                    usable = usable[column[usable] <= limit]
-                order = np.lexsort((ids[usable].astype(str), column[usable]))[:k]
-                chosen = usable[order]
-                out_q += [qid] * len(chosen)
-                out_id += ids[chosen].tolist()
-                out_d += column[chosen].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q, pa.string()), pa.array(out_id, pa.string()), pa.array(out_d, pa.float64())],
-                ["qid", "id", "distance"],
-            )
+            sizes = np.asarray(batch.column("embedding").value_lengths().fill_null(-1))
+            usable = np.flatnonzero(sizes == dim)
+            for start in range(0, len(usable), step):
+                keep = pa.array(usable[start : start + step])
+                flat = batch.column("embedding").take(keep).flatten().to_numpy(zero_copy_only=False)
+                table = flat.astype(np.float64).reshape(len(keep), dim)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    table /= np.linalg.norm(table, axis=1)[:, None]
+                # rounded, so that equal vectors tie wherever they stand in a product
+                distance = np.round(1.0 - table @ unit.T, 12)
+                ids = np.asarray(batch.column("id").take(keep).to_pylist(), dtype=str)
+                for j, one in enumerate(best):
+                    one.add(ids, distance[:, j])
+        for qid, one in zip(qids, best):
+            if len(one.ids):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([qid] * len(one.ids), pa.string()),
+                        pa.array(one.ids.tolist(), pa.string()),
+                        pa.array(one.distances, pa.float64()),
+                    ],
+                    ["qid", "id", "distance"],
+                )
 
     return rows.mapInArrow(score, "qid string, id string, distance double")
 
 
+class _Best:
+    """The k nearest rows of a task for one query, ties by id."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.ids = np.array([], dtype=str)
+        self.distances = np.array([], dtype=np.float64)
+
+    def add(self, ids: np.ndarray, distances: np.ndarray) -> None:
+        worst = self.distances[-1] if len(self.ids) == self.k else np.inf
+        # rows without a distance compare as false and drop out
+        found = np.flatnonzero(distances <= worst)
+        if len(found) > self.k:
+            # keep every row that ties with the k-th, the order by id decides
+            limit = np.partition(distances[found], self.k - 1)[self.k - 1]
+            found = found[distances[found] <= limit]
+        if len(found):
+            all_ids = np.concatenate([self.ids, ids[found]])
+            all_distances = np.concatenate([self.distances, distances[found]])
+            order = np.lexsort((all_ids, all_distances))[: self.k]
+            self.ids, self.distances = all_ids[order], all_distances[order]
+
+
 def search_stats(results: DataFrame) -> DataFrame:
     """Result count and mean score per query of a many-query search."""
     return results.groupBy("qid").agg(

@@ -77,9 +77,17 @@ def flush_open(spark: SparkSession, embedder: embed.Embedder, table: str, last_b
     spark.createDataFrame([], OPEN_EVENTS).write.mode("overwrite").parquet(folder)
 
 
-def write_batch(rows: DataFrame, table: str, batch: int) -> None:
-    """One pass writes kept and rejected rows; writing a batch again replaces it."""
-    rows.write.mode("overwrite").partitionBy("rejected", "day").parquet(f"{table}/batch={batch}")
+def write_batch(rows: DataFrame, table: str, batch: int, rebalance: bool = False) -> None:
+    """One pass writes kept and rejected rows; writing a batch again replaces it.
+
+    Rows are sorted by group and time inside each file, so the row group statistics serve
+    filters on both; the writer needs a sort by folder anyway. `rebalance` is for loads
+    that span many days: it gathers a day in few files and splits large days.
+    """
+    if rebalance:
+        rows = rows.hint("rebalance", "rejected", "day")
+    ordered = rows.sortWithinPartitions("rejected", "day", "log_group", "ts_ms")
+    ordered.write.mode("overwrite").partitionBy("rejected", "day").parquet(f"{table}/batch={batch}")
 
 
 def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
