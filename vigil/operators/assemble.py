@@ -10,19 +10,27 @@ from vigil.functions import vectors as vx
 
 
 def parse_header(lines: DataFrame) -> DataFrame:
-    """Adds is_header, ts_ms, log_stream and rest; the line loses its trailing space."""
-    line = tx.trim_end("line")
-    parts = lines.withColumn("line", line)
+    """Adds is_header, ts_ms, log_stream and rest; the line loses its trailing space.
+
+    The header pattern is applied once per line: its groups are written out as lines and
+    split again, which is safe since neither a line nor a group holds a line feed. Lines
+    without the dash of a date are not tried.
+    """
+    groups = F.split(F.regexp_replace("line", tx.HEADER, "\n$1\n$2\n$3"), "\n")
+    parts = F.when(F.substring("line", 5, 1) == "-", groups)
+    is_header = F.coalesce(F.size("_parts") == 4, F.lit(False))
+
+    def group(number: int) -> Column:
+        return F.when(F.col("is_header"), F.get("_parts", F.lit(number)))
+
     return (
-        parts.withColumn("is_header", F.col("line").rlike(tx.HEADER))
-        .withColumn(
-            "ts_ms",
-            F.when(
-                F.col("is_header"), tx.iso_to_ms(F.regexp_extract("line", tx.HEADER, 1))
-            ),
+        lines.withColumn("line", tx.trim_end("line"))
+        .withColumn("_parts", parts)
+        .withColumn("is_header", is_header)
+        .withColumns(
+            {"ts_ms": tx.iso_to_ms(group(1)), "log_stream": group(2), "rest": group(3)}
         )
-        .withColumn("log_stream", F.when(F.col("is_header"), F.regexp_extract("line", tx.HEADER, 2)))
-        .withColumn("rest", F.when(F.col("is_header"), F.regexp_extract("line", tx.HEADER, 3)))
+        .drop("_parts")
     )
 
 
