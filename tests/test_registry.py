@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from vigil.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = queries.QUERIES, oracles.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables not present")
 
@@ -25,6 +26,11 @@ def duck():
     return con
 
 
+def test_contract_holds_all():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql())
+
+
 def test_names_match():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"search_by_text", "ann_search", "embed_hash"}
