@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigil.llm import sentencepiece_codec
+from vigil.llm import (
+    decontaminate, exact_topk, language_id, line_dedup, resharding, secret_scan, sentencepiece_codec,
+)
 from vigil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,5 +28,75 @@ def op1_sentencepiece(spark, d):
     return sentencepiece_codec.digests(table(spark, d, "documents"), model_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece,)}
-ORACLES: dict[str, str] = {}
+def op2_secret_scan(spark, d):
+    return secret_scan.digests(secret_scan.scan(table(spark, d, "documents")))
+
+
+def op3_decontaminate(spark, d):
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op4_line_dedup(spark, d):
+    return line_dedup.digests(table(spark, d, "documents"))
+
+
+def op6_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    return language_id.predict(docs, language_id.fit(docs)).withColumn("held_out", language_id.held_out())
+
+
+def op7_exact_topk(spark, d):
+    return exact_topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op8_resharding(spark, d):
+    """From shards by source, of very unequal sizes, to 40 shards of equal size."""
+    docs = table(spark, d, "documents")
+    moved = resharding.reshard(docs, F.crc32(F.col("source").cast("binary")), shards=40)
+    return moved.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op6_language_id, op7_exact_topk, op8_resharding,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
+        pair AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM line),
+        again AS (
+            SELECT doc_id, i FROM (
+                SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS r
+                FROM pair WHERE next IS NOT NULL
+            ) WHERE r > 1
+        ),
+        gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+            FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines,
+               (coalesce(len(d.lines), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
+    "op7_exact_topk": """
+        WITH rows AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, r.vec_id,
+                   list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM rows q JOIN rows r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+        ) WHERE rank <= 20
+    """,
+}
