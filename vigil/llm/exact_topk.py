@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 #: Rows and queries of a block; rows and queries of the tile whose scores are held at once.
 ROWS, QUERIES, TILE_ROWS, TILE_QUERIES = 16_384, 4_096, 2_048, 256
-LEAST = np.iinfo(np.int64).min
+LEAST = np.iinfo(np.int64).min + 1
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
