@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import (
-    decontaminate, exact_topk, language_id, line_dedup, resharding, secret_scan, sentencepiece_codec,
+    decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, resharding, secret_scan, sentencepiece_codec,
 )
 from vigil.llm.common import table
 
@@ -40,6 +40,10 @@ def op4_line_dedup(spark, d):
     return line_dedup.digests(table(spark, d, "documents"))
 
 
+def op5_minhash_dedup(spark, d):
+    return minhash_dedup.near_duplicates(table(spark, d, "documents"), share=75)
+
+
 def op6_language_id(spark, d):
     docs = table(spark, d, "documents")
     return language_id.predict(docs, language_id.fit(docs)).withColumn("held_out", language_id.held_out())
@@ -61,7 +65,8 @@ def op8_resharding(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op6_language_id, op7_exact_topk, op8_resharding,
+        op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op5_minhash_dedup,
+        op6_language_id, op7_exact_topk, op8_resharding,
     )
 }
 ORACLES: dict[str, str] = {
@@ -85,6 +90,29 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(k.text, '')) AS kept_sha256
         FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
+    "op5_minhash_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+            ) AS w FROM documents
+        ),
+        s AS (
+            SELECT doc_id, CASE
+                WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh
+            FROM d
+        ),
+        e AS (SELECT doc_id, unnest(sh) AS x, len(sh) AS n FROM s),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id
+            HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+        ),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS node, doc_id AS c FROM d UNION SELECT b, c FROM reach JOIN both_ways ON node = a)
+        SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, r.c AS component_id, r.c = s.doc_id AS kept
+        FROM s JOIN (SELECT node, min(c) AS c FROM reach GROUP BY node) r ON s.doc_id = r.node
+    """,
     "op7_exact_topk": """
         WITH rows AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
