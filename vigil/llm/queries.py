@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import (
     decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, resharding, secret_scan, sentencepiece_codec,
+    substring_dedup,
 )
 from vigil.llm.common import table
 
@@ -62,11 +63,15 @@ def op8_resharding(spark, d):
     )
 
 
+def op9_substring_dedup(spark, d):
+    return substring_dedup.digests(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op5_minhash_dedup,
-        op6_language_id, op7_exact_topk, op8_resharding,
+        op6_language_id, op7_exact_topk, op8_resharding, op9_substring_dedup,
     )
 }
 ORACLES: dict[str, str] = {
@@ -127,4 +132,21 @@ ORACLES: dict[str, str] = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
         ) WHERE rank <= 20
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        win AS (
+            SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda j: md5(array_to_string(w[j : j + 49], ' ')))) AS h
+            FROM d WHERE len(w) >= 50
+        ),
+        lo AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN lo USING (h) WHERE doc_id > lo),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+            FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
 }
