@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import (
     decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, resharding, secret_scan, sentencepiece_codec,
-    substring_dedup,
+    substring_dedup, suffix_dedup,
 )
 from vigil.llm.common import table
 
@@ -67,11 +67,16 @@ def op9_substring_dedup(spark, d):
     return substring_dedup.digests(table(spark, d, "documents"))
 
 
+def op10_suffix_dedup(spark, d):
+    return suffix_dedup.digests(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op5_minhash_dedup,
         op6_language_id, op7_exact_topk, op8_resharding, op9_substring_dedup,
+        op10_suffix_dedup,
     )
 }
 ORACLES: dict[str, str] = {
