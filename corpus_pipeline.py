@@ -1,8 +1,63 @@
-"""From raw to training-ready documents: stages over the `documents` table."""
+"""From raw to training-ready documents: stages over the `documents` table.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. `run` writes what a
+stage returns to the shared folder as Parquet and reads it back for the next one. All stages but the
+last return the columns of `documents`; the last adds token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.llm import decontaminate, language_id, line_dedup, minhash_dedup, sentencepiece_codec
+from vigil.llm.common import materialize, table
+from vigil.llm.queries import model_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model rejects go: no letters, or far from every language."""
+    return language_id.keep(docs, language_id.fit(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines go out of the texts; a document of which nothing is left goes."""
+    kept = line_dedup.dedup(docs)
+    changed = F.col("__removed") > 0
+    return kept.where(~(changed & (F.col("text") == ""))).withColumn(
+        "n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    ).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    gone = minhash_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark items in them go."""
+    return decontaminate.keep(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its token ids, their number, and whether they decode to the text."""
+    return sentencepiece_codec.tokenised(docs, model_path())
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("minhash_dedup", near_duplicates),
+    ("decontaminate", benchmark),
+    ("sentencepiece", tokens),
+]
+#: SQL has no SentencePiece; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

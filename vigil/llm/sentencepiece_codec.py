@@ -374,3 +374,30 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     return common.id_text(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
+
+
+def tokenised(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
+    """`docs` with `ids`, `n_tokens` and `decodes` (the ids give the text back) behind its columns.
+
+    Columns of `docs` with one of these names are replaced.
+    """
+    added = {"ids": "array<int>", "n_tokens": "long", "decodes": "boolean"}
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in added])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches):
+        tool = codec(model_file)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            counts, parts = np.zeros(batch.num_rows, np.int64), [np.empty(0, np.int32)]
+            back: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+            for row, ids in tool.stream(x.as_py() for x in texts):
+                back[row].append(tool.decode(ids, first=not counts[row]))
+                counts[row] += len(ids)
+                parts.append(ids)
+            at = np.concatenate([[0], np.cumsum(counts)])
+            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            same = [b"".join(b) == (t.as_py() or "").encode("utf-8", "surrogatepass") for b, t in zip(back, texts)]
+            yield pa.record_batch([*batch.columns, ids, pa.array(counts), pa.array(same)], [*batch.schema.names, *added])
+
+    return docs.mapInArrow(run, ", ".join([schema, *[f"{n} {t}" for n, t in added.items()]]))
