@@ -20,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm import common
+
 WINDOW, LEAST_WORDS, COVERED = 8, 5, 13
 #: Benchmark windows up to this number are broadcast (about 20 MB), others are shuffled.
 BROADCAST_ROWS = 200_000
-_PUNCTUATION = ".,;:!?\"'()[]{}<>*_`$€£-–—"
 # Words that stand for units and for numbers.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram",
@@ -38,79 +39,108 @@ NUMBER_WORDS = (
 )
 
 
+#: Placeholders begin with a bracket that no punctuation rule touches.
+NAME, NUM, UNIT = "⟨name⟩", "⟨num⟩", "⟨unit⟩"
+_SPACES = "[\\x20\\t-\\r]+"
+#: Punctuation, wherever it stands; inner apostrophes and hyphens stay.
+_EDGES = "[.,;:!?\"()\\[\\]{}<>*$€£]+"
+#: A capitalised word behind a word that doesn't end a sentence.
+_NAME = "(?<=[^.!?\\s]\\s)\\p{Lu}\\p{Ll}+\\S*"
+_NUMBER = "(?<![^\\s])[0-9]\\S*"
+_NUMBER_WORD = "(?<![^\\s])(?:" + "|".join(NUMBER_WORDS) + ")(?![^\\s])"
+#: Only behind a number, as in "5 km".
+_UNIT = f"(?<={NUM}\\s)(?:" + "|".join(UNITS) + ")(?![^\\s])"
+
+
+def _bare(text: Column) -> Column:
+    """Lower case without punctuation at the ends of words; words keep their white space between them."""
+    return F.regexp_replace(F.lower(text), _EDGES, "")
+
+
+def template(text: Column) -> Column:
+    """A text with a placeholder in the place of every number, name and unit; no word is split or joined."""
+    named = _bare(F.regexp_replace(text, _NAME, NAME))
+    counted = F.regexp_replace(named, _NUMBER_WORD, NUM)
+    counted = F.when(F.regexp_like(counted, F.lit("[0-9]")), F.regexp_replace(counted, _NUMBER, NUM)).otherwise(counted)
+    return F.when(F.contains(counted, F.lit(NUM)), F.regexp_replace(counted, _UNIT, UNIT)).otherwise(counted)
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[\\x20\\t-\\r]+"), lambda w: w != "")
+    # the ends of a text may leave an empty word
+    return F.filter(F.split(text, _SPACES), lambda w: w != "")
 
 
-def templates(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """name, raw array (bare lower-case words), kind array (placeholder or null), by row."""
+def _text(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias(name), F.col(f"`{text_col}`").cast("string").alias("text"))
-    words = rows.where(F.col("text").isNotNull()).select(name, _words(F.col("text")).alias("words"))
-    first = lambda w: F.substring(w, 1, 1)
-    rest = lambda w: F.substring(w, 2, 1_000_000)
-    parts = words.select(
-        name,
-        F.transform(
-            "words",
-            lambda w, i: F.struct(
-                F.btrim(F.lower(w), F.lit(_PUNCTUATION)).alias("raw"),
-                (
-                    (first(w) != F.lower(first(w))) & (rest(w) == F.lower(rest(w))) & (i > 0)
-                    & ~F.substring(F.get(F.col("words"), i - 1), -1, 1).isin(".", "!", "?")
-                ).alias("cap"),
-            ),
-        ).alias("parts"),
+    return rows.where(F.col("text").isNotNull())
+
+
+def templates(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """name, raw (bare words), word (template words), by row."""
+    return _text(df, id_col, text_col, name).select(
+        name, _words(_bare(F.col("text"))).alias("raw"), _words(template(F.col("text"))).alias("word")
     )
 
-    def kind(p):
-        return (
-            F.when((p["raw"] >= "0") & (p["raw"] < ":"), F.lit("<num>"))
-            .when(p["raw"].isin(*NUMBER_WORDS), F.lit("<num>"))
-            .when(p["raw"].isin(*UNITS), F.lit("<unit>"))
-            .when(p["cap"], F.lit("<name>"))
-        )
 
-    return parts.select(name, F.col("parts.raw").alias("raw"), F.transform("parts", kind).alias("kind"))
+def windows(rows: DataFrame, name: str, length: int) -> DataFrame:
+    """name, h, at, slots, strict: windows of `length` words.
 
+    slots: the bare words under placeholders, "" elsewhere; null without placeholders. strict: the hash
+    of all bare words, where there are more placeholders than words.
+    """
 
-def windows(rows: DataFrame, name: str, length: int, least: int) -> DataFrame:
-    """name, h, at, slots: windows of `length` words of rows with at least `least`."""
-    hashed = rows.where(F.size("raw") >= least).select(
-        name, "raw", "kind",
-        F.transform("raw", lambda w, i: F.xxhash64(F.coalesce(F.get(F.col("kind"), i), w))).alias("word"),
+    def window(i):
+        words, raw = F.slice(F.col("word"), i + 1, length), F.slice(F.col("raw"), i + 1, length)
+        filled = F.zip_with(words, raw, lambda t, w: F.when(t.startswith(NAME[0]), w).otherwise(F.lit("")))
+        return F.struct(F.xxhash64(words).alias("h"), i.alias("at"), filled.alias("slots"), F.xxhash64(raw).alias("strict"))
+
+    each = F.transform(F.sequence(F.lit(0), F.size("word") - length), window)
+    rows = rows.where(F.size("word") >= length).select(name, F.explode(each).alias("w")).select(name, "w.*")
+    free = F.size(F.filter("slots", lambda x: x != ""))
+    return rows.select(
+        name, "h", "at", F.when(free > 0, F.col("slots")).alias("slots"), F.when(free * 2 > length, F.col("strict")).alias("strict")
     )
 
-    def window(i):
-        slots = F.slice(F.col("kind"), i + 1, length)
-        free = F.size(F.filter(slots, lambda k: k.isNotNull()))
-        raw = F.slice(F.col("raw"), i + 1, length)
-        filled = F.zip_with(slots, raw, lambda k, w: F.when(k.isNotNull(), w))
-        return F.struct(
-            F.when(free * 2 > length, F.xxhash64(F.lit(length), raw)).otherwise(F.xxhash64(F.slice(F.col("word"), i + 1, length))).alias("h"),
-            i.alias("at"),
-            F.when(free > 0, F.transform(filled, lambda w: F.coalesce(w, F.lit("")))).alias("slots"),
-        )
 
-    each = F.transform(F.sequence(F.lit(0), F.size("raw") - length), window)
-    return hashed.select(name, F.explode(each).alias("w")).select(name, "w.h", "w.at", "w.slots")
+def _candidates(docs: DataFrame, grams: dict[int, DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """doc_id of the documents that share a template window with the benchmark, in one pass over all windows."""
+    words = _text(docs, id_col, text_col, "doc_id").select("doc_id", _words(template(F.col("text"))).alias("word"))
+    found = None
+    for n, gram in grams.items():
+        hashed = F.transform(F.sequence(F.lit(0), F.size("word") - n), lambda i: F.xxhash64(F.slice(F.col("word"), i + 1, n)))
+        own = words.where(F.size("word") >= n).select("doc_id", F.explode(hashed).alias("h"))
+        hit = own.join(gram.select("h").distinct() if not _small(gram) else F.broadcast(gram.select("h").distinct()), "h", "left_semi")
+        found = hit.select("doc_id") if found is None else found.unionByName(hit.select("doc_id"))
+    return found.distinct()
+
+
+def _small(grams: DataFrame) -> bool:
+    return grams.count() <= BROADCAST_ROWS
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched, n_replaced (slots with another value), contaminated."""
     items = templates(benchmark, item_col, item_text, "item_id").dropDuplicates(["item_id"])
-    items = items.where(F.size("raw") >= LEAST_WORDS)
-    texts = templates(docs, id_col, text_col, "doc_id")
-    length = F.least(F.size("raw"), F.lit(WINDOW))
+    items = common.materialize(items.where(F.size("word") >= LEAST_WORDS), "items")
+    length = F.least(F.size("word"), F.lit(WINDOW))
     # at most WINDOW different lengths
     lengths = sorted(r[0] for r in items.select(length).distinct().collect()) or [WINDOW]
+    grams = {
+        n: windows(items.where(length == n), "item_id", n).select(
+            "item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("strict").alias("item_strict")
+        )
+        for n in lengths
+    }
+    # only documents with a hit are looked at closely
+    hits = common.materialize(_candidates(docs, grams, id_col, text_col), "hits")
+    near = _text(docs, id_col, text_col, "doc_id").join(hits.withColumnRenamed("doc_id", "__hit"), F.expr("doc_id <=> __hit"), "left_semi")
+    texts = common.materialize(templates(near, "doc_id", "text", "doc_id"), "hits")
     pairs = None
-    for n in lengths:
-        own = items.where(length == n)
-        grams = windows(own, "item_id", n, n).select("item_id", F.col("h"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-        if grams.count() <= BROADCAST_ROWS:
-            grams = F.broadcast(grams)
-        found = windows(texts, "doc_id", n, n).join(grams, "h").withColumn("words", F.lit(n))
+    for n, gram in grams.items():
+        found = windows(texts, "doc_id", n).join(F.broadcast(gram) if _small(gram) else gram, "h").withColumn("words", F.lit(n))
         pairs = found if pairs is None else pairs.unionByName(found)
+    # windows of placeholders for the most part have to be equal word by word
+    pairs = pairs.where(F.coalesce(F.col("strict") == F.col("item_strict"), F.lit(True)))
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
     by = ["doc_id", "item_id", "shift"]
     # a place of the item and a value there, with the value that the document has instead
@@ -129,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     same = F.expr(" AND ".join(f"{c} <=> __{c}" for c in by))
     right = judged.select(*[F.col(c).alias(f"__{c}") for c in by], "broken", "replaced")
     good = aligned.join(right, same, "left").where(~F.coalesce("broken", F.lit(False)))
-    total = items.select(F.col("item_id").alias("__item"), (F.size("raw") - length + 1).alias("n_windows"))
+    total = items.select(F.col("item_id").alias("__item"), (F.size("word") - length + 1).alias("n_windows"))
     found = good.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_matched"),
         F.max("words").alias("words"), F.min(F.coalesce("replaced", F.lit(0))).alias("n_replaced"),
