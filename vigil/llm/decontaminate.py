@@ -41,45 +41,55 @@ NUMBER_WORDS = (
 
 #: Placeholders begin with a bracket that no punctuation rule touches.
 NAME, NUM, UNIT = "⟨name⟩", "⟨num⟩", "⟨unit⟩"
-_SPACES = "[\\x20\\t-\\r]+"
-#: Punctuation, wherever it stands; inner apostrophes and hyphens stay.
-_EDGES = "[.,;:!?\"()\\[\\]{}<>*$€£]+"
-#: A capitalised word behind a word that doesn't end a sentence.
-_NAME = "(?<=[^.!?\\s]\\s)\\p{Lu}\\p{Ll}+\\S*"
-_NUMBER = "(?<![^\\s])[0-9]\\S*"
-_NUMBER_WORD = "(?<![^\\s])(?:" + "|".join(NUMBER_WORDS) + ")(?![^\\s])"
-#: Only behind a number, as in "5 km".
-_UNIT = f"(?<={NUM}\\s)(?:" + "|".join(UNITS) + ")(?![^\\s])"
+_SPACES, _BLANK = "[\\x20\\t-\\r]+", " \t\n\x0b\x0c\r"
+_EDGES = ".,;:!?\"'()[]{}<>*_`$€£-–—"
 
 
-def _bare(text: Column) -> Column:
-    """Lower case without punctuation at the ends of words; words keep their white space between them."""
-    return F.regexp_replace(F.lower(text), _EDGES, "")
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is worked out once for each row, however often it is used or filtered on.
 
+    Projections are merged and filters pushed through them, which repeats their expressions; rows that a
+    generator makes are left alone.
+    """
+    return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
-def template(text: Column) -> Column:
-    """A text with a placeholder in the place of every number, name and unit; no word is split or joined."""
-    named = _bare(F.regexp_replace(text, _NAME, NAME))
-    counted = F.regexp_replace(named, _NUMBER_WORD, NUM)
-    counted = F.when(F.regexp_like(counted, F.lit("[0-9]")), F.regexp_replace(counted, _NUMBER, NUM)).otherwise(counted)
-    return F.when(F.contains(counted, F.lit(NUM)), F.regexp_replace(counted, _UNIT, UNIT)).otherwise(counted)
 
+def templates(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """name, raw (lower-case words without punctuation at their ends), word (template words), by row."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias(name), text.alias("text")).where(F.col("text").isNotNull())
+    rows = _once(rows, "words", F.split(F.btrim("text", F.lit(_BLANK)), _SPACES)).drop("text")
+    rows = _once(rows, "raw", F.transform("words", lambda w: F.btrim(F.lower(w), F.lit(_EDGES))))
+    number = lambda w: ((w >= "0") & (w < ":")) | w.isin(*NUMBER_WORDS)
+
+    def placed(raw, i):
+        word, before = F.get(F.col("words"), i), F.get(F.col("words"), i - 1)
+        first, rest = F.substring(word, 1, 1), F.substring(word, 2, 1_000_000)
+        # all capitals are no name, nor is a capital behind the end of a sentence
+        named = (first != F.lower(first)) & (rest == F.lower(rest)) & ~F.substring(before, -1, 1).isin(".", "!", "?")
+        return (
+            F.when(number(raw), F.lit(NUM)).when(raw.isin(*UNITS) & number(F.get(F.col("raw"), i - 1)), F.lit(UNIT))
+            .when(named, F.lit(NAME)).otherwise(raw)
+        )
 
-def _words(text: Column) -> Column:
-    # the ends of a text may leave an empty word
-    return F.filter(F.split(text, _SPACES), lambda w: w != "")
+    return _once(rows, "word", F.transform("raw", placed)).select(name, "raw", "word")
 
 
-def _text(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias(name), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.where(F.col("text").isNotNull())
+def with_grams(df: DataFrame, length: int) -> DataFrame:
+    """`df`, whose column `word` has at least `length` words, with the hash of each window of so many as array `grams`.
 
+    Windows of 2, 4, 8 ... words are hashed from the two halves, so a window costs a few steps and no copies.
+    """
 
-def templates(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """name, raw (bare words), word (template words), by row."""
-    return _text(df, id_col, text_col, name).select(
-        name, _words(_bare(F.col("text"))).alias("raw"), _words(template(F.col("text"))).alias("word")
-    )
+    def joined(df, apart, to):
+        pairs = F.zip_with("grams", F.slice("grams", apart + 1, F.size("grams")), lambda a, b: F.xxhash64(a, b))
+        # at the end there are no second halves
+        return _once(df, "grams", F.slice(pairs, 1, F.greatest(F.size("word") - to + 1, F.lit(0))))
+
+    df, size = _once(df, "grams", F.transform("word", lambda w: F.xxhash64(w))), 1
+    while size * 2 <= length:
+        df, size = joined(df, size, size * 2), size * 2
+    return joined(df, length - size, length) if size < length else df
 
 
 def windows(rows: DataFrame, name: str, length: int) -> DataFrame:
@@ -89,13 +99,13 @@ def windows(rows: DataFrame, name: str, length: int) -> DataFrame:
     of all bare words, where there are more placeholders than words.
     """
 
-    def window(i):
+    def window(h, i):
         words, raw = F.slice(F.col("word"), i + 1, length), F.slice(F.col("raw"), i + 1, length)
         filled = F.zip_with(words, raw, lambda t, w: F.when(t.startswith(NAME[0]), w).otherwise(F.lit("")))
-        return F.struct(F.xxhash64(words).alias("h"), i.alias("at"), filled.alias("slots"), F.xxhash64(raw).alias("strict"))
+        return F.struct(h.alias("h"), i.alias("at"), filled.alias("slots"), F.xxhash64(raw).alias("strict"))
 
-    each = F.transform(F.sequence(F.lit(0), F.size("word") - length), window)
-    rows = rows.where(F.size("word") >= length).select(name, F.explode(each).alias("w")).select(name, "w.*")
+    rows = with_grams(rows.where(F.size("word") >= length), length)
+    rows = rows.select(name, F.explode(F.transform("grams", window)).alias("w")).select(name, "w.*")
     free = F.size(F.filter("slots", lambda x: x != ""))
     return rows.select(
         name, "h", "at", F.when(free > 0, F.col("slots")).alias("slots"), F.when(free * 2 > length, F.col("strict")).alias("strict")
@@ -104,11 +114,10 @@ def windows(rows: DataFrame, name: str, length: int) -> DataFrame:
 
 def _candidates(docs: DataFrame, grams: dict[int, DataFrame], id_col: str, text_col: str) -> DataFrame:
     """doc_id of the documents that share a template window with the benchmark, in one pass over all windows."""
-    words = _text(docs, id_col, text_col, "doc_id").select("doc_id", _words(template(F.col("text"))).alias("word"))
+    words = templates(docs, id_col, text_col, "doc_id").select("doc_id", "word")
     found = None
     for n, gram in grams.items():
-        hashed = F.transform(F.sequence(F.lit(0), F.size("word") - n), lambda i: F.xxhash64(F.slice(F.col("word"), i + 1, n)))
-        own = words.where(F.size("word") >= n).select("doc_id", F.explode(hashed).alias("h"))
+        own = with_grams(words.where(F.size("word") >= n), n).select("doc_id", F.explode("grams").alias("h"))
         hit = own.join(gram.select("h").distinct() if not _small(gram) else F.broadcast(gram.select("h").distinct()), "h", "left_semi")
         found = hit.select("doc_id") if found is None else found.unionByName(hit.select("doc_id"))
     return found.distinct()
@@ -133,7 +142,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     }
     # only documents with a hit are looked at closely
     hits = common.materialize(_candidates(docs, grams, id_col, text_col), "hits")
-    near = _text(docs, id_col, text_col, "doc_id").join(hits.withColumnRenamed("doc_id", "__hit"), F.expr("doc_id <=> __hit"), "left_semi")
+    near = common.id_text(docs, id_col, text_col).join(hits.withColumnRenamed("doc_id", "__hit"), F.expr("doc_id <=> __hit"), "left_semi")
     texts = common.materialize(templates(near, "doc_id", "text", "doc_id"), "hits")
     pairs = None
     for n, gram in grams.items():
