@@ -113,4 +113,5 @@ def test_conversation_files(spark, tmp_path):
     row = convo.summary(turns).first()
     assert (row.conv_id, row.message_count, row.preview, row.updated_at) == ("c1", 1, "hi", "2026")
     conversations.write_turns(turns, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    back = conversations.read_turns(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, turns.collect()))

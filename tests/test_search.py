@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,9 +113,7 @@ def test_multi_search_of_nothing(rows):
 
 
 def test_hash_embedder_equals_hand_count(spark):
-    from pyspark.ml.feature import HashingTF
-
-    slot = HashingTF(inputCol="a", outputCol="b", numFeatures=32).indexOf
+    slot = lambda word: int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 32
     text = "Timeout contacting DB\ttimeout  again"
     counts = np.zeros(32)
     for word in text.lower().split():
@@ -132,20 +132,23 @@ def test_search_by_text_finds_the_text(spark, logs):
     assert best.id == "0"
 
 
-def test_ann_recall_and_completion(rows):
-    index = ann.BucketIndex(rows, tables=8, bucket=1.0)
-    indexed = index.transform(rows).cache()
+def test_sign_index_reads_a_part_and_grows(spark, rows, tmp_path):
+    index = ann.SignIndex(spark, str(tmp_path / "signs"), bits=3)
+    index.append(rows.where("id < '100'"), 0).append(rows.where("id >= '100'"), 1).append(rows.where("id >= '100'"), 1)
+    stored = spark.read.parquet(str(tmp_path / "signs"))
+    assert stored.count() == rows.where(F.size("embedding") > 0).count()
     hits = 0
     for q in (1, 50, 120):
-        query = rows.where(f"id = '{q:03d}'").select("embedding")
-        near = index.search_complete(indexed, query, k=10).collect()
-        wanted = {i for _, i in brute(VECTORS[q].astype(float))[:10]}
-        assert near[0].id == f"{q:03d}" and len(near) == 10
-        hits += len(wanted & {r.id for r in near})
-    assert hits >= 20
-    exact = index.search_complete(indexed, query, k=10, min_shared=9).collect()
-    assert [r.id for r in exact] == [i for _, i in brute(VECTORS[120].astype(float))[:10]]
-    indexed.unpersist()
+        query = VECTORS[q].astype(float).tolist()
+        found = index.search(query, k=10, probes=4)
+        assert len(found.inputFiles()) > 0 and found.first().id == f"{q:03d}"
+        parts = stored.where(F.col("code").isin(index.codes(query, 4)))
+        assert parts.count() < stored.count() and len(index.codes(query, 4)) == 4
+        wanted = [i for _, i in brute(VECTORS[q].astype(float))[:10]]
+        hits += len(set(wanted) & {r.id for r in found.collect()})
+        assert [r.id for r in index.search(query, k=10, probes=8).collect()] == wanted
+        assert all(r.id < "050" for r in index.search(query, k=5, probes=8, condition=F.col("id") < "050").collect())
+    assert hits >= 12
 
 
 @pytest.mark.parametrize("train_rows", [1000, 100])

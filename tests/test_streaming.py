@@ -72,7 +72,7 @@ def test_events_go_on_in_the_next_file(spark, tmp_path):
     query = None
     for name, text in files:
         landing(tmp_path, name, text)
-        query = streams.ingest_stream(spark, source, table, ckpt, embedder, every=None, carry_over=True)
+        query = streams.ingest_stream(spark, source, table, ckpt, embedder, every=None)
         query.awaitTermination()
     messages = lambda: sorted(r.message for r in ingest.read_table(spark, table).collect())
     done = ["one\n more of one\n still one\n end of one", "two", "two"]
@@ -84,12 +84,23 @@ def test_events_go_on_in_the_next_file(spark, tmp_path):
     assert stored.select("id").distinct().count() == stored.count()
 
 
+def test_files_continue_in_the_order_they_were_written(spark, tmp_path):
+    source, table, ckpt = (str(tmp_path / n) for n in ("in", "table", "ckpt"))
+    for i, name in enumerate(("2.log", "10.log")):
+        text = "2025-01-01T00:00:00Z s first\n" if not i else " tail\n2025-01-01T00:00:01Z s second\n"
+        landing(tmp_path, name, text)
+        os.utime(next(p for p in (tmp_path / "in").rglob(name)), (1_700_000_000 + i, 1_700_000_000 + i))
+    streams.ingest_stream(spark, source, table, ckpt, embed.hash_embedder(16), every=None).awaitTermination()
+    ingest.flush_open(spark, embed.hash_embedder(16), table)
+    assert sorted(r.message for r in ingest.read_table(spark, table).collect()) == ["first\n tail", "second"]
+
+
 def test_several_rotated_files_in_one_batch(spark, tmp_path):
     source, table, ckpt = (str(tmp_path / n) for n in ("in", "table", "ckpt"))
     for i in range(6):
         landing(tmp_path, f"{i}.log", f" tail of {i - 1}\n2025-01-01T00:00:0{i}Z s event {i}\n")
     streams.ingest_stream(
-        spark, source, table, ckpt, embed.hash_embedder(16), every=None, carry_over=True
+        spark, source, table, ckpt, embed.hash_embedder(16), every=None
     ).awaitTermination()
     got = sorted(r.message for r in ingest.read_table(spark, table).collect())
     assert got == [f"event {i}\n tail of {i}" for i in range(5)]
@@ -165,7 +176,7 @@ def test_stored_ticks_move_the_cursor_with_the_incidents(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
     class Broken(SnapshotStore):
-        def replace(self, rows, batch_id=-1):
+        def replace(self, rows, batch_id=-1, writer_id=""):
             raise OSError("disk gone")
 
     with pytest.raises(OSError):
@@ -178,6 +189,13 @@ def test_stored_ticks_move_the_cursor_with_the_incidents(spark, tmp_path):
     assert go(700_000) == 700_000  # nothing new: the cursor is the time of the tick
     assert store.read().first().event_count == 60
     assert incidents.read_cursor(cursors.read(), "alerts") == 700_000
+    # another pipeline on the same store has a cursor of its own, and batches of streams are not taken for done
+    other = lambda now: detection.run_tick(
+        logs, store, cursors, str(tmp_path / "out"), now, settings, dedupe=F.lit("other"), pipeline_id="b"
+    )
+    assert other(600_000) == 190_001 and store.read().where("dedupe_key = 'other'").first().event_count == 20
+    assert not store.has_batch(0, "stream:x") and go(800_000) == 800_000
+    assert detection.passed_over(logs, 1_500_000, 1, settings) == 59
 
 
 def test_unfinished_version_is_not_seen(spark, tmp_path):
@@ -207,6 +225,9 @@ def test_rate_and_late_rows(spark, tmp_path):
     query.awaitTermination()
     got = {r.bucket_ms: r.n for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got[0] == 3 and sum(n for b, n in got.items() if b < 3_600_000) == 30
+    streams.rate_to_table(stream(spark, folder), str(tmp_path / "r"), str(tmp_path / "rc"), delay="1 minute", every=None).awaitTermination()
+    shown = {r.bucket_ms: r.n for r in streams.read_rate(spark, str(tmp_path / "r")).collect()}
+    assert sum(shown.values()) == 60 and max(shown) > 3_600_000
     dropped = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
     assert dropped == 1
 

@@ -43,8 +43,11 @@ def envelope(
     """One row: the result rows as JSON, their number, and the limit. At most `max_limit` rows."""
     rows = run_select(spark, sql, limit, max_limit)
     applied = min(DEFAULT_LIMIT if limit is None else int(limit), max_limit)
-    return rows.agg(
-        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("rows"),
+    # the position keeps the order of the result, which a collected list need not
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    listed = F.array_sort(F.collect_list(F.struct("_at", F.struct(*rows.columns).alias("row"))))
+    return numbered.agg(
+        F.to_json(F.transform(listed, lambda r: r["row"])).alias("rows"),
         F.count(F.lit(1)).alias("score"),
         F.lit(applied).alias("limit"),
     )

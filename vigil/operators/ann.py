@@ -1,4 +1,4 @@
-"""Search that reads a part of the log table: hash buckets, or cells with an exact bound."""
+"""Search that reads a part of the log table: folders by sign code, or cells with an exact bound."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import vectors as vx
-from vigil.operators.search import RESULT, nearest, semantic_search, with_distance
+from vigil.operators.search import RESULT, nearest, with_distance
 
 MAX_CELLS = 4096
 
@@ -23,53 +23,46 @@ def _with_unit(df: DataFrame) -> DataFrame:
     return Normalizer(p=2.0, inputCol="_vec", outputCol="_unit").transform(vec).drop("_vec")
 
 
-class BucketIndex:
-    """Random projection buckets; a search looks at the rows sharing a bucket with the query.
+class SignIndex:
+    """A log table laid out by the signs of some vector components, searched approximately.
 
-    Vectors are scaled to length one, so euclidean nearness is cosine nearness. The
-    bucket column can be stored with the rows (`transform` then write); candidates are
-    re-ranked with the exact distance. Fewer than k candidates means the answer is
-    completed from an exact search.
+    The code of a row says which of the first `bits` components are positive; rows lie in one folder
+    per code. A search reads the folders of the `probes` codes that cost least to reach from the
+    query: the sum of the absolute values of the components whose sign differs. It is an
+    approximate operator whatever it finds; the exact one is `search.semantic_search`. New rows are
+    appended batch by batch. Other filters can be given as a condition and reach the files.
     """
 
-    def __init__(self, df: DataFrame, tables: int = 6, bucket: float = 0.6, seed: int = 7):
-        self._lsh = BucketedRandomProjectionLSH(
-            inputCol="_unit", outputCol="buckets", numHashTables=tables, bucketLength=bucket, seed=seed
-        )
-        # Only the vector length is learned from the data.
-        self._model = self._lsh.fit(_with_unit(df.limit(1)))
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds `buckets array<long>`, one bucket per projection."""
-        return (
-            self._model.transform(_with_unit(df))
-            .withColumn(
-                "buckets",
-                F.transform("buckets", lambda v: F.element_at(vector_to_array(v), 1).cast("long")),
-            )
-            .drop("_unit")
-        )
-
-    def search(self, indexed: DataFrame, query: DataFrame, k: int = 20, min_shared: int = 2) -> DataFrame:
-        """`query` is a one-row frame with the column `embedding`."""
-        wanted = self.transform(query.select("embedding")).select("buckets").scalar()
-        shared = F.aggregate(
-            F.zip_with("buckets", "_wanted", lambda a, b: (a == b).cast("int")),
-            F.lit(0),
-            lambda total, hit: total + hit,
-        )
-        near = indexed.withColumn("_wanted", wanted).where(shared >= min_shared).drop("_wanted")
-        best = nearest(with_distance(near, query.select("embedding")).select(*RESULT, "distance"), k)
-        return best.withColumn("score", 1 - F.col("distance"))
+    def __init__(self, spark: SparkSession, path: str, bits: int = 4):
+        self.spark, self.path, self.bits = spark, path.rstrip("/"), bits
+
+    def code(self, vector: Column | str = "embedding") -> Column:
+        c = F.col(vector) if isinstance(vector, str) else vector
+        terms = [F.when(F.get(c, F.lit(i)) > 0, F.lit(1 << i)).otherwise(0) for i in range(self.bits)]
+        return sum(terms[1:], terms[0]).cast("int")
+
+    def append(self, df: DataFrame, batch: int) -> "SignIndex":
+        """Add the rows with a usable vector; a batch that is added again replaces its files."""
+        rows = df.where(vx.is_usable("embedding")).withColumns({"code": self.code(), "batch": F.lit(batch)})
+        rows.hint("rebalance", "code").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "code", "batch"
+        ).parquet(self.path)
+        return self
+
+    def codes(self, query: list[float], probes: int) -> list[int]:
+        """The codes to read, cheapest first."""
+        x = [abs(float(v)) for v in query[: self.bits]]
+        own = sum(1 << i for i in range(self.bits) if query[i] > 0)
+        cost = lambda code: sum(x[i] for i in range(self.bits) if (code ^ own) >> i & 1)
+        return sorted(range(1 << self.bits), key=lambda code: (cost(code), code))[:probes]
 
-    def search_complete(
-        self, indexed: DataFrame, query: DataFrame, k: int = 20, min_shared: int = 2
+    def search(
+        self, query: list[float], k: int = 20, probes: int = 4, condition: Column | None = None
     ) -> DataFrame:
-        """As `search`, but exact when the buckets hold fewer than k rows."""
-        near = self.search(indexed, query, k, min_shared)
-        if near.count() >= k:
-            return near
-        return semantic_search(indexed, query.select("embedding"), k=k, min_len=0)
+        rows = self.spark.read.parquet(self.path).where(F.col("code").isin(self.codes(query, probes)))
+        rows = rows if condition is None else rows.where(condition)
+        best = nearest(with_distance(rows, query).select(*RESULT, "distance"), k)
+        return best.withColumn("score", 1 - F.col("distance"))
 
 
 @dataclass(frozen=True)
@@ -93,23 +86,25 @@ class CellIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
-        stored = spark.read.parquet(f"{path}/cells").limit(MAX_CELLS + 1).collect()
+        cells = spark.read.parquet(f"{path}/cells")
+        if cells.count() > MAX_CELLS:
+            raise ValueError(f"more than {MAX_CELLS} cells")
+        stored = cells.collect()
         self.cells = [Cell(r["cell"], np.array(r["centre"]), r["radius"], r["n"]) for r in stored]
 
     @classmethod
     def build(
-        cls, df: DataFrame, path: str, cells: int = 64, train_rows: int = 200_000, seed: int = 7
+        cls, df: DataFrame, path: str, cells: int = 64, seed: int = 7
     ) -> "CellIndex":
-        """Cluster (on at most about `train_rows` rows), then write every usable row."""
+        """Cluster all usable rows, then write them."""
         if cells > MAX_CELLS:
             raise ValueError(f"at most {MAX_CELLS} cells")
         spark = df.sparkSession
         unit = _with_unit(df)
         total = unit.count()
-        training = unit if total <= train_rows else unit.sample(train_rows / total, seed=seed)
         model = KMeans(
             k=min(cells, max(2, total)), featuresCol="_unit", predictionCol="cell", maxIter=10, seed=seed
-        ).fit(training.select("_unit"))
+        ).fit(unit.select("_unit"))
         centres = spark.createDataFrame(
             [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
             "cell int, centre array<double>",

@@ -132,11 +132,14 @@ def stable_id(*extra: str) -> Column:
     return F.sha2(F.concat_ws("\u0001", *texts), 256)
 
 
-def reject_reason(message: Column | str = "message", vector: Column | str = "embedding") -> Column:
-    """Null for a row that may be stored."""
+def reject_reason(
+    message: Column | str = "message", vector: Column | str = "embedding", ts: Column | str = "ts_ms"
+) -> Column:
+    """Null for a row that may be stored. A row without a time could not be found by any time filter."""
+    time = F.col(ts) if isinstance(ts, str) else ts
     return F.when(~F.coalesce(tx.not_blank(tx.strip_ansi(message)), F.lit(False)), "blank message").when(
         ~vx.is_usable(vector), "no embedding"
-    )
+    ).when(time.isNull(), "no time")
 
 
 def quality_filter(df: DataFrame) -> tuple[DataFrame, DataFrame]:

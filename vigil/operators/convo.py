@@ -1,9 +1,9 @@
 """Conversation histories as prompts, message lists and summaries.
 
 Turns come as rows (conv_id, turn, role, text). Operators that write one text per
-conversation cut it into parts of `span` consecutive turns, so that a conversation
-holding a large share of all turns is spread over tasks; the parts in order are the
-whole text. A conversation shorter than `span` turns has one part, number 0.
+conversation give one row (part 0) each, whatever the turn numbers. With `span` a
+conversation is written as parts of so many turns in order, for conversations too long
+for one value; the parts in order are the whole text.
 """
 
 from __future__ import annotations
@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text as tx
 
-SPAN = 10_000
-
 # Role tags of the prompt format and the text around a tool list.
 ROLES = ("system", "user", "assistant", "tool")
 TAG_OPEN = "<|im_{role}|>{role}<|im_middle|>"
 TAG_CLOSE = "<|im_end|>"
 TOOLS_BEFORE = "\n\nAvailable tools:\n"
-TOOLS_AFTER = "\n\nYou can use tools by calling them with appropriate parameters."
+TOOLS_AFTER = "\n\nCall a tool by its name, with its arguments."
 
 SYSTEM_TEMPLATE = (
     "You investigate incidents in log data.\n"
@@ -30,9 +28,12 @@ SYSTEM_TEMPLATE = (
 DONE = "[DONE]"
 
 
-def part_of(position: Column | str, span: int = SPAN) -> Column:
-    c = F.col(position) if isinstance(position, str) else position
-    return F.call_function("div", F.greatest(c, F.lit(0)), F.lit(span))
+def part_of(key: str, position: str, span: int | None = None) -> Column:
+    """0, or with `span` the number of the part by rank of the position."""
+    if span is None:
+        return F.lit(0).cast("long")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(position)) - 1
+    return F.call_function("div", rank.cast("long"), F.lit(span))
 
 
 def _segment(role: Column, text: Column) -> Column:
@@ -48,13 +49,13 @@ def tool_text(tools: dict[str, str]) -> str:
     return TOOLS_BEFORE + listed + TOOLS_AFTER
 
 
-def render(turns: DataFrame, tools: dict[str, str] | None = None, span: int = SPAN) -> DataFrame:
+def render(turns: DataFrame, tools: dict[str, str] | None = None, span: int | None = None) -> DataFrame:
     """(conv_id, part, prompt): tagged turns, then an open assistant tag.
 
     The tool list goes before the last user turn. Roles without a tag are left out.
     """
     segment = F.struct("turn", _segment(F.col("role"), F.coalesce("text", F.lit(""))).alias("s"))
-    placed = turns.withColumn("part", part_of("turn", span))
+    placed = turns.withColumn("part", part_of("conv_id", "turn", span))
     texts = placed.groupBy("conv_id", "part").agg(
         F.array_sort(F.collect_list(segment)).alias("segments")
     )
@@ -85,13 +86,13 @@ def render(turns: DataFrame, tools: dict[str, str] | None = None, span: int = SP
     )
 
 
-def messages_json(turns: DataFrame, span: int = SPAN) -> DataFrame:
+def messages_json(turns: DataFrame, span: int | None = None) -> DataFrame:
     """(conv_id, part, messages): JSON arrays of {role, content}; tool turns carry their call id."""
     fields = [F.col("role"), F.coalesce("text", F.lit("")).alias("content")]
     if "call_id" in turns.columns:
         fields.insert(1, F.when(F.col("role") == "tool", F.col("call_id")).alias("tool_call_id"))
     listed = F.array_sort(F.collect_list(F.struct("turn", F.struct(*fields).alias("m"))))
-    return turns.groupBy("conv_id", part_of("turn", span).alias("part")).agg(
+    return turns.withColumn("part", part_of("conv_id", "turn", span)).groupBy("conv_id", "part").agg(
         F.to_json(F.transform(listed, lambda e: e["m"])).alias("messages")
     )
 
@@ -136,7 +137,7 @@ def delete(turns: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return turns.join(ids.select("conv_id"), "conv_id", "left_anti")
 
 
-def fold_token_lines(lines: DataFrame, span: int = SPAN) -> DataFrame:
+def fold_token_lines(lines: DataFrame, span: int | None = None) -> DataFrame:
     """Captured answer lines (stream_id, line_no, line) to (stream_id, part, text).
 
     `data:` is optional, nothing after the end mark counts, JSON objects give their
@@ -167,7 +168,7 @@ def fold_token_lines(lines: DataFrame, span: int = SPAN) -> DataFrame:
             token.alias("token"),
         )
     )
-    placed = tokens.withColumn("part", part_of("line_no", span))
+    placed = tokens.withColumn("part", part_of("stream_id", "line_no", span))
     texts = placed.groupBy("stream_id", "part").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "token"))).alias("tokens")
     )
@@ -175,8 +176,11 @@ def fold_token_lines(lines: DataFrame, span: int = SPAN) -> DataFrame:
     ends = (
         placed.groupBy("stream_id", "part")
         .agg(F.min(F.when(F.col("is_done"), F.col("line_no"))).alias("own_done"))
-        .select("stream_id", "part", F.min("own_done").over(whole).alias("done"))
-        .where(F.col("done").isNull() | (F.col("part") <= part_of("done", span)))
+        .select(
+            "stream_id", "part", F.min("own_done").over(whole).alias("done"),
+            F.min(F.when(F.col("own_done").isNotNull(), F.col("part"))).over(whole).alias("done_part"),
+        )
+        .where(F.col("done").isNull() | (F.col("part") <= F.col("done_part")))
     )
     before_end = lambda t: F.col("done").isNull() | (t["line_no"] < F.col("done"))
     return texts.join(ends, ["stream_id", "part"]).select(

@@ -357,8 +357,14 @@ def incident_sessions(df: DataFrame, gap: str = "30 minutes", gap_ms: int = 30 *
     )
 
 
-def alert_prompt(context: DataFrame, interval_ms: int, header: str, footer: str) -> DataFrame:
-    """One prompt per tick for an external scorer: range, busiest groups, sample lines."""
+def alert_prompt(
+    context: DataFrame, interval_ms: int, header: str, footer: str, start_ms: int | None = None
+) -> DataFrame:
+    """One prompt per tick for an external scorer: range, busiest groups, sample lines.
+
+    The range begins at `start_ms`, where a stored tick's window really began, or one interval back.
+    """
+    began = F.col("tick_ms") - interval_ms if start_ms is None else F.lit(start_ms).cast("long")
     line = lambda s: F.concat(
         F.lit("- ["), tx.iso_time(s["ts_ms"]), F.lit("] "), s["log_group"], F.lit(" "),
         s["log_stream"], F.lit(": "), tx.truncate(s["message"], 500),
@@ -367,7 +373,7 @@ def alert_prompt(context: DataFrame, interval_ms: int, header: str, footer: str)
         "\n",
         F.lit(header),
         F.concat(
-            F.lit("Time range: "), tx.iso_time(F.col("tick_ms") - interval_ms),
+            F.lit("Time range: "), tx.iso_time(began),
             F.lit(" .. "), tx.iso_time("tick_ms"),
         ),
         F.concat(F.lit("Aggregates: "), F.substring(F.to_json("aggregates"), 1, 1500)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +17,17 @@ Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
 def hash_embedder(dim: int = DEFAULT_DIM) -> Embedder:
-    """Word counts hashed into `dim` slots, scaled to length one. Runs in the JVM."""
+    """Word counts in `dim` slots, scaled to length one. Runs in the JVM.
+
+    A word's slot is the number in the first eight hexadecimal digits of its MD5, modulo `dim`.
+    """
 
     def apply(df: DataFrame, text_column: str, out_column: str) -> DataFrame:
         words = F.filter(F.split(F.lower(F.coalesce(text_column, F.lit(""))), r"\s+"), lambda w: w != "")
-        counted = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim).transform(
-            df.withColumn("_words", words)
-        )
+        slot = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
+        slots = [str(i) for i in range(dim)]
+        counter = CountVectorizerModel.from_vocabulary(slots, inputCol="_words", outputCol="_counts", minTF=1.0)
+        counted = counter.transform(df.withColumn("_words", F.transform(words, lambda w: slot(w).cast("string"))))
         unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
         return unit.withColumn(out_column, vector_to_array("_unit", "float32")).drop(
             "_words", "_counts", "_unit"
@@ -32,22 +36,28 @@ def hash_embedder(dim: int = DEFAULT_DIM) -> Embedder:
     return apply
 
 
-def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Embedder:
+def model_embedder(
+    load: Callable[[], Callable[[list[str]], list[list[float]]]], cap: int | None = None, batch_size: int = 50
+) -> Embedder:
     """Wrap a model. `load` runs once per worker and returns `encode(texts) -> vectors`.
 
-    When a call fails, its texts get empty vectors; the quality filter then moves
-    those rows to the rejects.
+    `cap` is the number of characters that the model takes, if it has such a limit; a call gets at
+    most `batch_size` texts. When a call fails, its texts are tried one by one; a text that
+    fails alone gets an empty vector, and the quality filter moves its row to the rejects.
     """
 
+    def attempt(model, texts: list[str]) -> list[list[float]]:
+        try:
+            return list(model(texts))
+        except Exception:  # a failed call is data here, not an error of the job
+            return [[]] if len(texts) == 1 else [v for t in texts for v in attempt(model, [t])]
+
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for texts in batches:
-            try:
-                vectors = model(texts.fillna("").tolist())
-            except Exception:  # a failed call is data here, not an error of the job
-                vectors = [[] for _ in range(len(texts))]
-            yield pd.Series(vectors)
+        for batch in batches:
+            texts = [t[:cap] for t in batch.fillna("")]
+            yield pd.Series([v for i in range(0, len(texts), batch_size) for v in attempt(model, texts[i : i + batch_size])])
 
     def apply(df: DataFrame, text_column: str, out_column: str) -> DataFrame:
         return df.withColumn(out_column, encode(F.col(text_column)))
@@ -58,6 +68,6 @@ def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]])
 def embed(
     df: DataFrame, embedder: Embedder, message: str = "message", out: str = "embedding"
 ) -> DataFrame:
-    """Embed the cleaned, capped text; the message column keeps its raw form."""
-    prepared = df.withColumn("embed_text", tx.embed_text(message))
+    """Embed the cleaned text, all of it; the message column keeps its raw form."""
+    prepared = df.withColumn("embed_text", tx.strip_ansi(message))
     return embedder(prepared, "embed_text", out)

@@ -169,8 +169,8 @@ def evidence(incidents: DataFrame, logs: DataFrame) -> DataFrame:
     )
 
 
-def report(incidents: DataFrame, rolled: DataFrame, top: int = 5) -> DataFrame:
-    """One row per incident with its groups, busiest streams, timeline and sample rows.
+def report(incidents: DataFrame, rolled: DataFrame, top: int | None = None) -> DataFrame:
+    """One row per incident with its groups, streams (the `top` busiest, or all), timeline and sample rows.
 
     `incidents` are built rows (with now_ms), `rolled` is the stored rollup of the events,
     so the lists are made from counts and not from the events again.
@@ -186,7 +186,7 @@ def report(incidents: DataFrame, rolled: DataFrame, top: int = 5) -> DataFrame:
         rolled.groupBy("tick_ms", "log_group", "log_stream")
         .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(busiest))
-        .where(F.col("rank") <= top)
+        .where(F.lit(True) if top is None else F.col("rank") <= top)
         .groupBy(F.col("tick_ms").alias("now_ms"))
         .agg(
             F.array_sort(F.collect_list(F.struct("rank", "log_group", "log_stream", "n"))).alias("streams")

@@ -32,7 +32,10 @@ def normalize_severity(severity: Column | str, compat: bool = False) -> Column:
 def clamp_confidence(confidence: Column | str) -> Column:
     """A number in [0, 1]; text that is no finite number counts as 0."""
     c = F.col(confidence) if isinstance(confidence, str) else confidence
-    value = tx.trim_space(c.cast("string")).try_cast("double")
+    plain = tx.trim_space(c.cast("string"))
+    # a cast alone would take suffixes like 5f, too
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    value = F.when(F.regexp_like(plain, F.lit(number)), plain.try_cast("double"))
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
     return F.when(finite, F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).otherwise(0.0)
 

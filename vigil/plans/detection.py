@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.timeparse import MINUTE_MS
 from vigil.operators import alerts, detect, incidents, score
+from vigil.session import materialize
 from vigil.sources.store import SnapshotStore
 
 # Instructions around the rows of a prompt; any scorer that answers in this shape fits.
@@ -28,7 +30,8 @@ Scorer = Callable[[DataFrame], DataFrame]
 class Settings:
     interval_ms: int = 5 * MINUTE_MS
     window_min: int = 10
-    max_events: int | None = 1000
+    #: a tick reads all events behind its cursor, or the oldest so many
+    max_events: int | None = None
     max_samples: int = 5
     top_groups: int = 5
     min_len: int = 10
@@ -45,6 +48,7 @@ def incidents_of(
     scorer: Scorer | None = None,
     dedupe: Column | None = None,
     counts: DataFrame | None = None,
+    start_ms: int | None = None,
 ) -> DataFrame:
     """Built incident rows of all ticks in `ticked` (log rows with tick_ms).
 
@@ -60,7 +64,7 @@ def incidents_of(
         lists = detect.sample_lists(ticked, settings.max_samples)
         return incidents.build(detect.join_samples(gated, lists))
     context = detect.tick_context(ticked, counts, settings.top_groups, settings.max_samples)
-    prompts = detect.alert_prompt(context, settings.interval_ms, PROMPT_HEADER, PROMPT_FOOTER)
+    prompts = detect.alert_prompt(context, settings.interval_ms, PROMPT_HEADER, PROMPT_FOOTER, start_ms)
     gated = score.gate(score.parse_incidents(scorer(prompts)), *bounds)
     return incidents.build(gated.join(context, "tick_ms"))
 
@@ -95,8 +99,9 @@ def tick(
 ) -> tuple[DataFrame, DataFrame]:
     """(incident rows, cursor row) of one tick at `as_of_ms`."""
     window = tick_window(logs, as_of_ms, cursor_ms, settings)
+    start = detect.window_start(as_of_ms, cursor_ms, settings.window_min)
     return (
-        incidents_of(window, settings, scorer, dedupe),
+        incidents_of(window, settings, scorer, dedupe, start_ms=start),
         detect.next_cursor(window, as_of_ms),
     )
 
@@ -115,26 +120,40 @@ def run_tick(
 ) -> int:
     """One stored tick: read behind the cursor, merge incidents, write alerts, move the cursor.
 
-    The commit of the incident table carries the new cursor, so both move together: a tick
-    that fails anywhere is simply run again. The cursor table is a copy for readers.
+    The commit of the incident table carries the pipeline's new cursor, so both move together:
+    a tick that fails anywhere is simply run again. The cursor table is a copy for readers.
+    Window and merged rows are written to the shared folder, so that outbox, snapshot
+    and cursor agree whatever is lost meanwhile.
     """
-    cursor = max(store.head()[2], 0)
-    # The window is bounded and read several times; cursor and incidents see the same rows.
-    window = tick_window(logs, as_of_ms, cursor or None, settings).persist()
+    writer = f"tick:{pipeline_id}"
+    cursor = store.position(writer)
+    window = materialize(tick_window(logs, as_of_ms, cursor, settings), "tick")
     moved = detect.next_cursor(window, as_of_ms, pipeline_id)
     position = moved.first()["last_ts_ms"]
-    built = incidents_of(window, settings, scorer, dedupe)
-    merged = incidents.merge(store.read(), built).persist()
-    try:
-        if merged.where("touched").isEmpty():
-            store.mark(position)
-        else:
-            alerts.outbox(merged, list(channels)).write.mode("overwrite").parquet(
-                f"{outbox_path}/batch={position}"
-            )
-            store.replace(merged, position)
-        cursors.replace(incidents.upsert_cursors(cursors.read(), moved))
-    finally:
-        merged.unpersist()
-        window.unpersist()
+    start = detect.window_start(as_of_ms, cursor, settings.window_min)
+    built = incidents_of(window, settings, scorer, dedupe, start_ms=start)
+    merged = materialize(incidents.merge(store.read(), built), "tick")
+    if merged.where("touched").isEmpty():
+        store.mark(position, writer)
+    else:
+        alerts.outbox(merged, list(channels)).write.mode("overwrite").parquet(
+            f"{outbox_path}/writer={folder_name(writer)}/batch={position}"
+        )
+        store.replace(merged, position, writer)
+    cursors.replace(incidents.upsert_cursors(cursors.read(), moved))
     return position
+
+
+def folder_name(writer: str) -> str:
+    """A writer's id as the name of a folder."""
+    return hashlib.sha1(writer.encode()).hexdigest()[:12]
+
+
+def passed_over(logs: DataFrame, as_of_ms: int, cursor_ms: int, settings: Settings = Settings()) -> int:
+    """Events between a cursor and the window of the next tick, which that tick will not read.
+
+    More than none means that ticks come too rarely for the look-back of `window_min`.
+    """
+    start = detect.window_start(as_of_ms, cursor_ms, settings.window_min)
+    missed = logs.where((F.col("ts_ms") > cursor_ms) & (F.col("ts_ms") <= start))
+    return missed.where(F.char_length("message") >= settings.min_len).count()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vigil.functions.vectors import norm
 from vigil.operators import assemble, embed
 from vigil.schema import INGESTED
+from vigil.session import materialize
+from vigil.sources.store import path_exists
 from vigil.sources.tables import day_of
 
 STORED = ("id", "log_group", "log_stream", "ts_ms", "message", "embedding", "norm")
@@ -45,11 +47,11 @@ OPEN_POSITION = ("file", "event_no", "opened")
 def write_carried(lines: DataFrame, embedder: embed.Embedder, table: str, batch: int) -> None:
     """Write the complete events of a batch, keep the newest of each group for the next one.
 
-    Files of a group continue each other in the order of their names. The open events of
+    Files of a group continue each other in the order of their modification times, then names. The open events of
     a batch are a folder of their own, so a batch that is run again starts from the same.
     """
     spark = lines.sparkSession
-    by_group = lines.withColumn("chunk", F.struct("file", "chunk")).withColumn("file", F.col("log_group"))
+    by_group = lines.withColumn("chunk", F.struct("modified", "file", "chunk")).withColumn("file", F.col("log_group"))
     events = assemble.assemble_events(by_group, strays=True).withColumn(
         "opened", F.lit(batch).cast("long")
     )
@@ -58,17 +60,27 @@ def write_carried(lines: DataFrame, embedder: embed.Embedder, table: str, batch:
         if batch > 0
         else spark.createDataFrame([], OPEN_EVENTS)
     )
-    events = events.persist()
-    try:
-        complete, still_open = assemble.carry_over(events, before)
-        still_open.write.mode("overwrite").parquet(f"{table}-open/batch={batch}")
-        write_batch(finish(complete, embedder, *OPEN_POSITION), table, batch)
-    finally:
-        events.unpersist()
-
-
-def flush_open(spark: SparkSession, embedder: embed.Embedder, table: str, last_batch: int) -> None:
-    """Store the events left open after a stream has been stopped at `last_batch`."""
+    # read twice, so written once
+    complete, still_open = assemble.carry_over(materialize(events, "events"), before)
+    still_open.write.mode("overwrite").parquet(f"{table}-open/batch={batch}")
+    write_batch(finish(complete, embedder, *OPEN_POSITION), table, batch)
+
+
+def last_open(spark: SparkSession, table: str) -> int | None:
+    """The newest batch of a table that has open events."""
+    if not path_exists(spark, f"{table}-open"):
+        return None
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{table}-open")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [f.getPath().getName() for f in found]
+    return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=None)
+
+
+def flush_open(spark: SparkSession, embedder: embed.Embedder, table: str, last_batch: int | None = None) -> None:
+    """Store the events left open after a stream has been stopped at `last_batch`, or at its newest batch."""
+    last_batch = last_open(spark, table) if last_batch is None else last_batch
+    if last_batch is None:
+        return
     folder = f"{table}-open/batch={last_batch}"
     left = spark.read.schema(OPEN_EVENTS).parquet(folder)
     if left.isEmpty():

@@ -37,6 +37,7 @@ ROUTES = {
     "medium": [alerts.CHAT_CHANNEL],
     "low": [alerts.CHAT_CHANNEL],
 }
+SIGN_BITS, SIGN_PROBES = 4, 8
 DETECT_DELAY_MS = 10 * MINUTE_MS
 SESSION_GAP_MS = 30 * MINUTE_MS
 
@@ -138,9 +139,10 @@ def search_by_text(spark, d):
 
 
 def ann_search(spark, d):
-    rows = _doc(spark, d, "inner")
-    index = ann.BucketIndex(rows)
-    found = index.search_complete(index.transform(rows), _query_vector(spark, d), k=10)
+    """The ten nearest rows in the half of the sign index's folders that lies nearest."""
+    index = ann.SignIndex(spark, shared_dir(spark, "signs"), bits=SIGN_BITS).append(_doc(spark, d, "inner"), 0)
+    query = list(_query_vector(spark, d).first()[0])
+    found = index.search(query, k=10, probes=SIGN_PROBES)
     return _rounded_result(found)
 
 
@@ -166,7 +168,7 @@ def embed_hash(spark, d):
     rows = embed.embed(_doc(spark, d), embed.hash_embedder(DIM))
     return rows.select(
         "id", F.size("embedding").alias("dim"), _r(vx.norm("embedding"), 4).alias("norm"),
-        F.array_max("embedding").alias("largest"),
+        _r(F.array_max("embedding").cast("double"), 5).alias("largest"),
     )
 
 
@@ -538,22 +540,22 @@ def sql_envelope(spark, d):
 
 def sql_join(spark, d):
     _views(spark, d)
-    return adhoc.run_select(spark, SQL_JOIN)
+    return adhoc.run_select(spark, SQL_JOIN, max_limit=None)
 
 
 def sql_semi_anti(spark, d):
     _views(spark, d)
-    return adhoc.run_select(spark, SQL_SEMI_ANTI)
+    return adhoc.run_select(spark, SQL_SEMI_ANTI, max_limit=None)
 
 
 def sql_rollup(spark, d):
     _views(spark, d)
-    return adhoc.run_select(spark, SQL_ROLLUP)
+    return adhoc.run_select(spark, SQL_ROLLUP, max_limit=None)
 
 
 def sql_set_ops(spark, d):
     _views(spark, d)
-    return adhoc.run_select(spark, SQL_SET_OPS)
+    return adhoc.run_select(spark, SQL_SET_OPS, max_limit=None)
 
 
 def sql_vector_search(spark, d):
@@ -682,7 +684,9 @@ def _drain(spark, rows: DataFrame, purpose: str) -> DataFrame:
 
 
 def stream_rate(spark, d):
-    return _drain(spark, streams.rate(_event_stream(spark, d), "1 hour"), "rate")
+    base = shared_dir(spark, "rate")
+    streams.rate_to_table(_event_stream(spark, d), f"{base}/out", f"{base}/checkpoint", "1 hour", every=None).awaitTermination()
+    return streams.read_rate(spark, f"{base}/out")
 
 
 def stream_session_incidents(spark, d):
@@ -702,6 +706,7 @@ def stream_ingest(spark, d):
         spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", embed.hash_embedder(DIM),
         every=None, group=F.regexp_extract("file", "log_group=([^/]+)/", 1),
     ).awaitTermination()
+    ingest.flush_open(spark, embed.hash_embedder(DIM), f"{base}/table")
     return ingest.read_table(spark, f"{base}/table").select(
         "log_group", "log_stream", "ts_ms", "message"
     )

@@ -26,6 +26,24 @@ def to_turns(files: DataFrame) -> DataFrame:
     )
 
 
+def to_files(turns: DataFrame) -> DataFrame:
+    """Turn rows as one document per conversation, in the shape that `read_files` reads."""
+    message = F.struct("turn", F.struct(F.col("role"), F.col("text").alias("content")).alias("m"))
+    updated = [F.max("updated_at").alias("updatedAt")] if "updated_at" in turns.columns else []
+    return turns.groupBy(F.col("conv_id").cast("string").alias("id")).agg(
+        F.transform(F.array_sort(F.collect_list(message)), lambda t: t["m"]).alias("messages"), *updated
+    )
+
+
 def write_turns(turns: DataFrame, path: str) -> None:
-    """Turn rows as JSON lines; one file per task, not per conversation."""
-    turns.write.mode("overwrite").json(path)
+    """Conversations as JSON documents, one a line, many in a file.
+
+    `path` must be new: turns that were read from a folder are written to another one and then
+    read from there, so a failed write loses nothing.
+    """
+    to_files(turns).write.mode("errorifexists").json(path)
+
+
+def read_turns(spark: SparkSession, path: str) -> DataFrame:
+    """Turn rows of what `write_turns` wrote."""
+    return to_turns(spark.read.schema(CONVERSATION_FILE).json(path))

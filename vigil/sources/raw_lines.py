@@ -21,7 +21,8 @@ def number_lines(text: DataFrame, group: Column | None = None) -> DataFrame:
         F.col("_metadata.file_block_start").alias("chunk"),
         F.monotonically_increasing_id().alias("line_no"),
         F.col("value").alias("line"),
-    ).select(group.alias("log_group"), "file", "chunk", "line_no", "line")
+        F.col("_metadata.file_modification_time").alias("modified"),
+    ).select(group.alias("log_group"), "file", "chunk", "line_no", "line", "modified")
 
 
 def read_lines(spark: SparkSession, path: str, group: Column | None = None) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A writer puts the new rows in a new version folder and then appends one row to the
 commit log. Readers take the newest committed version, so they never see half a
-table, and the version they read is not touched. The commit row also names the
-stream batch it came from, which makes a replayed batch recognisable.
+table, and the version they read is not touched. The commit row also names its writer (a
+stream's checkpoint, a pipeline) and that writer's batch number or cursor, which makes a
+replayed batch recognisable and lets several writers take turns on one store.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ COMMITS = T.StructType(
     [
         T.StructField("version", T.LongType()),
         T.StructField("folder", T.StringType()),
+        T.StructField("writer_id", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("committed_ms", T.LongType()),
     ]
@@ -30,7 +32,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 class SnapshotStore:
-    """One writer, any number of readers."""
+    """One writer at a time, any number of readers."""
 
     def __init__(self, spark: SparkSession, base: str, schema: T.StructType):
         self.spark = spark
@@ -46,7 +48,7 @@ class SnapshotStore:
         return self
 
     def head(self) -> tuple[int, str, int]:
-        """Version, folder and highest merged batch of the newest commit."""
+        """Version and folder of the newest commit, and the highest batch of any writer."""
         row = (
             self._commits()
             .agg(
@@ -62,27 +64,32 @@ class SnapshotStore:
         _, folder, _ = self.head()
         return self.spark.read.schema(self.schema).parquet(f"{self.base}/{folder}")
 
-    def has_batch(self, batch_id: int) -> bool:
-        return not self._commits().where(F.col("batch_id") >= batch_id).isEmpty()
+    def position(self, writer_id: str) -> int | None:
+        """The highest batch or cursor that a writer has committed."""
+        return self._commits().where(F.col("writer_id") == writer_id).agg(F.max("batch_id")).first()[0]
 
-    def replace(self, rows: DataFrame, batch_id: int = -1) -> None:
+    def has_batch(self, batch_id: int, writer_id: str = "") -> bool:
+        position = self.position(writer_id)
+        return position is not None and position >= batch_id
+
+    def replace(self, rows: DataFrame, batch_id: int = -1, writer_id: str = "") -> None:
         """Write `rows` as the next version; a failed earlier try is overwritten."""
         version, _, _ = self.head()
-        self._commit(rows, version + 1, batch_id)
+        self._commit(rows, version + 1, batch_id, writer_id)
 
-    def mark(self, batch_id: int) -> None:
+    def mark(self, batch_id: int, writer_id: str = "") -> None:
         """Record that a batch is done and changed nothing."""
         version, folder, _ = self.head()
-        self._log(version + 1, folder, batch_id)
+        self._log(version + 1, folder, batch_id, writer_id)
 
-    def _commit(self, rows: DataFrame, version: int, batch_id: int) -> None:
+    def _commit(self, rows: DataFrame, version: int, batch_id: int, writer_id: str = "") -> None:
         folder = f"v={version}"
         rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(
             f"{self.base}/{folder}"
         )
-        self._log(version, folder, batch_id)
+        self._log(version, folder, batch_id, writer_id)
 
-    def _log(self, version: int, folder: str, batch_id: int) -> None:
+    def _log(self, version: int, folder: str, batch_id: int, writer_id: str) -> None:
         self.spark.createDataFrame(
-            [(version, folder, batch_id, int(time.time() * 1000))], COMMITS
+            [(version, folder, writer_id, batch_id, int(time.time() * 1000))], COMMITS
         ).coalesce(1).write.mode("append").parquet(f"{self.base}/commits")

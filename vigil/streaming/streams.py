@@ -10,8 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil.operators import alerts, detect, embed, incidents
 from vigil.plans import ingest
-from vigil.plans.detection import Scorer, Settings, incidents_of
+from vigil.plans.detection import Scorer, Settings, folder_name, incidents_of
 from vigil.schema import INCIDENTS
+from vigil.session import materialize
 from vigil.sources.raw_lines import number_lines
 from vigil.sources.store import SnapshotStore
 
@@ -31,14 +32,14 @@ def ingest_stream(
     every: str | None = "8 seconds",
     max_files: int | None = None,
     group: Column | None = None,
-    carry_over: bool = False,
 ) -> StreamingQuery:
     """Text files landing in `source` to the log table.
 
     A micro-batch holds whole files, which are assembled, embedded, filtered and written
     to the folder of the batch. A batch that is run again replaces its folder, so a
-    restart neither loses nor repeats rows. With `carry_over` the files of a group continue
-    each other: an event may go on in the next file and is stored when the next one begins.
+    restart neither loses nor repeats rows. The files of a group continue each other, in the order
+    of their modification times: an event may go on in the next file and is stored when the
+    next one begins. After the end of a source `ingest.flush_open` stores what is still open.
     """
     reader = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if max_files:
@@ -46,11 +47,7 @@ def ingest_stream(
     text = reader.text(source).select("value", "_metadata")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        lines = number_lines(batch, group)
-        if carry_over:
-            ingest.write_carried(lines, embedder, table, batch_id)
-        else:
-            ingest.write_batch(ingest.prepare(lines, embedder), table, batch_id)
+        ingest.write_carried(number_lines(batch, group), embedder, table, batch_id)
 
     return _start(text.writeStream.foreachBatch(write), checkpoint, every)
 
@@ -73,8 +70,10 @@ def detect_stream(
     The state holds counts only. Sample rows of the closed ticks are read from the stored
     log table, limited to the days and times of those ticks. The outbox folder of a batch
     is written before the incident snapshot is committed with the batch number: a replay
-    rewrites the one and skips the other.
+    rewrites the one and skips the other. Batches are known by the stream's checkpoint, so ticks
+    and other streams may use the same store.
     """
+    writer = f"stream:{checkpoint}"
     interval = f"{settings.interval_ms} milliseconds"
     counts = (
         logs.where(F.char_length("message") >= settings.min_len)
@@ -95,7 +94,7 @@ def detect_stream(
     )
 
     def score_closed(closed: DataFrame, batch_id: int) -> None:
-        if store.has_batch(batch_id):
+        if store.has_batch(batch_id, writer):
             return
         closed = closed.persist()
         try:
@@ -108,14 +107,12 @@ def detect_stream(
             )
             ticked = detect.with_ticks(rows, settings.interval_ms, settings.min_len)
             batch = incidents_of(ticked, settings, scorer, dedupe, counts=closed)
-            merged = incidents.merge(store.read(), batch).persist()
-            try:
-                alerts.outbox(merged, list(channels)).write.mode("overwrite").parquet(
-                    f"{outbox_path}/batch={batch_id}"
-                )
-                store.replace(merged, batch_id)
-            finally:
-                merged.unpersist()
+            # written once, so that outbox and snapshot agree whatever is lost meanwhile
+            merged = materialize(incidents.merge(store.read(), batch), "merged")
+            alerts.outbox(merged, list(channels)).write.mode("overwrite").parquet(
+                f"{outbox_path}/writer={folder_name(writer)}/batch={batch_id}"
+            )
+            store.replace(merged, batch_id, writer)
         finally:
             closed.unpersist()
 
@@ -125,7 +122,9 @@ def detect_stream(
 
 
 def rate(logs: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Rows per time bucket, each bucket once, when the watermark has passed it."""
+    """Rows per time bucket. In append mode a bucket comes once, behind the watermark; for a chart of the
+    newest minutes use `rate_to_table`, which takes updates.
+    """
     return (
         logs.withColumn("event_time", F.timestamp_millis("ts_ms"))
         .withWatermark("event_time", delay)
@@ -135,6 +134,22 @@ def rate(logs: DataFrame, width: str = "1 minute", delay: str = "10 minutes") ->
     )
 
 
+def rate_to_table(
+    logs: DataFrame, path: str, checkpoint: str, width: str = "1 minute", delay: str = "10 minutes", every: str | None = "3 seconds"
+) -> StreamingQuery:
+    """Counts of all buckets that a batch touched, open ones too; a batch that is run again replaces its folder."""
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(rate(logs, width, delay).writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
+
+
+def read_rate(spark: SparkSession, path: str) -> DataFrame:
+    """The newest count of each bucket; counts only grow."""
+    return spark.read.parquet(path).groupBy("bucket_ms").agg(F.max("n").alias("n"))
+
+
 def session_incidents(logs: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Runs of suspects per group, each once, when the watermark has passed its end."""
     return (
