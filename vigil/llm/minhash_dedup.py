@@ -11,7 +11,7 @@ distance 27, is 8e-7, and it falls steeply with the similarity.)
 A bucket of that table is not expanded into its pairs. Its smallest class stands for it: all others
 are paired with that one, and near pairs are confirmed on the full shingle sets. Buckets whose
 members are then all connected are done. In the others, members of different components are
-compared by signature in blocks of a bounded size, and pairs that come near are confirmed too.
+compared by signature in blocks of a bounded size, and pairs that come near are confirmed there.
 Components come from star contractions over the confirmed links.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and are linked with
@@ -35,7 +35,7 @@ VALUES = CHUNKS * CHUNK
 #: Pairs whose signatures differ in more values are not confirmed: 6.2 standard deviations at similarity 0.75.
 FARTHEST = 40
 #: Members of a block in buckets that need all their components compared.
-BLOCK = 1024
+BLOCK = 2048
 SLICE = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * flat.U(2) + flat.U(1)
@@ -175,46 +175,86 @@ def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
 
-def _in_blocks(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: near pairs of different components within the buckets that hold several."""
+def _in_blocks(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """a, b: links between different components that share a bucket; one link for a class and a component.
+
+    Buckets that overlap are one family, so a class is looked at once and not once for each bucket. The
+    largest component of a family is never compared within itself: only the other classes go out to all
+    blocks. Near signatures are confirmed on the full sets in the same place, so pairs are never rows.
+    """
     tagged = members.join(comps, members["rep"] == comps["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+        "key", "lo", "rep", F.coalesce("component", "rep").alias("component")
     )
     open_ = tagged.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    ).where("lo != hi AND size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = tagged.join(open_, "key").join(classes.select("rep", "sig"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    # a block meets each block of its bucket once: (i, j) with i <= j
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"))
+        F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")
+    ).where("least != most AND size > 2").select("key")
+    shared = common.materialize(tagged.join(open_, "key").groupBy("lo", "rep").agg(F.any_value("component").alias("component")), "open")
+    family = components(shared.select(F.col("lo").alias("a"), F.col("rep").alias("b"))).select(
+        F.col("node").alias("rep"), F.col("component").alias("family")
+    )
+    rows = common.materialize(shared.select("rep", "component").distinct().join(family, "rep"), "open")
+    parts = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("family").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("many"), F.sum("n").alias("all")
+    ).select(
+        "family", "largest", F.greatest(F.ceil((F.col("all") - F.col("many")) / BLOCK), F.lit(1)).cast("int").alias("few_blocks"),
+        F.ceil(F.col("many") / BLOCK).cast("int").alias("many_blocks"),
+    )
+    rows = rows.join(sizes, "family").withColumn("few", F.col("component") != F.col("largest"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("few"), F.col("few_blocks")).otherwise(F.col("many_blocks"))).cast("int")
+    # a cell (i, j) holds block i of the few, and block j of the few (j >= i) or of the many (behind them)
+    of_few = F.transform(
+        F.sequence(F.lit(0), F.col("few_blocks") + F.col("many_blocks") - 1),
+        lambda o: F.struct(
+            F.when(o < F.col("few_blocks"), F.least(o, F.col("own"))).otherwise(F.col("own")).alias("i"),
+            F.when(o < F.col("few_blocks"), F.greatest(o, F.col("own"))).otherwise(o).alias("j"),
+        ),
+    )
+    of_many = F.transform(
+        F.sequence(F.lit(0), F.col("few_blocks") - 1), lambda o: F.struct(o.alias("i"), (F.col("own") + F.col("few_blocks")).alias("j"))
     )
-    dealt = rows.withColumn("own", own).select("key", "rep", "component", "sig", F.explode(cells).alias("c"))
-    dealt = dealt.select("key", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "rep", "component", "sig")
-    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cells = F.when(F.col("few"), of_few).otherwise(of_many)
+    dealt = rows.withColumn("own", own).select("family", "rep", "component", "few", F.explode(cells).alias("c"))
+    dealt = dealt.select("family", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "few", "rep", "component")
+    full = classes.select("rep", "sig").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    ordered = dealt.join(full, "rep").select("family", "i", "j", "few", "rep", "component", "sig", "shingles")
+    ordered = ordered.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
 
     def compare(table: pa.Table):
-        rep, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        table = table.combine_chunks()
+        few, rep, comp = (table.column(c).to_numpy() for c in ("few", "rep", "component"))
         sig = _signature_rows(table.column("sig").combine_chunks())
-        for x in range(len(rep) - 1):
-            far = (sig[x + 1 :] != sig[x]).sum(axis=1)
-            hit = np.flatnonzero((far <= FARTHEST) & (comp[x + 1 :] != comp[x])) + x + 1
-            if len(hit):
-                yield pa.record_batch(
-                    [pa.array(np.minimum(rep[hit], rep[x])), pa.array(np.maximum(rep[hit], rep[x]))], ["a", "b"]
-                )
+        data, at = common.bytes_of(table.column("shingles").cast(pa.large_binary()).combine_chunks().view(pa.large_utf8()))
+        flat_sets, at = np.frombuffer(data.tobytes(), np.uint64), at // 8
+        size = np.diff(at)
+        out: list[tuple[int, int]] = []
+        for x in np.flatnonzero(few):
+            hit = np.flatnonzero((sig != sig[x]).sum(axis=1) <= FARTHEST)
+            hit = hit[(comp[hit] != comp[x]) & (100 * np.minimum(size[hit], size[x]) >= share * np.maximum(size[hit], size[x]))]
+            if not len(hit):
+                continue
+            mine = flat_sets[at[x] : at[x + 1]]
+            theirs = np.concatenate([flat_sets[at[y] : at[y + 1]] for y in hit])
+            found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(found, np.concatenate([[0], np.cumsum(size[hit])[:-1]]))
+            hit = hit[100 * both >= share * (size[hit] + size[x] - both)]
+            # any link to a component will do
+            hit = hit[np.unique(comp[hit], return_index=True)[1]]
+            out += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in hit]
+        if out:
+            yield pa.record_batch([pa.array(np.array(c, np.int64)) for c in zip(*out)], ["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cell = [batch.column(c).to_numpy() for c in range(3)]
-            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1
-            if held and batch.num_rows:
-                last = [held[-1].column(c)[-1].as_py() for c in range(3)]
-                if last != [c[0] for c in cell]:
-                    yield from compare(pa.Table.from_batches(held))
-                    held = []
-            edges = [0, *cuts.tolist(), batch.num_rows]
+            cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1).tolist()
+            if held and [held[-1].column(c)[-1].as_py() for c in range(3)] != [c[0] for c in cell]:
+                yield from compare(pa.Table.from_batches(held))
+                held = []
+            edges = [0, *cuts, batch.num_rows]
             for s, e in zip(edges, edges[1:]):
                 held.append(batch.slice(s, e - s))
                 if e < batch.num_rows:
@@ -259,8 +299,7 @@ def classes_and_links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, D
     comps = components(links)
     links = common.materialize(links.unionByName(_confirmed(_crossing(near, comps), sets, share)), "links")
     comps = components(links)
-    rest = common.materialize(_in_blocks(members, comps, classes), "near")
-    links = common.materialize(links.unionByName(_confirmed(_crossing(rest, comps), sets, share)), "links")
+    links = common.materialize(links.unionByName(_in_blocks(members, comps, classes, sets, share)), "links")
     return rows, classes, components(links)
 
 
