@@ -285,6 +285,8 @@ def classes_and_links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, D
 
     keys = classes.select("rep", "sig").mapInArrow(keyed, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "lo")
+    # written, so that the join below deals out both sides anew and a hot bucket can be split
+    buckets = common.materialize(buckets, "buckets")
     members = common.materialize(keys.join(buckets, "key"), "buckets")
     stars = members.where("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     near = common.materialize(_near(stars, classes), "near")
