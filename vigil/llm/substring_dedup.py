@@ -95,6 +95,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     repeated = found.groupBy("node").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("context") != F.max("context")).alias("branches")
     ).where("lo < hi").select("node", "lo", "branches")
+    # written, so that the join deals out both sides anew and the rows of a hot node can be split
+    repeated = common.materialize(repeated, "nodes")
     graph = common.materialize(found.join(repeated, "node"), "graph")
     plain = graph.where("NOT branches")
     edges = graph.where("branches").drop("lo")

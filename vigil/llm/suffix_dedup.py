@@ -10,8 +10,11 @@ to the next position of a difference cover (mod 13, four positions), and long ti
 the precomputed ranks of the cover samples and the last bytes behind the sample, so no suffix
 is ever compared byte by byte over its length and memory is bounded by one batch of buckets.
 
-A bucket with more than BUCKET contexts isn't gathered: its suffixes are spread over the cluster by a
-hash of their 200 bytes and equal ones counted there, which gives the same result.
+A bucket with more than BUCKET contexts isn't gathered. Its suffixes are judged by ranges of offsets:
+a range whose bytes common to all its suffixes occur in no other context holds no repeated suffix, one
+whose bytes altogether occur elsewhere holds repeated ones only, and any other range is cut in
+halves, down to single suffixes. That takes a few rows a context, counted over the cluster by
+hash, and gives the same result.
 
 Defined cases: a byte is removed if a 200-byte string over it starts anywhere else, in this document,
 another one or a repeated row; so all copies go. Null and short texts lose nothing; rows with a null
@@ -33,7 +36,9 @@ from vigil.llm.substring_dedup import span_array, with_spans
 WINDOW, K = 200, 16
 SLICE = 1 << 20
 #: Contexts of a bucket that one task sorts, and bytes of contexts sorted together.
-BUCKET, BATCH = 1024, 1 << 20
+BUCKET, BATCH = 16_384, 1 << 20
+#: Suffixes whose keys a task holds at once, and the widest range of offsets in larger buckets (a power of two).
+SUFFIXES, WIDEST = 1 << 19, 32
 #: A difference cover: every difference mod 13 is one of two of these residues.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 
@@ -74,10 +79,31 @@ def sort_buckets(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, o: np.
     data: the contexts' bytes, one after the other, `start` where each begins; o: where its bucket's
     string is; count: its suffixes, from its beginning on.
     """
-    length = window - PERIOD + 1
+    total = int(count.sum())
+    pieces = -(-total // SUFFIXES)
+    if pieces == 1:
+        return _sort_range(data, start, bucket, o, np.zeros(len(start), np.int64), count, window)
+    # equal suffixes have one distance to their bucket's string, so ranges of distances are independent
+    width = -(-(int(o.max()) + 1) // pieces)
+    found = []
+    for low in range(0, int(o.max()) + 1, width):
+        first = np.maximum(o - (low + width - 1), 0)
+        end = np.minimum(o - low + 1, count)
+        some = first < end
+        if some.any():
+            ctx, step = _sort_range(data, start[some], bucket[some], o[some], first[some], end[some], window)
+            found.append((np.flatnonzero(some)[ctx], step))
+    ctx, step = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((step, ctx))
+    return ctx[order], step[order]
+
+
+def _sort_range(data, start, bucket, o, first, end, window):
+    """As `sort_buckets`, for the suffixes `first` to `end` of each context."""
+    length, count = window - PERIOD + 1, end - first
     total = int(count.sum())
     ctx = np.repeat(np.arange(len(start)), count)
-    step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+    step = np.arange(total) - np.repeat(np.cumsum(count) - count - first, count)
     at, far = start[ctx] + step, o[ctx] - step
     # the next position of the cover: all suffixes that can be equal have the same distance to it
     ahead = np.array([next(d for d in range(PERIOD) if (d - f) % PERIOD in COVER) for f in range(PERIOD)])[far % PERIOD]
@@ -170,27 +196,52 @@ def _sorted_buckets(sources: DataFrame, window: int) -> DataFrame:
 
 
 def _spread_buckets(sources: DataFrame, window: int) -> DataFrame:
-    """doc_id, key, s, e from buckets of any size: a row for each suffix, counted by its hash."""
+    """doc_id, key, s, e from buckets of any size, by halving ranges of offsets."""
 
-    def run(batches):
+    def hashed(batches):
+        # n: distance range [low, low + width) of a context, hashes of what its suffixes share and of all they cover
         for batch in batches:
-            for i in range(batch.num_rows):
-                w = anchors.gram_hash(np.frombuffer(batch.column(4)[i].as_py(), np.uint8), window, flat.BYTE).view(np.int64)
-                n = len(w)
-                yield pa.record_batch(
-                    [pa.array(np.full(n, batch.column(c)[i].as_py(), np.int64)) for c in (0, 1, 2)]
-                    + [pa.array((batch.column(3)[i].as_py() - np.arange(n)).astype(np.int32)), pa.array(w)]
-                    + [pa.array((batch.column(5)[i].as_py() + np.arange(n)).astype(np.int32))],
-                    ["doc_id", "key", "node", "far", "w", "i"],
-                )
-
-    rows = sources.select("doc_id", "key", "node", "o", "bytes", "a").mapInArrow(
-        run, "doc_id long, key long, node long, far int, w long, i int"
+            shared, whole = [], []
+            for r in batch.select(["bytes", "o", "low", "width"]).to_pylist():
+                text, o, low, high = np.frombuffer(r["bytes"], np.uint8), r["o"], r["low"], r["low"] + r["width"] - 1
+                span = lambda a, b: int(flat.span_hash(text, np.array([a]), np.array([b]), flat.BYTE).view(np.int64)[0])  # noqa: E731, B023
+                shared.append(span(o - low, o - high + window))
+                inside = high <= o and o - low + window <= len(text)
+                whole.append(span(o - high, o - low + window) if inside else None)
+            columns = [batch.column(c) for c in ("id", "node", "low", "width")]
+            yield pa.record_batch([*columns, pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], ["id", "node", "low", "width", "shared", "whole"])
+
+    sources = common.materialize(sources.withColumn("id", F.monotonically_increasing_id()), "hot")
+    suffixes_ = F.octet_length("bytes") - window
+    # distances of a context's suffixes run from o - suffixes_ to o
+    open_ = sources.select(
+        "id", F.explode(F.sequence(F.call_function("div", F.col("o") - suffixes_, F.lit(WIDEST)), F.call_function("div", F.col("o"), F.lit(WIDEST)))).alias("g")
+    ).select("id", (F.col("g") * WIDEST).cast("int").alias("low"))
+    out, width = None, WIDEST
+    while width:
+        rows = open_.withColumn("width", F.lit(width)).join(sources, "id").select("id", "node", "low", "width", "o", "bytes")
+        rows = common.materialize(
+            rows.mapInArrow(hashed, "id long, node long, low int, width int, shared long, whole long"), "hot"
+        )
+        again = rows.groupBy("node", "low", "shared").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        full = rows.where("whole IS NOT NULL").groupBy("node", "low", "whole").agg(F.count("*").alias("copies"), F.min("id").alias("witness")).where("copies > 1")
+        kept = rows.join(common.materialize(again, "hot"), ["node", "low", "shared"]).join(common.materialize(full, "hot"), ["node", "low", "whole"], "left")
+        all_ = F.col("copies").isNotNull()
+        # of equal ranges one goes on, so that a context that covers only a part of the range still meets it
+        kept = kept.select("id", "low", all_.alias("all"), (~all_ | (F.col("id") == F.col("witness"))).alias("goes_on"))
+        kept = common.materialize(kept, "hot")
+        done = kept.where("all").select("id", "low", F.lit(width).alias("width"))
+        out = done if out is None else out.unionByName(done)
+        half = width // 2
+        if half:
+            parts = kept.where("goes_on").select("id", F.explode(F.array(F.col("low"), F.col("low") + half)).alias("low"))
+            inside = (F.col("low") <= F.col("o")) & (F.col("low") + half - 1 >= F.col("o") - suffixes_)
+            open_ = common.materialize(parts.join(sources, "id").where(inside).select("id", "low"), "hot")
+        width = half
+    first = F.col("a") + F.col("o")
+    return out.join(sources, "id").select(
+        "doc_id", "key", (first - F.col("low") - F.col("width") + 1).alias("s"), (first - F.col("low") + window).alias("e")
     )
-    rows = common.materialize(rows, "suffixes")
-    by = ["node", "far", "w"]
-    again = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
-    return rows.join(again, by).select("doc_id", "key", F.col("i").alias("s"), (F.col("i") + window).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -199,6 +250,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     shared = found.groupBy("node").agg(
         F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("branches")
     ).where("n > 1").select("node", "branches")
+    # written, so that the join deals out both sides anew and the rows of a hot bucket can be split
+    shared = common.materialize(shared, "nodes")
     runs = common.materialize(found.join(shared, "node"), "buckets")
     plain = runs.where("NOT branches")
     contexts = runs.where("branches").groupBy("node", "context").agg(
@@ -209,12 +262,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     spans = plain.select("doc_id", "key", "a", "b").unionByName(copied.select("doc_id", "key", "a", "b")).select(
         "doc_id", "key", F.col("a").alias("s"), (F.col("b") + window).alias("e")
     )
-    sizes = contexts.groupBy("node").agg(F.count("*").alias("size"))
+    sizes = common.materialize(contexts.groupBy("node").agg(F.count("*").alias("size")), "contexts")
     sources = contexts.join(sizes, "node").select("node", "at.doc_id", "at.key", "at.a", "at.b", "at.o", "size")
-    sources = common.materialize(_sources(sources, docs, window), "sources")
-    few = _sorted_buckets(sources.where(F.col("size") <= BUCKET), window)
-    many = _spread_buckets(sources.where(F.col("size") > BUCKET), window)
-    return spans.unionByName(few).unionByName(many)
+    spans = spans.unionByName(_sorted_buckets(_sources(sources.where(F.col("size") <= BUCKET), docs, window), window))
+    large = sources.where(F.col("size") > BUCKET)
+    return spans if large.isEmpty() else spans.unionByName(_spread_buckets(_sources(large, docs, window), window))
 
 
 def _kept(text: str | None, spans: pa.Scalar) -> tuple[int, int, int, bytes]:
