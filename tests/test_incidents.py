@@ -15,7 +15,7 @@ def test_severity_and_confidence(spark):
     assert rows.select(score.normalize_severity("s", compat=True)).first()[0] == "medium"
     ranks = spark.createDataFrame([("info",), ("critical",), ("x",)], "s string").select(score.severity_rank("s"))
     assert [r[0] for r in ranks.collect()] == [0, 4, -1]
-    texts = [("0.7", 0.7), (" 0.7 ", 0.7), ("7", 1.0), ("-1", 0.0), ("abc", 0.0), (None, 0.0), ("NaN", 0.0), ("Infinity", 0.0)]
+    texts = [("0.7", 0.7), (" 0.7 ", 0.7), ("7", 1.0), ("-1", 0.0), ("abc", 0.0), (None, 0.0), ("NaN", 0.0), ("Infinity", 0.0), ("5f", 0.0), ("0.5d", 0.0), ("1e-1", 0.1), (".5", 0.5)]
     rows = spark.createDataFrame([(t,) for t, _ in texts], "c string")
     assert [r[0] for r in rows.select(score.clamp_confidence("c")).collect()] == [w for _, w in texts]
 

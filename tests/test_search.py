@@ -151,10 +151,9 @@ def test_sign_index_reads_a_part_and_grows(spark, rows, tmp_path):
     assert hits >= 12
 
 
-@pytest.mark.parametrize("train_rows", [1000, 100])
-def test_cells_give_the_exact_answer(spark, rows, tmp_path, train_rows):
+def test_cells_give_the_exact_answer(spark, rows, tmp_path):
     odd = rows.limit(2).withColumns({"id": F.lit("zzz"), "embedding": F.array().cast("array<float>")})
-    index = ann.CellIndex.build(rows.unionByName(odd), str(tmp_path / "ix"), cells=12, train_rows=train_rows)
+    index = ann.CellIndex.build(rows.unionByName(odd), str(tmp_path / "ix"), cells=12)
     assert sum(c.rows for c in index.cells) == N
     for q in (5, 40, 200):
         query = VECTORS[q].astype(float)
