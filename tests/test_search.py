@@ -192,3 +192,31 @@ def test_vector_checks(spark, rows):
     assert [(r.dim, r.n, r.ok) for r in tables.dims(rows, dim=DIM).collect()] == [(DIM, N, True)]
     df = spark.createDataFrame([("[1, 2.5]",), ("nope",)], "j string")
     assert [r[0] for r in df.select(vx.vector_from_json("j")).collect()] == [[1.0, 2.5], None]
+
+
+def test_newest_rows_walk_the_days(spark, tmp_path):
+    from vigil.operators import browse
+
+    rows = [(str(i), "g", "s", i * 86_400_000 // 3, "error" if i % 4 == 0 else "fine") for i in range(60)] + [("none", "g", "s", None, "error")]
+    df = spark.createDataFrame(rows, "id string, log_group string, log_stream string, ts_ms long, message string")
+    df.withColumn("day", tables.day_of("ts_ms")).write.partitionBy("day").parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for n in (1, 7, 100):
+        assert [r.id for r in browse.browse(stored, n).collect()] == [r.id for r in browse.browse(df, n).collect()]
+        assert [r.id for r in browse.recent_errors(stored, n).collect()] == [r.id for r in browse.recent_errors(df, n).collect()]
+    plan = browse.browse(stored, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "1970-01-20" in plan
+
+
+def test_a_failing_text_is_rejected_alone(spark):
+    def load():
+        def encode(texts):
+            if any(t == "bad" for t in texts):
+                raise ValueError
+            return [[float(len(t))] for t in texts]
+
+        return encode
+
+    df = spark.createDataFrame([("bad" if i == 7 else "x" * (i + 1),) for i in range(30)], "t string")
+    got = [r.v for r in embed.model_embedder(load, cap=10, batch_size=4)(df, "t", "v").collect()]
+    assert sorted(map(len, got)) == [0] + [1] * 29 and max(v[0] for v in got if v) == 10

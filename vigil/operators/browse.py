@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +15,30 @@ from vigil.sources.tables import on_days
 LIST_CUTS = {"log_group": 19, "log_stream": 19, "message": 59}
 
 
+def newest(df: DataFrame, n: int) -> DataFrame:
+    """The newest n rows. A table stored by day is read from its newest day on, as far as needed.
+
+    The number of days doubles with each try; rows without a time come last and are only
+    reached if all days together hold fewer than n rows.
+    """
+    order = (F.col("ts_ms").desc(), "id")
+    if "day" in df.columns:
+        found = {m[1] for f in df.inputFiles() if (m := re.search(r"/day=(\d{4}-\d\d-\d\d)/", f))}
+        days, width = sorted(found, reverse=True), 1
+        while width < len(days):
+            part = df.where(F.col("day") >= F.lit(days[width - 1]).cast("date"))
+            if part.limit(n).count() >= n:
+                return part.orderBy(*order).limit(n)
+            width *= 2
+    return df.orderBy(*order).limit(n)
+
+
 def browse(df: DataFrame, n: int = 50, like: str | None = None) -> DataFrame:
     """The newest n rows, optionally those whose group, stream or message matches."""
     out = df
     if like and like.strip():
         out = df.where(tx.like_any(like, "log_group", "log_stream", "message"))
-    return out.orderBy(F.col("ts_ms").desc(), "id").limit(n)
+    return newest(out, n)
 
 
 def list_view(df: DataFrame) -> DataFrame:
@@ -56,17 +76,18 @@ def latest_events(
     the shuffle, so a group of any size sends n rows per task.
     """
     rows = df.where(F.col("log_group") == group) if group else df
+    if start:
+        if as_of_ms is None:
+            raise ValueError("as_of_ms is needed with start")
+        # also before the stream is chosen: one with events before the start only gives no row either way
+        cutoff = since_ms(start, as_of_ms, dialect="c")
+        rows = on_days(rows, cutoff).where(F.col("ts_ms") >= cutoff)
     if stream:
         chosen = rows.where(F.col("log_stream") == stream)
     else:
         chosen = rows.join(
             latest_stream(rows).select("log_group", "log_stream"), ["log_group", "log_stream"]
         )
-    if start:
-        if as_of_ms is None:
-            raise ValueError("as_of_ms is needed with start")
-        cutoff = since_ms(start, as_of_ms, dialect="c")
-        chosen = on_days(chosen, cutoff).where(F.col("ts_ms") >= cutoff)
     newest_first = Window.partitionBy("log_group").orderBy(F.col("ts_ms").desc(), F.col("id").desc())
     return (
         chosen.withColumn("recency", F.row_number().over(newest_first))
@@ -98,7 +119,7 @@ def fan_out(df: DataFrame, groups: str) -> DataFrame:
 
 def recent_errors(df: DataFrame, n: int = 5) -> DataFrame:
     """The last n messages that mention an error."""
-    return df.where(F.col("message").rlike("(?i)error")).orderBy(F.col("ts_ms").desc(), "id").limit(n)
+    return newest(df.where(F.col("message").rlike("(?i)error")), n)
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:
