@@ -42,7 +42,7 @@ NUMBER_WORDS = (
 #: Placeholders begin with a bracket that no punctuation rule touches.
 NAME, NUM, UNIT = "⟨name⟩", "⟨num⟩", "⟨unit⟩"
 _SPACES, _BLANK = "[\\x20\\t-\\r]+", " \t\n\x0b\x0c\r"
-_EDGES = ".,;:!?\"'()[]{}<>*_`$€£-–—"
+EDGES = ".,;:!?\"'()[]{}<>*_`$€£-–—"
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -59,7 +59,7 @@ def templates(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame
     text = F.col(f"`{text_col}`").cast("string")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias(name), text.alias("text")).where(F.col("text").isNotNull())
     rows = _once(rows, "words", F.split(F.btrim("text", F.lit(_BLANK)), _SPACES)).drop("text")
-    rows = _once(rows, "raw", F.transform("words", lambda w: F.btrim(F.lower(w), F.lit(_EDGES))))
+    rows = _once(rows, "raw", F.transform("words", lambda w: F.btrim(F.lower(w), F.lit(EDGES))))
     number = lambda w: ((w >= "0") & (w < ":")) | w.isin(*NUMBER_WORDS)
 
     def placed(raw, i):

@@ -79,7 +79,67 @@ QUERIES: dict[str, Query] = {
         op10_suffix_dedup,
     )
 }
+_in = lambda values: ", ".join(f"'{v}'" for v in values)
+_number = lambda c: f"(({c} >= '0' AND {c} < ':') OR {c} IN ({_in(decontaminate.NUMBER_WORDS)}))"
+_EDGES = decontaminate.EDGES.replace("'", "''")
+
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": rf"""
+        WITH src AS (
+            SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+            UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL
+        ),
+        w AS (SELECT side, id, regexp_split_to_array(trim(text, e' \t\n\x0b\f\r'), '[\x20\t-\r]+') AS words FROM src),
+        t AS (SELECT side, id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        r AS (SELECT *, trim(lower(word), '{_EDGES}') AS raw FROM t),
+        p AS (
+            SELECT *, lag(raw) OVER before AS praw, lag(word) OVER before AS pword FROM r
+            WINDOW before AS (PARTITION BY side, id ORDER BY i)
+        ),
+        k AS (
+            SELECT side, id, i, raw, CASE
+                WHEN {_number('raw')} THEN '{decontaminate.NUM}'
+                WHEN raw IN ({_in(decontaminate.UNITS)}) AND {_number('praw')} THEN '{decontaminate.UNIT}'
+                WHEN substr(word, 1, 1) <> lower(substr(word, 1, 1)) AND substr(word, 2) = lower(substr(word, 2))
+                    AND right(pword, 1) NOT IN ('.', '!', '?') THEN '{decontaminate.NAME}'
+                ELSE raw END AS word
+            FROM p
+        ),
+        arr AS (SELECT side, id, list(word ORDER BY i) AS word, list(raw ORDER BY i) AS raw FROM k GROUP BY side, id),
+        lengths AS (
+            SELECT DISTINCT least(len(word), {decontaminate.WINDOW}) AS n FROM arr
+            WHERE side = 'b' AND len(word) >= {decontaminate.LEAST_WORDS}
+        ),
+        g AS (
+            SELECT side, id, n, unnest(list_transform(range(1, len(word) - n + 2), lambda j: {{
+                'at': j, 'h': array_to_string(word[j : j + n - 1], ' '), 'words': word[j : j + n - 1], 'raw': raw[j : j + n - 1]
+            }})) AS x
+            FROM arr JOIN lengths ON len(word) >= n
+            WHERE side = 'd' OR (least(len(word), {decontaminate.WINDOW}) = n AND len(word) >= {decontaminate.LEAST_WORDS})
+        ),
+        pairs AS (
+            SELECT d.id AS doc_id, b.id AS item_id, b.x.at AS item_at, d.x.at - b.x.at AS shift, d.n,
+                   list_filter(range(1, d.n + 1), lambda i: starts_with(d.x.words[i], '{decontaminate.NAME[0]}')) AS free,
+                   d.x.raw AS now, b.x.raw AS was
+            FROM g d JOIN g b ON d.side = 'd' AND b.side = 'b' AND d.n = b.n AND d.x.h = b.x.h
+        ),
+        good AS (SELECT * FROM pairs WHERE 2 * len(free) <= n OR now = was),
+        slot AS (SELECT doc_id, item_id, shift, was[i] AS was, now[i] AS now FROM (SELECT *, unnest(free) AS i FROM good)),
+        judged AS (
+            SELECT doc_id, item_id, shift, bool_or(lo <> hi) AS broken, count(*) FILTER (lo <> was) AS replaced
+            FROM (SELECT doc_id, item_id, shift, was, min(now) AS lo, max(now) AS hi FROM slot GROUP BY ALL) GROUP BY ALL
+        ),
+        found AS (
+            SELECT g.doc_id, g.item_id, count(DISTINCT item_at) AS n_matched, max(n) AS words, min(coalesce(replaced, 0)) AS n_replaced
+            FROM good g LEFT JOIN judged j ON g.doc_id = j.doc_id AND g.item_id = j.item_id AND g.shift = j.shift
+            WHERE NOT coalesce(broken, false) GROUP BY ALL
+        )
+        SELECT doc_id, item_id, (len(a.word) - least(len(a.word), {decontaminate.WINDOW}) + 1)::BIGINT AS n_windows,
+               n_matched::BIGINT AS n_matched, n_replaced::BIGINT AS n_replaced,
+               2 * n_matched >= (len(a.word) - least(len(a.word), {decontaminate.WINDOW}) + 1)
+                   OR n_matched + words - 1 >= {decontaminate.COVERED} AS contaminated
+        FROM found JOIN arr a ON a.side = 'b' AND a.id = item_id
+    """,
     "op4_line_dedup": """
         WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
