@@ -214,4 +214,27 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(k.text, '')) AS kept_sha256
         FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        win AS (
+            SELECT doc_id, unnest(range(1, octet_length(b) - 198)) AS i,
+                   unnest(list_transform(range(1, octet_length(b) - 198), lambda j: md5(array_slice(b, j, j + 199)))) AS h
+            FROM d WHERE octet_length(b) >= 200
+        ),
+        again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT doc_id, i FROM win SEMI JOIN again USING (h)),
+        mark AS (SELECT doc_id, i, i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS new FROM hit),
+        run AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM mark),
+        span AS (SELECT doc_id, r, min(i) AS s, max(i) + 200 AS e FROM run GROUP BY doc_id, r),
+        cut AS (SELECT doc_id, list(s ORDER BY s) AS starts, list(e ORDER BY s) AS ends, sum(e - s) AS gone FROM span GROUP BY doc_id),
+        kept AS (
+            SELECT d.doc_id, b, starts, coalesce(gone, 0) AS gone,
+                   list_zip(list_prepend(1, ends), list_append(starts, octet_length(b) + 1)) AS parts
+            FROM d LEFT JOIN cut USING (doc_id)
+        )
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, gone::BIGINT AS n_removed, coalesce(len(starts), 0)::BIGINT AS n_spans,
+               CASE WHEN starts IS NULL THEN sha256(b)
+               ELSE sha256(unhex(array_to_string(list_transform(parts, lambda p: hex(array_slice(b, p[1], p[2] - 1))), ''))) END AS kept_sha256
+        FROM kept
+    """,
 }
