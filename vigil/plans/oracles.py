@@ -320,6 +320,20 @@ ORACLES: dict[str, str] = {
         "generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) "
         f"SELECT vec_id, i % {q.DIM // 4} AS pos, round(avg(x), 6) + 0.0 AS value FROM cells GROUP BY ALL"
     ),
+    "first_token_pool": (
+        "WITH cells AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, "
+        "generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) "
+        f"SELECT vec_id, i AS pos, round(x, 6) + 0.0 AS value FROM cells WHERE i < {q.DIM // 4}"
+    ),
+    "plugin_embedder": (
+        f"WITH {DOC}, cut AS (SELECT id, substr(regexp_replace(message, e'\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), 1, 1000) AS t FROM doc) "
+        "SELECT id, length(t)::BIGINT AS length, (length(t) - length(replace(t, ' ', '')))::BIGINT AS spaces FROM cut"
+    ),
+    "since_dialect_b": f"WITH {EV} SELECT id, ts_ms FROM ev WHERE ts_ms >= {q.AS_OF - 36 * 3_600_000}",
+    "conv_files": (
+        "SELECT conv_id::VARCHAR AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text "
+        "FROM conversations"
+    ),
     "quality_filter": f"WITH {_LEFT} SELECT id, log_group FROM judged WHERE usable AND filled",
     "reject_counts": (
         f"WITH {_LEFT} SELECT log_group, count(*) AS total, count(*) FILTER (NOT usable) AS failed_embeddings, "

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text as tx
 from vigil.functions import vectors as vx
-from vigil.functions.timeparse import DAY_MS, HOUR_MS, MINUTE_MS
+from vigil.functions.timeparse import DAY_MS, HOUR_MS, MINUTE_MS, since_ms
 from vigil.operators import (
     adhoc, alerts, ann, assemble, browse, convo, detect, embed, incidents, score, search,
 )
 from vigil.plans import detection, ingest
 from vigil.session import materialize, shared_dir
-from vigil.sources import raw_lines, tables
+from vigil.sources import conversations, raw_lines, tables
 from vigil.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,6 +274,29 @@ def token_pool(spark, d):
     ).select("vec_id", F.col("pos").cast("long").alias("pos"), _r("value").alias("value"))
 
 
+def first_token_pool(spark, d):
+    """The first of the four token vectors of a row."""
+    quarter = DIM // 4
+    cut = F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * quarter + 1, quarter)
+    )
+    return _vectors(spark, d).select(
+        "vec_id", F.posexplode(vx.mean_pool(cut, "first")).alias("pos", "value")
+    ).select("vec_id", F.col("pos").cast("long").alias("pos"), _r("value").alias("value"))
+
+
+def _length_model():
+    """Stands for a model: the length of a text, and how many spaces are in it."""
+    return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+def plugin_embedder(spark, d):
+    rows = embed.embed(_doc(spark, d), embed.model_embedder(_length_model, cap=1000))
+    return rows.select(
+        "id", F.get("embedding", F.lit(0)).cast("long").alias("length"), F.get("embedding", F.lit(1)).cast("long").alias("spaces")
+    )
+
+
 def quality_filter(spark, d):
     kept, _ = assemble.quality_filter(_doc(spark, d, "left"))
     return kept.select("id", "log_group")
@@ -578,6 +601,10 @@ def derive_columns(spark, d):
 # --- text and conversations -------------------------------------------------
 
 
+def since_dialect_b(spark, d):
+    return _ev(spark, d).where(F.col("ts_ms") >= since_ms("36h", AS_OF, dialect="b")).select("id", "ts_ms")
+
+
 def truncate_text(spark, d):
     return _doc(spark, d).select(
         "id", tx.truncate("message", 100).alias("short"), tx.preview("message", 80).alias("preview")
@@ -628,6 +655,13 @@ def conv_with_system(spark, d):
     return convo.with_system(_turns(spark, d), TODAY)
 
 
+def conv_files(spark, d):
+    """Turns written as conversation documents and read back."""
+    path = shared_dir(spark, "conversations")
+    conversations.write_turns(_turns(spark, d), path)
+    return conversations.read_turns(spark, path).select("conv_id", "turn", "role", "text")
+
+
 def conv_keep_first(spark, d):
     return convo.keep_first(_turns(spark, d))
 
@@ -696,7 +730,9 @@ def stream_session_incidents(spark, d):
 
 
 def stream_dedupe(spark, d):
-    return _drain(spark, streams.dedupe_stream(_event_stream(spark, d)), "dedupe").select("id", "ts_ms")
+    """Every event is delivered twice."""
+    twice = _event_stream(spark, d).unionByName(_event_stream(spark, d))
+    return _drain(spark, streams.dedupe_stream(twice), "dedupe").select("id", "ts_ms")
 
 
 def stream_ingest(spark, d):
@@ -733,7 +769,8 @@ QUERIES: dict[str, Query] = {
         search_by_text, ann_search, cell_search, vector_dim_check, vector_from_json, embed_hash,
         browse_recent, browse_filtered, latest_stream, latest_events, group_catalog, group_filter,
         group_fanout, min_len, since_filter, recent_errors,
-        parse_header, assemble_events, strip_ansi, embed_text, mean_pool, token_pool, quality_filter,
+        parse_header, assemble_events, strip_ansi, embed_text, mean_pool, token_pool, first_token_pool,
+        plugin_embedder, quality_filter,
         reject_counts, stable_id, message_templates,
         window_scan, suspects, group_counts, group_counts_json, top_groups, samples,
         evidence_samples, window_summary, error_rate, error_trend, ingest_rate, score_windows,
@@ -743,9 +780,9 @@ QUERIES: dict[str, Query] = {
         incident_report, alert_outbox, alert_routing, cursor_upsert,
         sql_limited, sql_envelope, sql_join, sql_semi_anti, sql_rollup, sql_set_ops,
         sql_vector_search, derive_columns,
-        truncate_text, iso_time, in_timezone, failure_class, rows_as_json,
+        since_dialect_b, truncate_text, iso_time, in_timezone, failure_class, rows_as_json,
         conv_summary, conv_render, conv_render_tools, conv_messages_json, conv_with_system,
-        conv_keep_first, conv_delete, fold_token_lines,
+        conv_files, conv_keep_first, conv_delete, fold_token_lines,
         stream_rate, stream_session_incidents, stream_dedupe, stream_ingest, stream_detect,
     )
 }
