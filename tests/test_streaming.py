@@ -54,7 +54,8 @@ def test_ingest_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     run()
     stored = ingest.read_table(spark, table)
     assert stored.count() == 3 and stored.select("id").distinct().count() == 3
-    assert [r.reason for r in ingest.read_rejects(spark, table).collect()] == ["blank message"]
+    rejects = {r.reason: r.message for r in ingest.read_rejects(spark, table).collect()}
+    assert set(rejects) == {"blank message", "no header"} and rejects["no header"] == "stray"
     assert stored.where("day = '2025-01-02'").count() == 1
     assert ingest.new_rows(stored, stored).count() == 0
     rows = spark.read.schema(INGESTED).parquet(table).drop("batch")

@@ -47,6 +47,8 @@ OPEN_POSITION = ("file", "event_no", "opened")
 def write_carried(lines: DataFrame, embedder: embed.Embedder, table: str, batch: int) -> None:
     """Write the complete events of a batch, keep the newest of each group for the next one.
 
+    Lines before the first header of a group, with no event open, go to the rejects.
+
     Files of a group continue each other in the order of their modification times, then names. The open events of
     a batch are a folder of their own, so a batch that is run again starts from the same.
     """
@@ -60,10 +62,15 @@ def write_carried(lines: DataFrame, embedder: embed.Embedder, table: str, batch:
         if batch > 0
         else spark.createDataFrame([], OPEN_EVENTS)
     )
-    # read twice, so written once
-    complete, still_open = assemble.carry_over(materialize(events, "events"), before)
+    # read several times, so written once
+    events = materialize(events, "events")
+    complete, still_open = assemble.carry_over(events, before)
     still_open.write.mode("overwrite").parquet(f"{table}-open/batch={batch}")
-    write_batch(finish(complete, embedder, *OPEN_POSITION), table, batch)
+    headless = events.where("event_no = 0").join(before.select("file").distinct(), "file", "left_anti")
+    lost = finish(headless.select(complete.columns), embedder, *OPEN_POSITION).withColumns(
+        {"reason": F.lit("no header"), "rejected": F.lit(True)}
+    )
+    write_batch(finish(complete, embedder, *OPEN_POSITION).unionByName(lost), table, batch)
 
 
 def last_open(spark: SparkSession, table: str) -> int | None:
