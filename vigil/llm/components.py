@@ -18,8 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = common.materialize(edges, "stars")
-    seen = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,11 +26,15 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = common.materialize(edges, "stars")
-        state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v").cast("long"))).first()
-        if state == seen:
-            break
-        seen = state
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one node, and that to none."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("root"))
+    )
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 OR (out = 1 AND root = 1)").isEmpty()
