@@ -85,9 +85,9 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return _normal(np.log1p(counts) * idf)
 
 
-def length_class(counts: np.ndarray) -> np.ndarray:
+def length_class(grams: np.ndarray) -> np.ndarray:
     """Doublings of the number of n-grams."""
-    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int), 31)
+    return np.minimum(np.log2(np.maximum(grams, 1)).astype(int), 31)
 
 
 def k_means(x: np.ndarray, k: int) -> np.ndarray:
@@ -127,8 +127,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             data, offsets = common.bytes_of(batch.column(0))
             for a, b, part, at in common.slices(data, offsets, SLICE):
                 rows = features(part, at)
+                used = [np.flatnonzero(r).astype(np.uint16) for r in rows]
+                sparse = [u.tobytes() for u in used], [r[u].tobytes() for r, u in zip(rows, used)]
                 yield pa.record_batch(
-                    [batch.column(1)[a:b], pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary())], ["lang", "x"]
+                    [batch.column(1)[a:b], *(pa.array(x, pa.binary()) for x in sparse)], ["lang", "at", "count"]
                 )
 
     texts = docs.select(
@@ -136,31 +138,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # at most max_train_rows ids
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "lang").mapInArrow(count, "lang string, x binary")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "lang").mapInArrow(count, "lang string, at binary, count binary")
     rows = sample.toArrow()
     if not rows.num_rows:
         return {"langs": [], "idf": None, "centres": None, "owner": None, "least": None}
     lang = np.array(rows.column(0).to_pylist())
-    counts = np.stack([np.frombuffer(x, np.float32) for x in rows.column(1).to_pylist()])
-    used = counts.sum(axis=1) > 0
     # repeated ids may bring more rows than asked for: the sample is put in a fixed order
-    order = np.lexsort((counts.sum(axis=1), lang))
-    lang, counts = lang[order][used[order]], counts[order][used[order]]
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
-    x = weighted(counts, idf.astype(np.float32))
+    values = [np.frombuffer(v.as_py(), np.float32) for v in rows.column(2)]
+    grams = np.array([v.sum() for v in values])
+    order = [i for i in np.lexsort((grams, lang)) if grams[i] > 0]
+    x = np.zeros((len(order), DIMS), np.float32)
+    for row, i in enumerate(order):
+        x[row, np.frombuffer(rows.column(1)[i].as_py(), np.uint16)] = values[i]
+    lang, grams = lang[order], grams[order]
+    if not len(lang):
+        return {"langs": [], "idf": None, "centres": None, "owner": None, "least": None}
+    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1).astype(np.float32)
+    # in place: this is the largest thing that the driver holds
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     names = sorted(set(lang.tolist()))
     per = [k_means(x[lang == name], CENTROIDS) for name in names]
     centres = np.concatenate(per)
     near = (x @ centres.T).max(axis=1)
     least = np.full(32, np.inf)
-    np.minimum.at(least, length_class(counts), near)
+    np.minimum.at(least, length_class(grams), near)
     seen = np.isfinite(least)
     # classes without training texts take the least of all classes
     least[~seen] = least[seen].min()
     # a shorter text may not be judged more strictly than a longer one
     least = np.minimum.accumulate(least[::-1])[::-1]
     return {
-        "langs": names, "idf": idf.astype(np.float32), "centres": centres,
+        "langs": names, "idf": idf, "centres": centres,
         "owner": np.repeat(np.arange(len(names)), [len(c) for c in per]), "least": (least * MARGIN).astype(np.float32),
     }
 
@@ -185,7 +195,7 @@ def labelled(batches, model: dict):
                 ok = lettered[rows]
                 lang[rows] = np.where(ok, names[model["owner"][best]], "und")
                 score[rows] = np.where(ok, value, 0)
-                rejected[rows] = ~ok | (value < model["least"][length_class(counts)])
+                rejected[rows] = ~ok | (value < model["least"][length_class(counts.sum(axis=1))])
         yield pa.record_batch(
             [batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)],
             ["doc_id", "lang_pred", "score", "rejected"],

@@ -30,7 +30,7 @@ from vigil.llm import common
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Characters encoded at once, and words remembered between batches (memory bounds only).
-CHUNK, REMEMBER = 1_000_000, 1_000_000
+CHUNK, REMEMBER = 1_000_000, 400_000
 
 
 class _Table:
