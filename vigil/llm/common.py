@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vigil.session import materialize, shared_dir
 
-__all__ = ["materialize", "shared_dir", "table", "id_text", "text_key", "bytes_of", "slices", "md5_key"]
+__all__ = ["materialize", "shared_dir", "table", "id_text", "text_key", "bytes_of", "slices", "discard"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,12 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def md5_key(*cols) -> Column:
-    return F.md5(F.concat_ws("|", *cols))
+def discard(df: DataFrame) -> None:
+    """Delete the files of a `materialize`d table that nothing will read any more."""
+    files = df.inputFiles()
+    if files:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:

@@ -253,6 +253,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     # written, so that the join deals out both sides anew and the rows of a hot bucket can be split
     shared = common.materialize(shared, "nodes")
     runs = common.materialize(found.join(shared, "node"), "buckets")
+    common.discard(found)  # the largest intermediate table; `runs` has what is needed of it
     plain = runs.where("NOT branches")
     contexts = runs.where("branches").groupBy("node", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "a", "b", "o")).alias("at")
