@@ -237,6 +237,16 @@ ORACLES: dict[str, str] = {
         f"SELECT {_result} FROM docv WHERE {_SIGNS.format(bits=q.SIGN_BITS, v='embedding')} IN (SELECT code FROM near) "
         "ORDER BY dist, id LIMIT 10"
     ),
+    "ann_search_wide": (
+        f"WITH {DOCV}, asked AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), "
+        f"own AS (SELECT qv, {_SIGNS.format(bits=q.WIDE_BITS, v='qv')}::BIGINT AS c FROM asked), "
+        f"code AS (SELECT unnest(range(1 << {q.WIDE_BITS})) AS code), "
+        f"cost AS (SELECT code, list_sum(list_transform(range({q.WIDE_BITS}), "
+        "lambda i: CASE WHEN (xor(code, c) >> i) & 1 = 1 THEN abs(qv[i + 1]) ELSE 0 END)) AS cost FROM code, own), "
+        f"near AS (SELECT code FROM cost ORDER BY cost, code LIMIT {q.WIDE_PROBES}) "
+        f"SELECT {_result} FROM docv WHERE {_SIGNS.format(bits=q.WIDE_BITS, v='embedding')} IN (SELECT code FROM near) "
+        "ORDER BY dist, id LIMIT 10"
+    ),
     "cosine_distance": (
         f"SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], {QUERY}), 6) + 0.0 AS distance "
         "FROM embeddings"
