@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import text as tx
+from vigil.functions import vectors as vx
 from vigil.schema import DEFAULT_DIM
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
@@ -37,12 +38,15 @@ def hash_embedder(dim: int = DEFAULT_DIM) -> Embedder:
 
 
 def model_embedder(
-    load: Callable[[], Callable[[list[str]], list[list[float]]]], cap: int | None = None, batch_size: int = 50
+    load: Callable[[], Callable[[list[str]], list[list[float]]]], cap: int | None = None, batch_size: int = 50,
+    chunk: int | None = None,
 ) -> Embedder:
     """Wrap a model. `load` runs once per worker and returns `encode(texts) -> vectors`.
 
-    `cap` is the number of characters that the model takes, if it has such a limit; a call gets at
-    most `batch_size` texts. When a call fails, its texts are tried one by one; a text that
+    Whole texts are embedded. For a model with an input limit, `chunk` is the number of characters it takes:
+    it gets all pieces of a text, and their vectors are averaged; a text with a piece that fails gets
+    an empty vector. `cap` drops what lies behind so many characters. A call gets at
+    most `batch_size` texts or pieces. When a call fails, its texts are tried one by one; a text that
     fails alone gets an empty vector, and the quality filter moves its row to the rejects.
     """
 
@@ -52,15 +56,30 @@ def model_embedder(
         except Exception:  # a failed call is data here, not an error of the job
             return [[]] if len(texts) == 1 else [v for t in texts for v in attempt(model, [t])]
 
+    def vectors(model, texts: list[str]) -> list[list[float]]:
+        return [v for i in range(0, len(texts), batch_size) for v in attempt(model, texts[i : i + batch_size])]
+
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series(vectors(model, [t[:cap] for t in batch.fillna("")]))
+
+    @F.pandas_udf("array<array<float>>")
+    def encode_pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
             texts = [t[:cap] for t in batch.fillna("")]
-            yield pd.Series([v for i in range(0, len(texts), batch_size) for v in attempt(model, texts[i : i + batch_size])])
+            pieces = [[t[i : i + chunk] for i in range(0, len(t), chunk)] or [""] for t in texts]
+            found = iter(vectors(model, [x for p in pieces for x in p]))
+            own = [[next(found) for _ in p] for p in pieces]
+            yield pd.Series([v if all(map(len, v)) else [] for v in own])
 
     def apply(df: DataFrame, text_column: str, out_column: str) -> DataFrame:
-        return df.withColumn(out_column, encode(F.col(text_column)))
+        if chunk is None:
+            return df.withColumn(out_column, encode(F.col(text_column)))
+        pieces = df.withColumn("_pieces", encode_pieces(F.col(text_column)))
+        return pieces.withColumn(out_column, vx.mean_pool("_pieces").cast("array<float>")).drop("_pieces")
 
     return apply
 

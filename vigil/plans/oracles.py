@@ -339,6 +339,10 @@ ORACLES: dict[str, str] = {
         f"WITH {DOC}, cut AS (SELECT id, substr(regexp_replace(message, e'\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), 1, 1000) AS t FROM doc) "
         "SELECT id, length(t)::BIGINT AS length, (length(t) - length(replace(t, ' ', '')))::BIGINT AS spaces FROM cut"
     ),
+    "plugin_embedder_whole": (
+        f"WITH {DOC}, whole AS (SELECT id, regexp_replace(message, e'\\x1b\\[[0-9;]*[A-Za-z]', '', 'g') AS t FROM doc) "
+        "SELECT id, length(t)::BIGINT AS length, (length(t) - length(replace(t, ' ', '')))::BIGINT AS spaces FROM whole"
+    ),
     "since_dialect_b": f"WITH {EV} SELECT id, ts_ms FROM ev WHERE ts_ms >= {q.AS_OF - 36 * 3_600_000}",
     "conv_files": (
         "SELECT conv_id::VARCHAR AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text "

@@ -306,6 +306,14 @@ def plugin_embedder(spark, d):
     )
 
 
+def plugin_embedder_whole(spark, d):
+    """As `plugin_embedder`, with no cap on the texts."""
+    rows = embed.embed(_doc(spark, d), embed.model_embedder(_length_model))
+    return rows.select(
+        "id", F.get("embedding", F.lit(0)).cast("long").alias("length"), F.get("embedding", F.lit(1)).cast("long").alias("spaces")
+    )
+
+
 def quality_filter(spark, d):
     kept, _ = assemble.quality_filter(_doc(spark, d, "left"))
     return kept.select("id", "log_group")
@@ -779,7 +787,7 @@ QUERIES: dict[str, Query] = {
         browse_recent, browse_filtered, latest_stream, latest_events, group_catalog, group_filter,
         group_fanout, min_len, since_filter, recent_errors,
         parse_header, assemble_events, strip_ansi, embed_text, mean_pool, token_pool, first_token_pool,
-        plugin_embedder, quality_filter,
+        plugin_embedder, plugin_embedder_whole, quality_filter,
         reject_counts, stable_id, message_templates,
         window_scan, suspects, group_counts, group_counts_json, top_groups, samples,
         evidence_samples, window_summary, error_rate, error_trend, ingest_rate, score_windows,
