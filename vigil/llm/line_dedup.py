@@ -9,6 +9,9 @@ for fingerprints that occur twice; from there each match is extended to both sid
 windows that hold the fingerprint, by comparing their 128-bit keys with the first place of the
 key. Overlapping repeated windows make up the maximal run.
 
+With `alone`, a line of that many bytes or more is a run of length one: it is deleted wherever it stood before,
+whatever its neighbours; only shorter lines need a neighbour.
+
 Groups are never gathered: fingerprints and windows are reduced to counts and first places by
 partial aggregates, and joined back many to one, where adaptive execution splits a hot key.
 
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from vigil.llm import common
 
 MIN_RUN = 2
+#: Bytes from which a line says enough to be a run of its own, where `alone` is asked for.
+ALONE_BYTES = 100
 LAST = 2**63 - 1
 _PLACE = ("__id", "__key", "__at")
 
@@ -88,19 +93,36 @@ def repeated_windows(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc
     return windows.join(first.drop("last"), ["w1", "w2"]).where(here != F.col("first")).select(*_PLACE)
 
 
-def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_alone(docs: DataFrame, alone: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """__id, __key, __at: the lines of `alone` bytes or more that have an earlier equal one."""
+    text = F.col(f"`{text_col}`").cast("string")
+    lines = _keyed(docs.where(text.isNotNull()), id_col, text_col).select(
+        "__id", "__key", F.posexplode(F.split(text, "\n")).alias("__at", "line")
+    ).where(F.octet_length("line") >= alone)
+    hashed = lines.select(*_PLACE, F.xxhash64("line").alias("w1"), F.xxhash64(F.lit(1), "line").alias("w2"))
+    marks, here = common.materialize(hashed, "lines"), F.struct(*_PLACE)
+    first = marks.groupBy("w1", "w2").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first != last")
+    return marks.join(first.drop("last"), ["w1", "w2"]).where(here != F.col("first")).select(*_PLACE)
+
+
+def dedup(
+    docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None
+) -> DataFrame:
     """`docs` with the kept lines as text, and `__lines` and `__removed`: lines before, lines deleted."""
-    removed = repeated_windows(docs, min_run, id_col, text_col).groupBy("__id", "__key").agg(
-        F.array_sort(F.collect_set("__at")).alias("__starts")
-    )
+    found, width = repeated_windows(docs, min_run, id_col, text_col), min_run
+    if alone is not None:
+        # windows and single lines overlap, so both are judged line by line
+        each = F.explode(F.sequence(F.col("__at"), F.col("__at") + min_run - 1)).alias("__at")
+        found, width = found.select("__id", "__key", each).unionByName(repeated_alone(docs, alone, id_col, text_col)), 1
+    removed = found.groupBy("__id", "__key").agg(F.array_sort(F.collect_set("__at")).alias("__starts"))
     text = F.col(f"`{text_col}`").cast("string")
     joined = _keyed(docs, id_col, text_col).join(removed, ["__id", "__key"], "left")
     joined = joined.withColumns({
         "__all": F.coalesce(F.split(text, "\n"), F.array().cast("array<string>")),
         "__starts": F.coalesce("__starts", F.array().cast("array<int>")),
     })
-    # what is kept lies between the end of one repeated window and the start of the next
-    begin = F.concat(F.array(F.lit(0)), F.transform("__starts", lambda i: i + min_run))
+    # what is kept lies between the end of one repeated window (or line) and the start of the next
+    begin = F.concat(F.array(F.lit(0)), F.transform("__starts", lambda i: i + width))
     end = F.concat(F.col("__starts"), F.array(F.size("__all")))
     ranges = F.arrays_zip(begin.alias("a"), end.alias("b"))
     joined = joined.withColumn(
@@ -114,9 +136,9 @@ def dedup(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_
     }).select(*[f"`{c}`" for c in docs.columns], "__lines", "__removed")
 
 
-def digests(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def digests(docs: DataFrame, min_run: int = MIN_RUN, alone: int | None = None) -> DataFrame:
     narrow = common.id_text(docs)
-    return dedup(narrow, min_run).select(
+    return dedup(narrow, min_run, alone=alone).select(
         "doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )

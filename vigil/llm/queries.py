@@ -41,6 +41,11 @@ def op4_line_dedup(spark, d):
     return line_dedup.digests(table(spark, d, "documents"))
 
 
+def op4_line_dedup_alone(spark, d):
+    """As `op4_line_dedup`, and long lines also where their neighbours differ."""
+    return line_dedup.digests(table(spark, d, "documents"), alone=line_dedup.ALONE_BYTES)
+
+
 def op5_minhash_dedup(spark, d):
     return minhash_dedup.near_duplicates(table(spark, d, "documents"), share=75)
 
@@ -74,8 +79,8 @@ def op10_suffix_dedup(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op5_minhash_dedup,
-        op6_language_id, op7_exact_topk, op8_resharding, op9_substring_dedup,
+        op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op4_line_dedup_alone,
+        op5_minhash_dedup, op6_language_id, op7_exact_topk, op8_resharding, op9_substring_dedup,
         op10_suffix_dedup,
     )
 }
@@ -160,6 +165,32 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(k.text, '')) AS kept_sha256
         FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
     """,
+    "op4_line_dedup_alone": f"""
+        WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
+        pair AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM line),
+        again AS (
+            SELECT doc_id, i FROM (
+                SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS r
+                FROM pair WHERE next IS NOT NULL
+            ) WHERE r > 1
+        ),
+        single AS (
+            SELECT doc_id, i FROM (
+                SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS r
+                FROM line WHERE strlen(line) >= {line_dedup.ALONE_BYTES}
+            ) WHERE r > 1
+        ),
+        gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again UNION SELECT doc_id, i FROM single),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+            FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines,
+               (coalesce(len(d.lines), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(k.text, '')) AS kept_sha256
+        FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
     "op5_minhash_dedup": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(
