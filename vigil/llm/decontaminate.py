@@ -9,6 +9,9 @@ by one and the same value throughout. A re-parameterised question passes that, a
 template match doesn't. A document is contaminated by an item if consistent windows
 make up half of the item's windows or cover 13 words.
 
+With `every_form` (always in `keep`) the first word of an item is taken in every form it can have in a document
+("Question: What is ..." makes a name of "What", "... . What is" doesn't), and has to be the same word.
+
 Defined cases: null and empty texts match nothing; items shorter than a window match as a whole,
 items under five words are not searched; repeated benchmark rows with one id count once; repeated
 documents give equal rows once for each (id, text); null ids are compared like any id; only
@@ -54,25 +57,37 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
-def templates(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """name, raw (lower-case words without punctuation at their ends), word (template words), by row."""
+def templates(df: DataFrame, id_col: str, text_col: str, name: str, forms: bool = False) -> DataFrame:
+    """name, raw (lower-case words without punctuation at their ends), word (template words), by row.
+
+    With `forms` also those placeholders that the first word may become behind other words.
+    """
     text = F.col(f"`{text_col}`").cast("string")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias(name), text.alias("text")).where(F.col("text").isNotNull())
     rows = _once(rows, "words", F.split(F.btrim("text", F.lit(_BLANK)), _SPACES)).drop("text")
     rows = _once(rows, "raw", F.transform("words", lambda w: F.btrim(F.lower(w), F.lit(EDGES))))
     number = lambda w: ((w >= "0") & (w < ":")) | w.isin(*NUMBER_WORDS)
 
+    def capital(word):
+        # all capitals are no name
+        first, rest = F.substring(word, 1, 1), F.substring(word, 2, 1_000_000)
+        return (first != F.lower(first)) & (rest == F.lower(rest))
+
     def placed(raw, i):
         word, before = F.get(F.col("words"), i), F.get(F.col("words"), i - 1)
-        first, rest = F.substring(word, 1, 1), F.substring(word, 2, 1_000_000)
-        # all capitals are no name, nor is a capital behind the end of a sentence
-        named = (first != F.lower(first)) & (rest == F.lower(rest)) & ~F.substring(before, -1, 1).isin(".", "!", "?")
+        # nor is a capital behind the end of a sentence
+        named = capital(word) & ~F.substring(before, -1, 1).isin(".", "!", "?")
         return (
             F.when(number(raw), F.lit(NUM)).when(raw.isin(*UNITS) & number(F.get(F.col("raw"), i - 1)), F.lit(UNIT))
             .when(named, F.lit(NAME)).otherwise(raw)
         )
 
-    return _once(rows, "word", F.transform("raw", placed)).select(name, "raw", "word")
+    rows = _once(rows, "word", F.transform("raw", placed))
+    if not forms:
+        return rows.select(name, "raw", "word")
+    word, raw = F.get("words", F.lit(0)), F.get("raw", F.lit(0))
+    other = F.array(F.when(capital(word), F.lit(NAME)), F.when(raw.isin(*UNITS), F.lit(UNIT)))
+    return rows.select(name, "raw", "word", F.filter(other, lambda x: x.isNotNull() & ~number(raw)).alias("forms"))
 
 
 def with_grams(df: DataFrame, length: int) -> DataFrame:
@@ -112,6 +127,18 @@ def windows(rows: DataFrame, name: str, length: int) -> DataFrame:
     )
 
 
+def _item_windows(items: DataFrame, length: int) -> DataFrame:
+    """The benchmark's windows. What the first word of an item becomes in a document depends on the word before it
+    there, so the first window comes in each form; `item_first` is the bare word that the document has to have then."""
+    begin = items.select(
+        "item_id", F.slice("raw", 1, length).alias("raw"), F.slice("word", 2, length - 1).alias("rest"), F.explode("forms").alias("form")
+    )
+    begin = begin.select("item_id", "raw", F.concat(F.array("form"), "rest").alias("word"))
+    first = begin.select(F.col("item_id").alias("__item"), F.get("raw", F.lit(0)).alias("item_first")).distinct()
+    moved = windows(begin, "item_id", length).join(first, F.expr("item_id <=> __item")).drop("__item")
+    return windows(items, "item_id", length).withColumn("item_first", F.lit(None).cast("string")).unionByName(moved)
+
+
 def _candidates(docs: DataFrame, grams: dict[int, DataFrame], id_col: str, text_col: str) -> DataFrame:
     """doc_id of the documents that share a template window with the benchmark, in one pass over all windows."""
     words = templates(docs, id_col, text_col, "doc_id").select("doc_id", "word")
@@ -127,19 +154,25 @@ def _small(grams: DataFrame) -> bool:
     return grams.count() <= BROADCAST_ROWS
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows (of the item), n_matched, n_replaced (slots with another value), contaminated."""
-    items = templates(benchmark, item_col, item_text, "item_id").dropDuplicates(["item_id"])
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", every_form: bool = False) -> DataFrame:
+    """doc_id, item_id, n_windows (of the item), n_matched, n_replaced (slots with another value), contaminated.
+
+    `every_form` takes the first word of an item in every form that it can have in a document.
+    """
+    items = templates(benchmark, item_col, item_text, "item_id", forms=True).dropDuplicates(["item_id"])
     items = common.materialize(items.where(F.size("word") >= LEAST_WORDS), "items")
     length = F.least(F.size("word"), F.lit(WINDOW))
     # at most WINDOW different lengths
     lengths = sorted(r[0] for r in items.select(length).distinct().collect()) or [WINDOW]
-    grams = {
-        n: windows(items.where(length == n), "item_id", n).select(
-            "item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("strict").alias("item_strict")
+    grams = {}
+    for n in lengths:
+        own = items.where(length == n)
+        gram = _item_windows(own, n) if every_form else windows(own, "item_id", n).withColumn("item_first", F.lit(None).cast("string"))
+        gram = gram.select(
+            "item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("strict").alias("item_strict"), "item_first"
         )
-        for n in lengths
-    }
+        # with all forms it is long to work out, read three times, and small
+        grams[n] = common.materialize(gram, "grams") if every_form else gram
     # only documents with a hit are looked at closely
     hits = common.materialize(_candidates(docs, grams, id_col, text_col), "hits")
     near = common.id_text(docs, id_col, text_col).join(hits.withColumnRenamed("doc_id", "__hit"), F.expr("doc_id <=> __hit"), "left_semi")
@@ -150,6 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         pairs = found if pairs is None else pairs.unionByName(found)
     # windows of placeholders for the most part have to be equal word by word
     pairs = pairs.where(F.coalesce(F.col("strict") == F.col("item_strict"), F.lit(True)))
+    pairs = pairs.where(F.coalesce(F.get("slots", F.lit(0)) == F.col("item_first"), F.lit(True)))
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
     by = ["doc_id", "item_id", "shift"]
     # a place of the item and a value there, with the value that the document has instead
@@ -183,5 +217,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that no item contaminates; rows with a contaminated id and a null id are told apart."""
-    bad = matches(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = matches(docs, benchmark, id_col, text_col, every_form=True).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
