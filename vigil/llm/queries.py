@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import (
-    decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, resharding, secret_scan, sentencepiece_codec,
-    substring_dedup, suffix_dedup,
+    centroids, decontaminate, exact_topk, language_id, line_dedup, merkle_manifest, minhash_dedup, resharding, secret_scan,
+    sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup,
 )
 from vigil.llm.common import table
 
@@ -76,18 +76,58 @@ def op10_suffix_dedup(spark, d):
     return suffix_dedup.digests(table(spark, d, "documents"))
 
 
+def op11_simhash_dedup(spark, d):
+    return simhash_dedup.near_duplicates(table(spark, d, "documents"))
+
+
+def op12_merkle_manifest(spark, d):
+    return merkle_manifest.audit(table(spark, d, "documents"))
+
+
+def op13_centroid_clustering(spark, d):
+    return centroids.report(table(spark, d, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op4_line_dedup_alone,
         op5_minhash_dedup, op6_language_id, op7_exact_topk, op8_resharding, op9_substring_dedup,
-        op10_suffix_dedup,
+        op10_suffix_dedup, op11_simhash_dedup, op12_merkle_manifest, op13_centroid_clustering,
     )
 }
 _in = lambda values: ", ".join(f"'{v}'" for v in values)
 _number = lambda c: f"(({c} >= '0' AND {c} < ':') OR {c} IN ({_in(decontaminate.NUMBER_WORDS)}))"
 _EDGES = decontaminate.EDGES.replace("'", "''")
 
+_field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+_leaf = lambda text: "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+#: CRC-32 bit by bit: every byte is mixed in, then shifted out in eight steps (-1).
+_crc32 = lambda c: (
+    "xor(4294967295, list_reduce(flatten(list_transform(string_split(" + c + ", ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), "
+    "lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295::BIGINT))"
+)
+#: The rounds one after the other: the assignment to the centroids of a round, then its centroids.
+_ROUNDS = "\n".join(
+    f"""
+        a{r} AS MATERIALIZED (
+            SELECT v.at, min_by(k, (d, k)) AS k, min(d) AS d FROM (
+                SELECT v.at, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+                FROM v, c{r} c
+            ) v GROUP BY v.at
+        ),
+        c{r + 1} AS MATERIALIZED (
+            SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+                SELECT k, list(x ORDER BY i) AS x FROM (
+                    SELECT k, i, floor(sum(y)::DOUBLE / count(*))::BIGINT AS x FROM (
+                        SELECT a.k, unnest(v.x) AS y, generate_subscripts(v.x, 1) AS i FROM a{r} a JOIN v ON a.at = v.at
+                    ) GROUP BY k, i
+                ) GROUP BY k
+            ) m ON m.k = c.k
+        ),"""
+    for r in range(centroids.ROUNDS + 1)
+)
+
 ORACLES: dict[str, str] = {
     "op3_decontaminate": rf"""
         WITH src AS (
@@ -268,4 +308,69 @@ ORACLES: dict[str, str] = {
                ELSE sha256(unhex(array_to_string(list_transform(parts, lambda p: hex(array_slice(b, p[1], p[2] - 1))), ''))) END AS kept_sha256
         FROM kept
     """,
+    "op12_merkle_manifest": rf"""
+        WITH RECURSIVE src AS (
+            SELECT doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                   coalesce('s' || source, '') AS part, coalesce({_crc32('doc_id::VARCHAR')} % 5 = 0, false) AS hit
+            FROM documents
+        ),
+        leaf AS (
+            SELECT doc_id, part, h, CASE WHEN hit THEN forged ELSE h END AS start,
+                   row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY part) AS n
+            FROM (SELECT doc_id, part, hit, {_leaf('text')} AS h, {_leaf('low')} AS forged FROM src)
+        ),
+        node AS (
+            SELECT part, 0 AS lvl, idx, h, n FROM leaf
+            UNION ALL
+            SELECT part, any_value(lvl) + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16
+            FROM node WHERE n > 1 GROUP BY part, idx // 16
+        ),
+        sub AS (SELECT part, lvl, h, row_number() OVER (ORDER BY part) - 1 AS idx, count(*) OVER () AS n FROM node WHERE n = 1),
+        top AS (
+            SELECT 0 AS lvl, idx, h, n FROM sub
+            UNION ALL
+            SELECT any_value(lvl) + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16
+            FROM top WHERE n > 1 GROUP BY idx // 16
+        ),
+        beside AS (
+            SELECT a.part, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+                   coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+            FROM node a JOIN node b ON a.part = b.part AND a.lvl = b.lvl AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY ALL
+        ),
+        above AS (
+            SELECT a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+                   coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+            FROM top a JOIN top b ON a.lvl = b.lvl AND a.idx // 16 = b.idx // 16 WHERE a.n > 1 GROUP BY ALL
+        ),
+        step AS (
+            SELECT part, idx AS at, lvl, idx, h, start AS f, '' AS seen FROM leaf, (SELECT 0 AS lvl)
+            UNION ALL
+            SELECT s.part, s.at, s.lvl + 1, s.idx // 16, s.h, sha256(b.l || s.f || b.r), s.seen || b.l || b.r
+            FROM step s JOIN beside b ON s.part = b.part AND s.lvl = b.lvl AND s.idx = b.idx
+        ),
+        up AS (
+            SELECT s.part, s.at, s.h, sub.h AS subroot, 0 AS lvl, sub.idx, s.f, s.seen FROM step s JOIN sub ON s.part = sub.part AND s.lvl = sub.lvl
+            UNION ALL
+            SELECT u.part, u.at, u.h, u.subroot, u.lvl + 1, u.idx // 16, sha256(b.l || u.f || b.r), u.seen || b.l || b.r
+            FROM up u JOIN above b ON u.lvl = b.lvl AND u.idx = b.idx
+        )
+        SELECT doc_id, u.h AS leaf, subroot, top.h AS root, sha256(seen) AS proof_sha256, f AS folded_root, f = top.h AS verified
+        FROM up u JOIN top ON top.n = 1 AND u.lvl = top.lvl JOIN leaf ON leaf.part = u.part AND leaf.idx = u.at
+    """,
+    "op13_centroid_clustering": f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS at, vec_id,
+                   list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS x
+            FROM embeddings
+            WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), x) - 1 AS k, x FROM v
+            WHERE vec_id IS NOT NULL ORDER BY sha256('{centroids.SEED}:' || vec_id), x LIMIT {centroids.CLUSTERS}
+        ),{_ROUNDS}
+        total AS (SELECT k, sum(d)::BIGINT AS s FROM a{centroids.ROUNDS} GROUP BY k)
+        SELECT vec_id, a.k::INTEGER AS cluster, a.d AS distance, total.s AS cluster_inertia, (SELECT sum(s) FROM total)::BIGINT AS inertia,
+               sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM a{centroids.ROUNDS} a JOIN v ON a.at = v.at JOIN c{centroids.ROUNDS} c ON c.k = a.k JOIN total ON total.k = a.k
+    """,
 }
