@@ -33,7 +33,8 @@ def test_contract_holds_all():
 
 def test_names_match():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) == set(ORACLES)
+    # approximate by their nature: tests/test_pq.py holds them against brute force
+    assert set(QUERIES) - set(ORACLES) == {"pq_search", "pq_recall"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

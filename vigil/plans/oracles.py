@@ -212,7 +212,6 @@ _ASKED = (
     "'[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS w), "
     f"wanted AS (SELECT ('0x' || substr(md5(w), 1, 8))::BIGINT % {q.DIM} AS s, count(*)::DOUBLE AS n FROM asked GROUP BY ALL)"
 )
-_SIGNS = "list_sum(list_transform(range({bits}), lambda i: CASE WHEN {v}[i + 1] > 0 THEN 1 << i ELSE 0 END))"
 
 ORACLES: dict[str, str] = {
     "embed_hash": (
@@ -227,26 +226,8 @@ ORACLES: dict[str, str] = {
         "FROM doc JOIN len USING (id) LEFT JOIN dot USING (id) WHERE length(message) >= 32) "
         f"SELECT {_result} FROM found ORDER BY round(dist, 6), id LIMIT 20"
     ),
-    "ann_search": (
-        f"WITH {DOCV}, asked AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), "
-        f"own AS (SELECT qv, {_SIGNS.format(bits=q.SIGN_BITS, v='qv')}::BIGINT AS c FROM asked), "
-        f"code AS (SELECT unnest(range(1 << {q.SIGN_BITS})) AS code), "
-        f"cost AS (SELECT code, list_sum(list_transform(range({q.SIGN_BITS}), "
-        "lambda i: CASE WHEN (xor(code, c) >> i) & 1 = 1 THEN abs(qv[i + 1]) ELSE 0 END)) AS cost FROM code, own), "
-        f"near AS (SELECT code FROM cost ORDER BY cost, code LIMIT {q.SIGN_PROBES}) "
-        f"SELECT {_result} FROM docv WHERE {_SIGNS.format(bits=q.SIGN_BITS, v='embedding')} IN (SELECT code FROM near) "
-        "ORDER BY dist, id LIMIT 10"
-    ),
-    "ann_search_wide": (
-        f"WITH {DOCV}, asked AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), "
-        f"own AS (SELECT qv, {_SIGNS.format(bits=q.WIDE_BITS, v='qv')}::BIGINT AS c FROM asked), "
-        f"code AS (SELECT unnest(range(1 << {q.WIDE_BITS})) AS code), "
-        f"cost AS (SELECT code, list_sum(list_transform(range({q.WIDE_BITS}), "
-        "lambda i: CASE WHEN (xor(code, c) >> i) & 1 = 1 THEN abs(qv[i + 1]) ELSE 0 END)) AS cost FROM code, own), "
-        f"near AS (SELECT code FROM cost ORDER BY cost, code LIMIT {q.WIDE_PROBES}) "
-        f"SELECT {_result} FROM docv WHERE {_SIGNS.format(bits=q.WIDE_BITS, v='embedding')} IN (SELECT code FROM near) "
-        "ORDER BY dist, id LIMIT 10"
-    ),
+    # the exact ten nearest: the index is held to them
+    "ann_search": f"WITH {DOCV} SELECT {_result} FROM docv ORDER BY dist, id LIMIT 10",
     "cosine_distance": (
         f"SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], {QUERY}), 6) + 0.0 AS distance "
         "FROM embeddings"
@@ -336,10 +317,6 @@ ORACLES: dict[str, str] = {
         f"SELECT vec_id, i AS pos, round(x, 6) + 0.0 AS value FROM cells WHERE i < {q.DIM // 4}"
     ),
     "plugin_embedder": (
-        f"WITH {DOC}, cut AS (SELECT id, substr(regexp_replace(message, e'\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), 1, 1000) AS t FROM doc) "
-        "SELECT id, length(t)::BIGINT AS length, (length(t) - length(replace(t, ' ', '')))::BIGINT AS spaces FROM cut"
-    ),
-    "plugin_embedder_whole": (
         f"WITH {DOC}, whole AS (SELECT id, regexp_replace(message, e'\\x1b\\[[0-9;]*[A-Za-z]', '', 'g') AS t FROM doc) "
         "SELECT id, length(t)::BIGINT AS length, (length(t) - length(replace(t, ' ', '')))::BIGINT AS spaces FROM whole"
     ),

@@ -11,7 +11,7 @@ from vigil.functions import text as tx
 from vigil.functions import vectors as vx
 from vigil.functions.timeparse import DAY_MS, HOUR_MS, MINUTE_MS, since_ms
 from vigil.operators import (
-    adhoc, alerts, ann, assemble, browse, convo, detect, embed, incidents, score, search,
+    adhoc, alerts, ann, assemble, browse, convo, detect, embed, incidents, pq, score, search,
 )
 from vigil.plans import detection, ingest
 from vigil.session import materialize, shared_dir
@@ -37,9 +37,8 @@ ROUTES = {
     "medium": [alerts.CHAT_CHANNEL],
     "low": [alerts.CHAT_CHANNEL],
 }
-SIGN_BITS, SIGN_PROBES = 4, 8
-#: Three quarters of the folders: mean recall of at least 0.9 on the sample embeddings.
-WIDE_BITS, WIDE_PROBES = 8, 192
+#: Lists, sub-vectors, lists read by the many-query search, and rows whose whole vectors are read.
+PQ_CELLS, PQ_PARTS, PQ_PROBES, PQ_RERANK = 16, 32, 12, 30
 DETECT_DELAY_MS = 10 * MINUTE_MS
 SESSION_GAP_MS = 30 * MINUTE_MS
 
@@ -140,19 +139,46 @@ def search_by_text(spark, d):
     return _rounded_result(search.search_by_text(docs, first, embed.hash_embedder(DIM), k=20))
 
 
+def _pq_index(spark, rows):
+    return pq.PQIndex.train(rows, shared_dir(spark, "pq"), DIM, cells=PQ_CELLS, parts=PQ_PARTS).append(rows, 0)
+
+
+def _vector_logs(spark, d):
+    """The vectors table as log rows: ids, vectors, and a group per label."""
+    return _vectors(spark, d).select(
+        F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("label-"), F.col("label").cast("string")).alias("log_group"),
+        F.lit("vectors").alias("log_stream"), F.col("vec_id").alias("ts_ms"), F.lit("").alias("message"), "embedding",
+    )
+
+
 def ann_search(spark, d):
-    """The ten nearest rows in the half of the sign index's folders that lies nearest; see README for its low recall."""
-    index = ann.SignIndex(spark, shared_dir(spark, "signs"), bits=SIGN_BITS).append(_doc(spark, d, "inner"), 0)
-    query = list(_query_vector(spark, d).first()[0])
-    found = index.search(query, k=10, probes=SIGN_PROBES)
-    return _rounded_result(found)
+    """The ten nearest rows by product-quantised codes and exact distances of a short list."""
+    index = _pq_index(spark, _doc(spark, d, "inner"))
+    return _rounded_result(index.search(list(_query_vector(spark, d).first()[0]), k=10, rerank=PQ_RERANK))
 
 
-def ann_search_wide(spark, d):
-    """The ten nearest rows in three quarters of a finer sign index's folders."""
-    index = ann.SignIndex(spark, shared_dir(spark, "signs"), bits=WIDE_BITS).append(_doc(spark, d, "inner"), 0)
-    query = list(_query_vector(spark, d).first()[0])
-    return _rounded_result(index.search(query, k=10, probes=WIDE_PROBES))
+def _pq_asked(spark, d):
+    return _vector_logs(spark, d).where("ts_ms % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+
+
+def pq_search(spark, d):
+    """The ten nearest rows for every vector whose id 20 divides, in three quarters of the lists."""
+    found = _pq_index(spark, _vector_logs(spark, d)).search_many(_pq_asked(spark, d), k=10, probes=PQ_PROBES, rerank=PQ_RERANK)
+    return found.select("qid", "rank", "id", _r("distance").alias("distance"))
+
+
+def pq_recall(spark, d):
+    """Per query of `pq_search`: the share of the exact ten nearest that it found, and the share of the vectors' bytes that it read."""
+    rows = materialize(_vector_logs(spark, d), "vectors")
+    found = _pq_index(spark, rows).search_many(_pq_asked(spark, d), k=10, probes=PQ_PROBES, rerank=PQ_RERANK)
+    truth = search.multi_search(rows, _pq_asked(spark, d), k=10)
+    each = materialize(pq.recall(materialize(found, "found"), truth, 10, PQ_PARTS, DIM, PQ_RERANK, rows.where(pq.usable(DIM)).count()), "recall")
+    mean = each.agg(F.avg("recall").alias("recall"), F.avg("bytes_share").alias("bytes_share"))
+    one = lambda c: mean.select(c).scalar()
+    return each.select(
+        "qid", "hits", _r("bytes_share").alias("bytes_share"), _r(one("recall")).alias("mean_recall"),
+        _r(one("bytes_share")).alias("mean_bytes_share"),
+    )
 
 
 def cell_search(spark, d):
@@ -300,14 +326,7 @@ def _length_model():
 
 
 def plugin_embedder(spark, d):
-    rows = embed.embed(_doc(spark, d), embed.model_embedder(_length_model, cap=1000))
-    return rows.select(
-        "id", F.get("embedding", F.lit(0)).cast("long").alias("length"), F.get("embedding", F.lit(1)).cast("long").alias("spaces")
-    )
-
-
-def plugin_embedder_whole(spark, d):
-    """As `plugin_embedder`, with no cap on the texts."""
+    """Whole texts through a replaceable model."""
     rows = embed.embed(_doc(spark, d), embed.model_embedder(_length_model))
     return rows.select(
         "id", F.get("embedding", F.lit(0)).cast("long").alias("length"), F.get("embedding", F.lit(1)).cast("long").alias("spaces")
@@ -783,11 +802,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         cosine_distance, semantic_search, search_filtered, multi_search, search_stats, hybrid_search,
-        search_by_text, ann_search, ann_search_wide, cell_search, vector_dim_check, vector_from_json, embed_hash,
+        search_by_text, ann_search, pq_search, pq_recall, cell_search, vector_dim_check, vector_from_json, embed_hash,
         browse_recent, browse_filtered, latest_stream, latest_events, group_catalog, group_filter,
         group_fanout, min_len, since_filter, recent_errors,
         parse_header, assemble_events, strip_ansi, embed_text, mean_pool, token_pool, first_token_pool,
-        plugin_embedder, plugin_embedder_whole, quality_filter,
+        plugin_embedder, quality_filter,
         reject_counts, stable_id, message_templates,
         window_scan, suspects, group_counts, group_counts_json, top_groups, samples,
         evidence_samples, window_summary, error_rate, error_trend, ingest_rate, score_windows,
