@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vigil.functions.text import HEADER, SPACE
-from vigil.operators import convo
+from vigil.operators import convo, templates
 from vigil.plans import detection, queries as q
 from vigil.sources.tables import DOC_BASE_MS
 
@@ -188,6 +188,10 @@ _PROMPT_LINES = (
 _GAP = f"{q.SESSION_GAP_MS}"
 
 
+#: A word stays if so many messages of its node have it.
+_FIXED = f"here >= least({templates.LEAST}, total) AND here * {templates.PARTS} >= total"
+
+
 def _sessions(source: str) -> str:
     return (
         f"hits AS (SELECT log_group, ts_ms FROM {source} WHERE {SUSPECT}), "
@@ -343,6 +347,30 @@ ORACLES: dict[str, str] = {
         "count(*) AS n_groups, arg_max(log_group, {'n': n, 'g': log_group}) AS main_group "
         "FROM per_group GROUP BY template"
     ),
+    "learned_templates": (
+        f"WITH {LOGS}, w AS (SELECT message, log_group, count(*) AS n, min(ts_ms) AS lo, max(ts_ms) AS hi, "
+        "regexp_split_to_array(trim(message, e' \\t\\n\\x0b\\f\\r'), '[\\x20\\t-\\r]+') AS w FROM logs "
+        "WHERE message IS NOT NULL GROUP BY message, log_group), "
+        "s AS (SELECT *, len(w) AS l, row_number() OVER () AS no FROM w), "
+        "t1 AS (SELECT l, sum(n) AS total FROM s GROUP BY l), b1 AS (SELECT l, w[1] AS x, sum(n) AS here FROM s GROUP BY ALL), "
+        f"s1 AS (SELECT s.*, CASE WHEN {_FIXED} THEN x ELSE '<*>' END AS p1 FROM s JOIN b1 ON s.l = b1.l AND w[1] = x JOIN t1 ON s.l = t1.l), "
+        "t2 AS (SELECT l, p1, sum(n) AS total FROM s1 WHERE l > 1 GROUP BY ALL), "
+        "b2 AS (SELECT l, p1, w[2] AS x, sum(n) AS here FROM s1 WHERE l > 1 GROUP BY ALL), "
+        f"s2 AS (SELECT s1.*, CASE WHEN {_FIXED} THEN x ELSE '<*>' END AS p2 FROM s1 JOIN b2 ON s1.l = b2.l AND s1.p1 = b2.p1 AND w[2] = x "
+        "JOIN t2 ON s1.l = t2.l AND s1.p1 = t2.p1 UNION ALL SELECT s1.*, NULL FROM s1 WHERE l = 1), "
+        "t3 AS (SELECT l, p1, p2, sum(n) AS total FROM s2 WHERE l > 2 GROUP BY ALL), "
+        "word AS (SELECT no, l, p1, p2, n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM s2 WHERE l > 2), "
+        "b3 AS (SELECT l, p1, p2, i, x, sum(n) AS here FROM word WHERE i > 2 GROUP BY ALL), "
+        f"rest AS (SELECT no, string_agg(CASE WHEN {_FIXED} THEN word.x ELSE '<*>' END, ' ' ORDER BY word.i) AS r, "
+        f"count(*) FILTER (NOT ({_FIXED}) OR word.x = '<*>') AS v "
+        "FROM word JOIN b3 ON word.l = b3.l AND word.p1 = b3.p1 AND word.p2 = b3.p2 AND word.i = b3.i AND word.x = b3.x "
+        "JOIN t3 ON word.l = t3.l AND word.p1 = t3.p1 AND word.p2 = t3.p2 GROUP BY no), "
+        "shaped AS (SELECT s2.*, concat_ws(' ', p1, p2, r) AS template, "
+        "coalesce(v, 0) + (p1 = '<*>')::INT + coalesce((p2 = '<*>')::INT, 0) AS n_variables FROM s2 LEFT JOIN rest USING (no)), "
+        "per_group AS (SELECT template, n_variables, log_group, sum(n) AS n, min(lo) AS lo, max(hi) AS hi FROM shaped GROUP BY ALL) "
+        "SELECT template, n_variables::BIGINT AS n_variables, sum(n)::BIGINT AS n, min(lo) AS first_ts_ms, max(hi) AS last_ts_ms, "
+        "count(*) AS n_groups, arg_max(log_group, {'n': n, 'g': log_group}) AS main_group FROM per_group GROUP BY template, n_variables"
+    ),
     "window_scan": (
         f"WITH {LOGS}, win AS (SELECT * FROM logs WHERE ts_ms > {q.AS_OF - 28 * q.DAY_MS} AND ts_ms <= {q.AS_OF} "
         "AND length(message) >= 10), cut AS (SELECT max(ts_ms) AS t FROM (SELECT ts_ms FROM win ORDER BY ts_ms, id LIMIT 1000)) "
@@ -429,6 +457,13 @@ ORACLES: dict[str, str] = {
         "ORDER BY ts_ms, id) AS gap_ms FROM logs"
     ),
     "incident_sessions": f"WITH {LOGS}, {_sessions('logs')} SELECT * FROM sessions",
+    "incident_correlation": (
+        f"WITH {LOGS}, {_sessions('logs')}, s AS (SELECT log_group AS k, first_ts_ms AS lo, last_ts_ms AS hi FROM sessions) "
+        "SELECT least(a.k, b.k) AS key_a, greatest(a.k, b.k) AS key_b, count(*) AS n, count(*) FILTER (a.k < b.k) AS n_a_first, "
+        "min(b.lo) AS first_ms, max(b.lo) AS last_ms, sum(greatest(least(a.hi, b.hi) - b.lo, 0))::BIGINT AS both_ms "
+        "FROM s a JOIN s b ON a.k <> b.k AND (a.lo < b.lo OR (a.lo = b.lo AND (a.k < b.k OR (a.k = b.k AND a.hi < b.hi)))) "
+        f"AND b.lo <= a.hi + {q.MARGIN_MS} GROUP BY 1, 2"
+    ),
     "incident_report": (
         f"WITH {BUILT}, "
         "slots AS (SELECT tick_ms, ts_ms // 3600000 * 3600000 AS slot_ms, count(*) AS n, "

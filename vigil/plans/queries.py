@@ -11,7 +11,7 @@ from vigil.functions import text as tx
 from vigil.functions import vectors as vx
 from vigil.functions.timeparse import DAY_MS, HOUR_MS, MINUTE_MS, since_ms
 from vigil.operators import (
-    adhoc, alerts, ann, assemble, browse, convo, detect, embed, incidents, pq, score, search,
+    adhoc, alerts, ann, assemble, browse, convo, correlate, detect, embed, incidents, pq, score, search, templates,
 )
 from vigil.plans import detection, ingest
 from vigil.session import materialize, shared_dir
@@ -41,6 +41,7 @@ ROUTES = {
 PQ_CELLS, PQ_PARTS, PQ_PROBES, PQ_RERANK = 16, 32, 12, 30
 DETECT_DELAY_MS = 10 * MINUTE_MS
 SESSION_GAP_MS = 30 * MINUTE_MS
+MARGIN_MS = 10 * MINUTE_MS
 
 
 def _r(c, digits: int = 6):
@@ -350,6 +351,10 @@ def message_templates(spark, d):
     return detect.message_templates(tables.all_logs(spark, d))
 
 
+def learned_templates(spark, d):
+    return templates.learned_templates(tables.all_logs(spark, d))
+
+
 # --- detect -----------------------------------------------------------------
 
 
@@ -502,6 +507,14 @@ def incident_sessions(spark, d):
     return detect.incident_sessions(tables.all_logs(spark, d), gap_ms=SESSION_GAP_MS)
 
 
+def incident_correlation(spark, d):
+    """Pairs of groups whose runs of suspects meet within the margin."""
+    sessions = detect.incident_sessions(tables.all_logs(spark, d), gap_ms=SESSION_GAP_MS).select(
+        F.col("log_group").alias("key"), F.col("first_ts_ms").alias("lo"), F.col("last_ts_ms").alias("hi")
+    )
+    return correlate.correlation(sessions, MARGIN_MS)
+
+
 def incident_report(spark, d):
     ticked = _ticked(spark, d)
     rolled = materialize(detect.rollup(ticked, HOUR_MS), "rollup")
@@ -807,12 +820,12 @@ QUERIES: dict[str, Query] = {
         group_fanout, min_len, since_filter, recent_errors,
         parse_header, assemble_events, strip_ansi, embed_text, mean_pool, token_pool, first_token_pool,
         plugin_embedder, quality_filter,
-        reject_counts, stable_id, message_templates,
+        reject_counts, stable_id, message_templates, learned_templates,
         window_scan, suspects, group_counts, group_counts_json, top_groups, samples,
         evidence_samples, window_summary, error_rate, error_trend, ingest_rate, score_windows,
         incident_gate, alert_prompt,
         normalize_severity, clamp_confidence, parse_incidents, dedupe_key, incident_build,
-        incident_merge, incident_list, incident_evidence, incident_timeline, incident_sessions,
+        incident_merge, incident_list, incident_evidence, incident_timeline, incident_sessions, incident_correlation,
         incident_report, alert_outbox, alert_routing, cursor_upsert,
         sql_limited, sql_envelope, sql_join, sql_semi_anti, sql_rollup, sql_set_ops,
         sql_vector_search, derive_columns,
