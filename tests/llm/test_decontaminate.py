@@ -26,7 +26,7 @@ def test_verbatim_and_reparameterised(spark, benchmark):
             (8, "Nothing of it is in this clean text about a train and the harbour.", "x"), (None, QUESTION, "x"), (9, QUESTION.replace(" ", "\n"), "x"),
         ],
     )
-    assert {k for k, r in got.items() if r["contaminated"]} == {(1, 1), (2, 1), (4, 2), (None, 1), (9, 1)} | ({(3, 1)} & set(got))
+    assert {k for k, r in got.items() if r["contaminated"]} == {(1, 1), (2, 1), (4, 2), (7, 3), (None, 1), (9, 1)} | ({(3, 1)} & set(got))
     assert got[(1, 1)]["n_replaced"] == 0 and got[(2, 1)]["n_replaced"] == 4
     assert got[(2, 1)]["n_matched"] == got[(2, 1)]["n_windows"]
 
@@ -39,6 +39,23 @@ def test_inconsistent_slots_are_no_match(spark):
     assert set(got) == {(1, 1)} and got[(1, 1)]["contaminated"]
 
 
+def test_short_items_are_exact_word_sequences(spark):
+    bench = spark.createDataFrame([(1, "name the capital"), (2, "add 5 and 7"), (3, "word")], "item_id long, text string")
+    rows = [(1, "Now name the capital, please.", ""), (2, "name the old capital", ""), (3, "So: add 5 and 7!", ""), (4, "add 6 and 8", ""), (5, "a word", "")]
+    assert set(found(spark, bench, rows)) == {(1, 1), (3, 2)}
+
+
+def test_rows_that_share_an_id_are_judged_each(spark, benchmark):
+    rows = [(None, QUESTION, "a"), (7, QUESTION, "b"), (None, "clean one", "c"), (None, "clean two", "d"), (7, "clean three", "e"), (8, "clean four", "f")]
+    bad = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    assert sorted(r["h"] for r in dc.keep(bad, benchmark).collect()) == ["c", "d", "e", "f"]
+    # two halves of an item in two texts of one id are no copy of it
+    words = QUESTION.split(" ")
+    halves = [(1, " ".join(words[:12]), ""), (1, " ".join(words[12:]), "")]
+    got = dc.matches(spark.createDataFrame(halves, "doc_id long, text string, h string"), benchmark).collect()
+    assert len(got) == 2 and all(r["n_matched"] < r["n_windows"] for r in got)
+
+
 def test_tables_of_numbers(spark):
     bench = spark.createDataFrame([(1, " ".join(map(str, range(20))))], "item_id long, text string")
     rows = [(1, " ".join(map(str, range(20))), ""), (2, " ".join(map(str, range(50, 70))), "")]

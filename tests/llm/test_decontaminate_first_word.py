@@ -7,7 +7,7 @@ LONG = "Minutes pass before the old train from the northern harbour reaches its
 def found(spark, rows):
     bench = spark.createDataFrame([(1, SHORT), (2, LONG)], "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return {(r["doc_id"], r["item_id"]): r for r in dc.matches(docs, bench, every_form=True).collect()}
+    return {(r["doc_id"], r["item_id"]): r for r in dc.matches(docs, bench).collect()}
 
 
 BEFORE = ("", "Question: ", "1) ", "A heading line\n", "It ends here. ", "asked ", "15 ")

@@ -15,7 +15,7 @@ def labelled(spark):
         lang = sorted(SYLLABLES)[i % 3]
         words = ["".join(rng.choices(SYLLABLES[lang].split(), k=rng.randint(1, 3))) for _ in range(rng.randint(3, 120))]
         rows.append((i, " ".join(words), lang if i % 17 else None, "s", 0))
-    rows += [(900, None, "xx", "s", 0), (901, "123 -- !", "xx", "s", 0), (902, "", None, "s", 0), (None, "ab ka ru", "xx", "s", 0), (903, "abkaru " * 200_000, "xx", "s", 0)]
+    rows += [(900, None, "xx", "s", 0), (901, "123 -- !", "xx", "s", 0), (902, "", None, "s", 0), (904, "² ³", None, "s", 0), (905, "½ 12 ①", None, "s", 0), (None, "ab ka ru", "xx", "s", 0), (903, "abkaru " * 200_000, "xx", "s", 0)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
@@ -26,10 +26,10 @@ def test_held_out_accuracy(labelled):
     assert len(held) > 80 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
     assert all(0 <= r["score"] <= 1 for r in rows)
     of = {r["doc_id"]: r for r in rows}
-    for i in (900, 901, 902):
+    for i in (900, 901, 902, 904, 905):
         assert (of[i]["lang_pred"], of[i]["score"], of[i]["rejected"]) == ("und", 0.0, True)
     assert of[903]["lang_pred"] == "xx" and not of[903]["rejected"]
-    assert sum(r["rejected"] for r in rows) == 3
+    assert sum(r["rejected"] for r in rows) == 5
 
 
 def test_far_texts_are_rejected(spark, labelled):

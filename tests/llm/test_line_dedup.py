@@ -20,7 +20,7 @@ def test_against_brute_force(docs, texts, clashing):
     rows = [(i, t) for i, t in enumerate(texts) if t is not None] + [(40, texts[2])]
     for run in (1, 2, 3, 5):
         want = brute(rows, run)
-        got = ld.dedup(clashing, run).where("doc_id IS NOT NULL").collect()
+        got = ld.dedup(clashing, run, alone=None).where("doc_id IS NOT NULL").collect()
         assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] != 5} == want
         assert all(r["text"] is None for r in got if r["doc_id"] == 5)
     out = ld.dedup(docs)

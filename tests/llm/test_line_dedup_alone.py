@@ -22,7 +22,7 @@ def brute(rows, run, alone):
 def test_a_long_line_between_other_neighbours(spark):
     rows = [(1, f"a\n{LONG}\nb"), (2, f"c\n{LONG}\nd"), (3, LONG), (4, "x\nshort\ny"), (5, "z\nshort\nw"), (6, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["__removed"]) for r in ld.dedup(df, alone=ld.ALONE_BYTES).collect()}
+    got = {r["doc_id"]: (r["text"], r["__removed"]) for r in ld.dedup(df).collect()}
     assert got == {
         1: (rows[0][1], 0), 2: ("c\nd", 1), 3: ("", 1), 4: (rows[3][1], 0), 5: (rows[4][1], 0), 6: (None, 0),
     }

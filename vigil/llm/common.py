@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,10 @@ from pyspark.sql import functions as F
 
 from vigil.session import materialize, shared_dir
 
-__all__ = ["materialize", "shared_dir", "table", "id_text", "text_key", "bytes_of", "slices", "discard"]
+__all__ = ["materialize", "shared_dir", "table", "id_text", "text_key", "bytes_of", "slices", "discard", "bounded", "returning"]
+
+#: The setting, and its value in a session that has not chosen one.
+_BATCH_BYTES, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +44,37 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bounded(df: DataFrame, size: str = "8m") -> DataFrame:
+    """`df`, in a session whose record batches for Python are bounded by bytes: rows here hold whole texts and sets.
+
+    Without that ten thousand rows make a batch, held once by the JVM and once by the worker. A session that has
+    set a size of its own keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES) == DEFAULT_BATCH:
+        conf.set(_BATCH_BYTES, size)
+    return df
+
+
+def returning(run: Callable, after: Callable[[], None] = lambda: None) -> Callable:
+    """A function over batches that gives its memory back at the end of a partition, as workers live on for other stages."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            after()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return whole
+
+
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a whole string column and where each row begins; null is empty."""
     if isinstance(column, pa.ChunkedArray):

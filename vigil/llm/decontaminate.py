@@ -9,13 +9,14 @@ by one and the same value throughout. A re-parameterised question passes that, a
 template match doesn't. A document is contaminated by an item if consistent windows
 make up half of the item's windows or cover 13 words.
 
-With `every_form` (always in `keep`) the first word of an item is taken in every form it can have in a document
-("Question: What is ..." makes a name of "What", "... . What is" doesn't), and has to be the same word.
+The first word of an item is taken in every form it can have in a document ("Question: What is ..." makes a name
+of "What", "... . What is" doesn't), and has to be the same word. (`every_form=False` leaves that out.)
 
 Defined cases: null and empty texts match nothing; items shorter than a window match as a whole,
-items under five words are not searched; repeated benchmark rows with one id count once; repeated
-documents give equal rows once for each (id, text); null ids are compared like any id; only
-ids and texts are read, by `matches`, and `keep` returns all columns of the documents.
+items under five words as exact word sequences; a single word is no evidence, so items of one word are not
+searched; repeated benchmark rows with one id count once. Windows are counted by id and text, so rows that share
+an id, or have none, are judged each by its own text, and repeated rows give equal results. Only ids and texts
+are read, by `matches`, and `keep` returns all columns of the documents.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from vigil.llm import common
 
-WINDOW, LEAST_WORDS, COVERED = 8, 5, 13
+#: Words of a window, of the shortest items that are searched, of those that may differ in their slots; words that must be covered.
+WINDOW, LEAST_WORDS, LEAST_TEMPLATE, COVERED = 8, 2, 5, 13
 #: Benchmark windows up to this number are broadcast (about 20 MB), others are shuffled.
 BROADCAST_ROWS = 200_000
 # Words that stand for units and for numbers.
@@ -70,7 +72,7 @@ def templates(df: DataFrame, id_col: str, text_col: str, name: str, forms: bool
 
     def capital(word):
         # all capitals are no name
-        first, rest = F.substring(word, 1, 1), F.substring(word, 2, 1_000_000)
+        first, rest = F.left(word, F.lit(1)), F.substring(word, F.lit(2), F.char_length(word))
         return (first != F.lower(first)) & (rest == F.lower(rest))
 
     def placed(raw, i):
@@ -122,8 +124,9 @@ def windows(rows: DataFrame, name: str, length: int) -> DataFrame:
     rows = with_grams(rows.where(F.size("word") >= length), length)
     rows = rows.select(name, F.explode(F.transform("grams", window)).alias("w")).select(name, "w.*")
     free = F.size(F.filter("slots", lambda x: x != ""))
+    exact = (free * 2 > length) | F.lit(length < LEAST_TEMPLATE)
     return rows.select(
-        name, "h", "at", F.when(free > 0, F.col("slots")).alias("slots"), F.when(free * 2 > length, F.col("strict")).alias("strict")
+        name, "h", "at", F.when(free > 0, F.col("slots")).alias("slots"), F.when(exact, F.col("strict")).alias("strict")
     )
 
 
@@ -140,7 +143,7 @@ def _item_windows(items: DataFrame, length: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, grams: dict[int, DataFrame], id_col: str, text_col: str) -> DataFrame:
-    """doc_id of the documents that share a template window with the benchmark, in one pass over all windows."""
+    """`name` of the documents that share a template window with the benchmark, in one pass over all windows."""
     words = templates(docs, id_col, text_col, "doc_id").select("doc_id", "word")
     found = None
     for n, gram in grams.items():
@@ -154,11 +157,16 @@ def _small(grams: DataFrame) -> bool:
     return grams.count() <= BROADCAST_ROWS
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", every_form: bool = False) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", every_form: bool = True) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched, n_replaced (slots with another value), contaminated.
 
-    `every_form` takes the first word of an item in every form that it can have in a document.
+    One row for each id, text and item.
     """
+    return _matches(docs, benchmark, id_col, text_col, item_col, item_text, every_form).drop("text_key")
+
+
+def _matches(docs, benchmark, id_col, text_col, item_col, item_text, every_form) -> DataFrame:
+    """As `matches`, with `text_key`."""
     items = templates(benchmark, item_col, item_text, "item_id", forms=True).dropDuplicates(["item_id"])
     items = common.materialize(items.where(F.size("word") >= LEAST_WORDS), "items")
     length = F.least(F.size("word"), F.lit(WINDOW))
@@ -174,9 +182,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         # with all forms it is long to work out, read three times, and small
         grams[n] = common.materialize(gram, "grams") if every_form else gram
     # only documents with a hit are looked at closely
-    hits = common.materialize(_candidates(docs, grams, id_col, text_col), "hits")
-    near = common.id_text(docs, id_col, text_col).join(hits.withColumnRenamed("doc_id", "__hit"), F.expr("doc_id <=> __hit"), "left_semi")
-    texts = common.materialize(templates(near, "doc_id", "text", "doc_id"), "hits")
+    keyed = common.id_text(docs, id_col, text_col).withColumn("text_key", common.text_key())
+    hits = common.materialize(_candidates(keyed, grams, "text_key", "text"), "hits")
+    near = keyed.join(hits.withColumnRenamed("doc_id", "__hit"), F.expr("text_key = __hit"), "left_semi")
+    # from here on a row is known by its id and text together; equal rows are one
+    near = common.materialize(near.dropDuplicates(["doc_id", "text_key"]).withColumn("row", F.xxhash64("doc_id", "text_key")), "hits")
+    texts = common.materialize(templates(near, "row", "text", "doc_id"), "hits")
     pairs = None
     for n, gram in grams.items():
         found = windows(texts, "doc_id", n).join(F.broadcast(gram) if _small(gram) else gram, "h").withColumn("words", F.lit(n))
@@ -207,15 +218,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_matched"),
         F.max("words").alias("words"), F.min(F.coalesce("replaced", F.lit(0))).alias("n_replaced"),
     )
+    found = found.withColumnRenamed("doc_id", "row").join(near.select("doc_id", "text_key", "row"), "row")
     out = found.join(total, F.expr("item_id <=> __item"))
     covered = F.col("n_matched") + F.col("words") - 1
     return out.select(
         "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"),
-        "n_replaced", ((2 * F.col("n_matched") >= F.col("n_windows")) | (covered >= COVERED)).alias("contaminated"),
+        "n_replaced", ((2 * F.col("n_matched") >= F.col("n_windows")) | (covered >= COVERED)).alias("contaminated"), "text_key",
     )
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that no item contaminates; rows with a contaminated id and a null id are told apart."""
-    bad = matches(docs, benchmark, id_col, text_col, every_form=True).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of `docs` that no item contaminates; rows that share an id, or have none, are judged each by its text."""
+    bad = _matches(docs, benchmark, id_col, text_col, "item_id", "text", True).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias("__bad"), F.col("text_key").alias("__bad_text")).distinct()
+    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bad")) & (own == F.col("__bad_text"))
+    return docs.join(bad, same, "left_anti")

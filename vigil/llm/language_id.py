@@ -10,7 +10,8 @@ The model is fitted on a sample of labelled rows bounded by `max_train_rows` in
 equally by the languages), chosen by a hash of the id: a documented bound of the classifier.
 Everything else reads all rows and whole texts.
 
-Defined cases: a null text and a text without a letter are `und` with score 0 and rejected; rows
+Defined cases: a null text and a text without a letter (of any script; number characters such as `²` or `½` are
+none) are `und` with score 0 and rejected; rows
 with a null language or id don't train; a null id is not held out; ties go to the language that
 sorts first; without any labelled row all is `und`. Only id, text and language are read, the
 last in training only.
@@ -18,10 +19,9 @@ last in training only.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +36,7 @@ SLICE = 1_000_000
 ROWS = 128
 #: A text is rejected below this share of the least cosine seen in training in its length class.
 MARGIN = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 # lower-case ASCII letters and bytes beyond ASCII stay; all else is a space
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -119,8 +119,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     usable = ids.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     langs = max(1, usable.select("lang").distinct().count())
     each = max(1, max_train_rows // langs)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.withColumn("r", rank).where(F.col("r") <= each).select("doc_id").distinct()
+    # rows come in the order of their hashes; a share of the hashes that holds each language's first ones
+    # with great certainty is ranked, so that the window over a frequent language stays small
+    usable = usable.withColumn("h", F.xxhash64("doc_id"))
+    share = F.least(F.lit(1.0), (each + 10 * F.sqrt(F.lit(float(each))) + 50) / F.count("*"))
+    limit = usable.groupBy(F.col("lang").alias("of")).agg(share.alias("share"))
+    near = usable.join(limit, F.col("lang") == F.col("of")).where(
+        (F.col("share") == 1) | (F.col("h").cast("double") < F.col("share") * 2.0**64 - 2.0**63)
+    )
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = near.withColumn("r", rank).where(F.col("r") <= each).select("doc_id").distinct()
 
     def count(batches):
         for batch in batches:
@@ -138,7 +146,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # at most max_train_rows ids
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "lang").mapInArrow(count, "lang string, at binary, count binary")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "lang").mapInArrow(common.returning(count), "lang string, at binary, count binary")
     rows = sample.toArrow()
     if not rows.num_rows:
         return {"langs": [], "idf": None, "centres": None, "owner": None, "least": None}
@@ -204,8 +212,8 @@ def labelled(batches, model: dict):
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row."""
-    return common.id_text(docs, id_col, text_col).mapInArrow(
-        lambda batches: labelled(batches, model), "doc_id long, lang_pred string, score double, rejected boolean"
+    return common.bounded(common.id_text(docs, id_col, text_col)).mapInArrow(
+        common.returning(lambda batches: labelled(batches, model)), "doc_id long, lang_pred string, score double, rejected boolean"
     )
 
 
@@ -219,7 +227,7 @@ def keep(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             mask = pa.array(~_rejects(small, model))
             yield batch.filter(mask)
 
-    return docs.mapInArrow(filtered, docs.schema)
+    return common.bounded(docs).mapInArrow(common.returning(filtered), docs.schema)
 
 
 def _rejects(batch: pa.RecordBatch, model: dict) -> np.ndarray:

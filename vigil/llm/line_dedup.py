@@ -9,8 +9,9 @@ for fingerprints that occur twice; from there each match is extended to both sid
 windows that hold the fingerprint, by comparing their 128-bit keys with the first place of the
 key. Overlapping repeated windows make up the maximal run.
 
-With `alone`, a line of that many bytes or more is a run of length one: it is deleted wherever it stood before,
-whatever its neighbours; only shorter lines need a neighbour.
+Content decides, not the number of lines alone: a line of `alone` bytes or more says enough to be a run of length
+one and is deleted wherever it stood before, whatever its neighbours; only shorter lines need a neighbour.
+(`alone=None` asks for runs only.)
 
 Groups are never gathered: fingerprints and windows are reduced to counts and first places by
 partial aggregates, and joined back many to one, where adaptive execution splits a hot key.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from vigil.llm import common
 
 MIN_RUN = 2
-#: Bytes from which a line says enough to be a run of its own, where `alone` is asked for.
+#: Bytes from which a line says enough to be a run of its own.
 ALONE_BYTES = 100
 LAST = 2**63 - 1
 _PLACE = ("__id", "__key", "__at")
@@ -106,7 +107,7 @@ def repeated_alone(docs: DataFrame, alone: int, id_col: str = "doc_id", text_col
 
 
 def dedup(
-    docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None
+    docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text", alone: int | None = ALONE_BYTES
 ) -> DataFrame:
     """`docs` with the kept lines as text, and `__lines` and `__removed`: lines before, lines deleted."""
     found, width = repeated_windows(docs, min_run, id_col, text_col), min_run
@@ -136,7 +137,7 @@ def dedup(
     }).select(*[f"`{c}`" for c in docs.columns], "__lines", "__removed")
 
 
-def digests(docs: DataFrame, min_run: int = MIN_RUN, alone: int | None = None) -> DataFrame:
+def digests(docs: DataFrame, min_run: int = MIN_RUN, alone: int | None = ALONE_BYTES) -> DataFrame:
     narrow = common.id_text(docs)
     return dedup(narrow, min_run, alone=alone).select(
         "doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"),

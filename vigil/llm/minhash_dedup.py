@@ -15,8 +15,8 @@ compared by signature in blocks of a bounded size, and pairs that come near are
 Components come from star contractions over the confirmed links.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and are linked with
-nothing; fewer than five words make one shingle of the whole sequence; rows with equal ids count as
-one document, with the first of their sets; null ids are kept, alone. Only id and text are read.
+nothing; fewer than five words make one shingle of the whole sequence; rows with equal ids are judged each by
+their own text; null ids are kept, alone; an empty table gives an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ CHUNKS, CHUNK = 14, 5
 VALUES = CHUNKS * CHUNK
 #: Pairs whose signatures differ in more values are not confirmed: 6.2 standard deviations at similarity 0.75.
 FARTHEST = 40
-#: Members of a block in buckets that need all their components compared.
-BLOCK = 2048
+#: Members of a block in buckets that need all their components compared, and about the bytes of their sets.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 SLICE = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * flat.U(2) + flat.U(1)
@@ -93,7 +93,7 @@ def _summed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, d1, d2, sig: the set's size, its 128-bit digest and its signature."""
+    """doc_id, key, n, d1, d2, sig: the set's size, its 128-bit digest and its signature; docs: doc_id, text, key."""
 
     def run(batches):
         for batch in batches:
@@ -103,13 +103,13 @@ def _described(docs: DataFrame) -> DataFrame:
                 sig = signatures(sets, first)
                 yield pa.record_batch(
                     [
-                        batch.column(0)[a:b], pa.array(np.diff(first)), pa.array(_summed(flat.mix(sets), first)),
+                        batch.column(0)[a:b], batch.column(2)[a:b], pa.array(np.diff(first)), pa.array(_summed(flat.mix(sets), first)),
                         pa.array(_summed(flat.mix(sets ^ flat.BASE), first)), pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
-                    ["doc_id", "n", "d1", "d2", "sig"],
+                    ["doc_id", "key", "n", "d1", "d2", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig binary")
+    return docs.mapInArrow(common.returning(run), "doc_id long, key long, n long, d1 long, d2 long, sig binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 rows = [sets[first[i] : first[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.record_batch([batch.column(0)[a:b], pa.array(rows, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(common.returning(run), "doc_id long, shingles binary")
 
 
 def _signature_rows(column) -> np.ndarray:
@@ -143,7 +143,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             out = pa.record_batch([batch.column(0), batch.column(1), pa.array(far, pa.int32())], ["a", "b", "far"])
             yield out.filter(pa.array(far <= FARTHEST))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, far int")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(common.returning(run), "a long, b long, far int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 good[i] = 100 * common_ >= share * (len(x) + len(y) - common_)
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(common.returning(run), "a long, b long")
 
 
 def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -193,12 +193,14 @@ def _in_blocks(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: D
         F.col("node").alias("rep"), F.col("component").alias("family")
     )
     rows = common.materialize(shared.select("rep", "component").distinct().join(family, "rep"), "open")
-    parts = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
+    # blocks of a bounded number of members and of a bounded size of their sets
+    load = F.sum(F.greatest(F.lit(1 / BLOCK), F.col("size") * 8 / BLOCK_BYTES))
+    parts = rows.join(classes.select("rep", F.col("n").alias("size")), "rep").groupBy("family", "component").agg(load.alias("n"))
     sizes = parts.groupBy("family").agg(
         F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("many"), F.sum("n").alias("all")
     ).select(
-        "family", "largest", F.greatest(F.ceil((F.col("all") - F.col("many")) / BLOCK), F.lit(1)).cast("int").alias("few_blocks"),
-        F.ceil(F.col("many") / BLOCK).cast("int").alias("many_blocks"),
+        "family", "largest", F.greatest(F.ceil(F.col("all") - F.col("many") - 1e-9), F.lit(1)).cast("int").alias("few_blocks"),
+        F.greatest(F.ceil(F.col("many") - 1e-9), F.lit(1)).cast("int").alias("many_blocks"),
     )
     rows = rows.join(sizes, "family").withColumn("few", F.col("component") != F.col("largest"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("few"), F.col("few_blocks")).otherwise(F.col("many_blocks"))).cast("int")
@@ -263,17 +265,26 @@ def _in_blocks(members: DataFrame, comps: DataFrame, classes: DataFrame, sets: D
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(common.returning(run), "a long, b long").distinct()
 
 
 def classes_and_links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, d1, d2) of the documents, (rep, n, d1, d2) of the classes of equal sets, component of each rep."""
+    """Documents (doc_id, key, n, d1, d2), classes of equal sets (rep, doc_id, n, d1, d2), and the component of each rep.
+
+    rep: a class's number, its least doc_id, or a hash where another class has that; docs: doc_id, text, key.
+    """
     rows = common.materialize(_described(docs), "minhash")
     # partial aggregates first: a class of equal sets is one row before it is shuffled
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")
+        F.min(F.struct("doc_id", "key")).alias("source"), F.any_value("sig").alias("sig")
     )
-    classes = common.materialize(classes.groupBy("rep").agg(*[F.min_by(c, F.struct("n", "d1", "d2")).alias(c) for c in ("n", "d1", "d2", "sig")]), "minhash")
+    classes = common.materialize(classes.select("source.*", "n", "d1", "d2", "sig"), "minhash")
+    # rows that share an id may have several sets
+    owner = classes.groupBy(F.col("doc_id").alias("of")).agg(F.min(F.struct("n", "d1", "d2")).alias("owner"))
+    own = F.struct("n", "d1", "d2") == F.col("owner")
+    rep = F.when(own, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "n", "d1", "d2"))
+    classes = classes.join(owner, F.col("doc_id") == F.col("of")).select(rep.alias("rep"), "doc_id", "key", "n", "d1", "d2", "sig")
+    classes = common.materialize(classes, "minhash")
 
     def keyed(batches):
         for batch in batches:
@@ -283,7 +294,7 @@ def classes_and_links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, D
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.ravel()))], ["rep", "keys"]
             )
 
-    keys = classes.select("rep", "sig").mapInArrow(keyed, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    keys = classes.select("rep", "sig").mapInArrow(common.returning(keyed), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "lo")
     # written, so that the join below deals out both sides anew and a hot bucket can be split
     buckets = common.materialize(buckets, "buckets")
@@ -292,9 +303,11 @@ def classes_and_links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, D
     near = common.materialize(_near(stars, classes), "near")
     # all classes that share a bucket with two or more others may still be compared below
     wide = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 2").select("key")
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    ends = ends.unionByName(members.join(wide, "key", "left_semi").select(F.col("rep").alias("doc_id"))).distinct()
-    sets = common.materialize(_sets(docs.join(ends, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    ends = near.select(F.explode(F.array("a", "b")).alias("rep"))
+    ends = ends.unionByName(members.join(wide, "key", "left_semi").select("rep")).distinct()
+    read = classes.join(ends, "rep").select("rep", "doc_id", "key")
+    texts = docs.join(read, ["doc_id", "key"]).select(F.col("rep").alias("doc_id"), "text")
+    sets = common.materialize(_sets(texts).dropDuplicates(["doc_id"]), "sets")
     # first the nearest pair of every class, which connects most, then what is still open
     first = near.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b")
     links = common.materialize(_confirmed(first, sets, share), "links")
@@ -306,15 +319,19 @@ def classes_and_links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, D
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    narrow = common.id_text(docs, id_col, text_col)
+    """doc_id, n_shingles, component_id, kept for every row, and `text_key`, which tells rows of one id apart."""
+    narrow = common.bounded(common.id_text(docs, id_col, text_col)).withColumn("key", common.text_key())
     rows, classes, comps = classes_and_links(narrow, share)
     of_class = classes.join(comps, classes["rep"] == comps["node"], "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component_id")
+        "n", "d1", "d2", "doc_id", F.coalesce("component", "rep").alias("root")
     )
-    out = rows.select("doc_id", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
+    # written, so that the join deals out both sides anew and a large component can be split
+    of_class = common.materialize(of_class, "classes")
+    least = common.materialize(of_class.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
+    of_class = of_class.join(least, "root").select("n", "d1", "d2", "component_id")
+    out = rows.select("doc_id", "key", "n", "d1", "d2").join(of_class, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.col("key").alias("text_key"),
     )

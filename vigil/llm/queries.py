@@ -15,14 +15,14 @@ from vigil.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Where the public tokenizers' files lie: the name of the module that gives their paths, and the model.
-TOKENIZERS, PIECE_MODEL = "public_tokenizers", "piece_bpe_32k.model"
+#: The model among the public tokenizers' files.
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def model_path(name: str = PIECE_MODEL) -> str:
-    import importlib
+    import public_tokenizers
 
-    return importlib.import_module(TOKENIZERS).path(name)
+    return public_tokenizers.path(name)
 
 
 def op1_sentencepiece(spark, d):
@@ -41,13 +41,8 @@ def op4_line_dedup(spark, d):
     return line_dedup.digests(table(spark, d, "documents"))
 
 
-def op4_line_dedup_alone(spark, d):
-    """As `op4_line_dedup`, and long lines also where their neighbours differ."""
-    return line_dedup.digests(table(spark, d, "documents"), alone=line_dedup.ALONE_BYTES)
-
-
 def op5_minhash_dedup(spark, d):
-    return minhash_dedup.near_duplicates(table(spark, d, "documents"), share=75)
+    return minhash_dedup.near_duplicates(table(spark, d, "documents"), share=75).drop("text_key")
 
 
 def op6_language_id(spark, d):
@@ -91,7 +86,7 @@ def op13_centroid_clustering(spark, d):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup, op4_line_dedup_alone,
+        op1_sentencepiece, op2_secret_scan, op3_decontaminate, op4_line_dedup,
         op5_minhash_dedup, op6_language_id, op7_exact_topk, op8_resharding, op9_substring_dedup,
         op10_suffix_dedup, op11_simhash_dedup, op12_merkle_manifest, op13_centroid_clustering,
     )
@@ -150,13 +145,26 @@ ORACLES: dict[str, str] = {
                 ELSE raw END AS word
             FROM p
         ),
-        arr AS (SELECT side, id, list(word ORDER BY i) AS word, list(raw ORDER BY i) AS raw FROM k GROUP BY side, id),
+        whole AS (SELECT side, id, list(word ORDER BY i) AS word, list(raw ORDER BY i) AS raw, any_value(first) FILTER (i = 1) AS first FROM (
+            SELECT k.*, r.word AS first FROM k JOIN r USING (side, id, i)
+        ) GROUP BY side, id),
+        -- the first word of an item in the other forms that it has behind other words
+        arr AS (
+            SELECT side, id, word, raw, NULL AS must FROM whole
+            UNION ALL
+            SELECT side, id, list_prepend(form, word[2 :]), raw, raw[1] FROM (
+                SELECT *, unnest([
+                    CASE WHEN substr(first, 1, 1) <> lower(substr(first, 1, 1)) AND substr(first, 2) = lower(substr(first, 2)) THEN '{decontaminate.NAME}' END,
+                    CASE WHEN raw[1] IN ({_in(decontaminate.UNITS)}) THEN '{decontaminate.UNIT}' END
+                ]) AS form FROM whole WHERE side = 'b' AND NOT {_number('raw[1]')}
+            ) WHERE form IS NOT NULL
+        ),
         lengths AS (
             SELECT DISTINCT least(len(word), {decontaminate.WINDOW}) AS n FROM arr
             WHERE side = 'b' AND len(word) >= {decontaminate.LEAST_WORDS}
         ),
         g AS (
-            SELECT side, id, n, unnest(list_transform(range(1, len(word) - n + 2), lambda j: {{
+            SELECT side, id, n, must, unnest(list_transform(range(1, CASE WHEN must IS NULL THEN len(word) - n + 2 ELSE 2 END), lambda j: {{
                 'at': j, 'h': array_to_string(word[j : j + n - 1], ' '), 'words': word[j : j + n - 1], 'raw': raw[j : j + n - 1]
             }})) AS x
             FROM arr JOIN lengths ON len(word) >= n
@@ -167,8 +175,9 @@ ORACLES: dict[str, str] = {
                    list_filter(range(1, d.n + 1), lambda i: starts_with(d.x.words[i], '{decontaminate.NAME[0]}')) AS free,
                    d.x.raw AS now, b.x.raw AS was
             FROM g d JOIN g b ON d.side = 'd' AND b.side = 'b' AND d.n = b.n AND d.x.h = b.x.h
+            WHERE b.must IS NULL OR d.x.raw[1] = b.must
         ),
-        good AS (SELECT * FROM pairs WHERE 2 * len(free) <= n OR now = was),
+        good AS (SELECT * FROM pairs WHERE (2 * len(free) <= n AND n >= {decontaminate.LEAST_TEMPLATE}) OR now = was),
         slot AS (SELECT doc_id, item_id, shift, was[i] AS was, now[i] AS now FROM (SELECT *, unnest(free) AS i FROM good)),
         judged AS (
             SELECT doc_id, item_id, shift, bool_or(lo <> hi) AS broken, count(*) FILTER (lo <> was) AS replaced
@@ -183,29 +192,9 @@ ORACLES: dict[str, str] = {
                n_matched::BIGINT AS n_matched, n_replaced::BIGINT AS n_replaced,
                2 * n_matched >= (len(a.word) - least(len(a.word), {decontaminate.WINDOW}) + 1)
                    OR n_matched + words - 1 >= {decontaminate.COVERED} AS contaminated
-        FROM found JOIN arr a ON a.side = 'b' AND a.id = item_id
-    """,
-    "op4_line_dedup": """
-        WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-        line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
-        pair AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM line),
-        again AS (
-            SELECT doc_id, i FROM (
-                SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS r
-                FROM pair WHERE next IS NOT NULL
-            ) WHERE r > 1
-        ),
-        gone AS (SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again),
-        kept AS (
-            SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
-            FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
-        )
-        SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines,
-               (coalesce(len(d.lines), 0) - coalesce(k.n, 0))::BIGINT AS n_removed,
-               sha256(coalesce(k.text, '')) AS kept_sha256
-        FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+        FROM found JOIN whole a ON a.side = 'b' AND a.id = item_id
     """,
-    "op4_line_dedup_alone": f"""
+    "op4_line_dedup": f"""
         WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
         pair AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM line),

@@ -29,8 +29,8 @@ from vigil.llm import common
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-#: Characters encoded at once, and words remembered between batches (memory bounds only).
-CHUNK, REMEMBER = 1_000_000, 400_000
+#: Characters encoded at once, and characters of words remembered between batches (memory bounds only).
+CHUNK, REMEMBER = 1_000_000, 1_500_000
 
 
 class _Table:
@@ -112,7 +112,12 @@ class Codec:
         self.surface, self.surface_at = _blob(surface)
         self.digits, self.digits_at = _blob([b"%d," % i for i in range(size)])
         self.word = re.compile(f"{self._space_block(pieces)}{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words remembered."""
         self.known: dict[str, int] = {}
+        self.held = 0
         self.store, self.store_at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _space_block(self, pieces: list[str]) -> str:
@@ -231,6 +236,7 @@ class Codec:
         base = len(self.store_at) - 1
         ids, at = self.encode_words(words)
         self.known.update((w, base + k) for k, w in enumerate(words))
+        self.held += sum(map(len, words))
         self.store = np.concatenate([self.store, ids])
         self.store_at = np.concatenate([self.store_at, at[1:] + self.store_at[-1]])
 
@@ -240,8 +246,8 @@ class Codec:
         words = list(itertools.chain.from_iterable(by_text))
         distinct = set(words)
         fresh = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBER:
-            self.known, self.store, self.store_at = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+        if self.held + sum(map(len, fresh)) > REMEMBER:
+            self.forget()
             fresh = list(distinct)
         if fresh:
             self._learn(fresh)
@@ -324,6 +330,11 @@ def codec(model_file: str) -> Codec:
     return _CODECS[model_file]
 
 
+def _lean(run):
+    """`run` with record batches' memory and remembered words given back at the end of a partition."""
+    return common.returning(run, lambda: [c.forget() for c in _CODECS.values()])
+
+
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: the ids of each whole text, without begin or end ids."""
 
@@ -338,7 +349,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
             ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
             yield pa.record_batch([batch.column(0), ids], ["doc_id", "ids"])
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return common.bounded(common.id_text(docs, id_col, text_col)).mapInArrow(_lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -350,7 +361,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
             rows = [tool.decode(np.asarray(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(rows, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return common.bounded(encoded.select("doc_id", "ids")).mapInArrow(_lean(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,8 +382,8 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return common.bounded(common.id_text(docs, id_col, text_col)).mapInArrow(
+        _lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 
@@ -400,4 +411,4 @@ def tokenised(docs: DataFrame, model_file: str, text_col: str = "text") -> DataF
             same = [b"".join(b) == (t.as_py() or "").encode("utf-8", "surrogatepass") for b, t in zip(back, texts)]
             yield pa.record_batch([*batch.columns, ids, pa.array(counts), pa.array(same)], [*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, ", ".join([schema, *[f"{n} {t}" for n, t in added.items()]]))
+    return common.bounded(docs).mapInArrow(_lean(run), ", ".join([schema, *[f"{n} {t}" for n, t in added.items()]]))
