@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. `run` writes what a
 stage returns to the shared folder as Parquet and reads it back for the next one. All stages but the
 last return the columns of `documents`; the last adds token ids.
+
+Defined cases, over all stages: a null text, and one without a letter, goes in the first stage. Rows are known by
+their id and their text together: of rows with equal ids and other texts each is judged by its own text, rows
+without an id stay unless a stage rejects their text, and a row that is repeated whole is kept or dropped with
+all its copies. `n_chars` follows a text that the line stage cuts, where the table has that column. An empty table
+gives an empty result with the same columns. Further columns, whatever their names, are passed on (the last
+stage replaces columns named like those it adds).
 """
 
 from __future__ import annotations
@@ -22,17 +29,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of runs of lines go out of the texts; a document of which nothing is left goes."""
-    kept = line_dedup.dedup(docs)
     changed = F.col("__removed") > 0
-    return kept.where(~(changed & (F.col("text") == ""))).withColumn(
-        "n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    ).select(docs.columns)
+    kept = line_dedup.dedup(docs).where(~(changed & (F.col("text") == "")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = minhash_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = minhash_dedup.near_duplicates(docs).where("NOT kept")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (own == F.col("__gone_text")), "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
