@@ -33,6 +33,21 @@ def test_against_brute_force(spark, monkeypatch, tile):
     assert got == brute(rows, 5)
 
 
+@pytest.mark.parametrize("size", [25_000.0, 2.0**22])
+def test_large_components(spark, size):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-8, 8)) / 8 * size for _ in range(64)]) for i in range(120)] + [(200, [size] * 64), (220, [size] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in et.top_k(df, F.col("vec_id") % 20 == 0, 7).collect()) == brute(rows, 7)
+
+
+def test_a_vector_repeated_often_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(et, "ROWS", 10)
+    rows = [(1, [1.0, 2.0])] * 100 + [(20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(tuple(r) for r in et.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()) == brute(rows, 5)
+
+
 def test_few_rows_and_repeats(spark):
     rows = [(0, [1.0]), (0, [1.0]), (1, [0.5]), (1, [0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

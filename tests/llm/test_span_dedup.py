@@ -69,9 +69,10 @@ def test_words(spark, mixed):
         assert got == brute_words(mixed, width)
 
 
-@pytest.mark.parametrize("bucket", [1, 1024])
-def test_bytes(spark, mixed, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, group", [(1, 1), (1, 3), (1, 1024), (1024, 1024)])
+def test_bytes(spark, mixed, monkeypatch, bucket, group):
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     df = spark.createDataFrame(mixed, "doc_id long, text string")
     for width, k in ((60, 8), (200, 16)):
         got = sorted((tuple(r) for r in suffix_dedup.digests(df, width, k).collect()), key=str)

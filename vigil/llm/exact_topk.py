@@ -9,7 +9,8 @@ keeps the k best of the block, and a ranked window merges the blocks.
 Defined cases: a vector that is null or holds a null, NaN or infinite component takes no part; an
 empty vector scores 0 with all; a missing component counts as 0; ties go to the smaller id; rows
 that share the query's id are no candidates of it, other repeated rows are each a candidate; a
-repeated query id asks once, with its smallest vector. Null ids take no part.
+repeated query id asks once, with its smallest vector. Null ids take no part. Only id and vector are read. Scores
+are exact for components of any size that a bigint holds; one beyond 64 bits among the best is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigil.llm import common
+
 #: Rows and queries of a block; rows and queries of the tile whose scores are held at once.
 ROWS, QUERIES, TILE_ROWS, TILE_QUERIES = 16_384, 4_096, 2_048, 256
 LEAST = np.iinfo(np.int64).min + 1
@@ -38,9 +41,10 @@ def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_c
 
 
 def _dense(vectors: pd.Series, width: int) -> np.ndarray:
+    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    flat = np.concatenate([*vectors, np.empty(0, np.int64)]).astype(np.int64)
     out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
@@ -49,14 +53,16 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
     order = np.argsort(row_ids, kind="stable")
     rows, row_ids = rows[order], row_ids[order]
     n, width = rows.shape
-    bound = int(np.abs(rows).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(width, 1)
-    if bound * 2 * max(n, 1) >= 2**62:
-        raise OverflowError("scores of these vectors don't fit in 64 bits")
-    kind = np.int32 if bound < 2**31 else np.int64
+    largest = [max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) for x in (rows, queries)]
+    bound = largest[0] * largest[1] * max(width, 1)
+    # a score and a place share one number while they fit; beyond that numbers are unbounded
+    kind = np.int32 if bound < 2**31 else np.int64 if bound * 2 * max(n, 1) < 2**62 else object
+    wide = kind is object
+    least = -(bound + 1) * max(n, 1) - 1 if wide else LEAST
     found = []
     for q0 in range(0, len(queries), TILE_QUERIES):
         ask, ids = queries[q0 : q0 + TILE_QUERIES].astype(kind), query_ids[q0 : q0 + TILE_QUERIES]
-        best = np.full((len(ask), 0), LEAST)
+        best = np.full((len(ask), 0), least, object if wide else np.int64)
         for r0 in range(0, n, TILE_ROWS):
             tile = rows[r0 : r0 + TILE_ROWS].astype(kind)
             score, part = np.zeros((len(tile), len(ask)), kind), np.empty((len(tile), len(ask)), kind)
@@ -71,17 +77,22 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
                 else:
                     score[postings] += scatter
             # one key for score and id: the earlier of two equal scores has the smaller id
-            key = score.T.astype(np.int64) * n + (n - 1 - (r0 + np.arange(len(tile))))
+            place = n - 1 - (r0 + np.arange(len(tile)))
+            key = score.T * n + place.astype(object) if wide else score.T.astype(np.int64) * n + place
             own_at, own_end = (np.searchsorted(row_ids, ids, side=s) for s in ("left", "right"))
             for i in np.flatnonzero(own_at < own_end):
                 a, b = max(own_at[i] - r0, 0), min(own_end[i] - r0, len(tile))
                 if a < b:
-                    key[i, a:b] = LEAST
+                    key[i, a:b] = least
             key = np.concatenate([best, key], axis=1)
-            best = -np.partition(-key, k - 1, axis=1)[:, :k] if key.shape[1] > k else key
-        q, c = np.nonzero(best > LEAST)
+            if wide:
+                key = -np.sort(-key, axis=1)
+            best = key[:, :k] if wide or key.shape[1] <= k else -np.partition(-key, k - 1, axis=1)[:, :k]
+        q, c = np.nonzero(best > least)
         score = best[q, c] // n
-        found.append((q + q0, order[n - 1 - (best[q, c] - score * n)], score))
+        if wide and any(not -(2**63) <= x < 2**63 for x in score):
+            raise OverflowError("a score among the best does not fit in 64 bits")
+        found.append((q + q0, order[(n - 1 - (best[q, c] - score * n)).astype(np.int64)], score.astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
 
 
@@ -90,14 +101,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     rows = quantised(vectors, scale, id_col, vec_col)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_rows, n_queries = rows.count(), rows.where(is_query).count()
+    # written with a number for each row, so that many rows of one id and vector are dealt out too
+    salted = common.materialize(rows.withColumn("salt", F.monotonically_increasing_id()), "vectors")
     row_blocks, query_blocks = max(1, math.ceil(n_rows / ROWS)), max(1, math.ceil(n_queries / QUERIES))
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+        # of columns only, so a task that runs again deals its rows like the first time
+        block = F.pmod(F.xxhash64(*[c for c in df.columns if c != "v"]), F.lit(blocks)).cast("int")
         return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     left = dealt(asked, "qb", query_blocks, "rb", row_blocks)
-    right = dealt(rows, "rb", row_blocks, "qb", query_blocks)
+    right = dealt(salted, "rb", row_blocks, "qb", query_blocks)
 
     def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         width = max([0, *map(len, queries["v"]), *map(len, block["v"])])

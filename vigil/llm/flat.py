@@ -57,6 +57,14 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     return mix(out)
 
 
+def span_hash_any(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """`span_hash` for spans in any order."""
+    order = np.argsort(starts, kind="stable")
+    out = np.empty(len(starts), np.uint64)
+    out[order] = span_hash(values, starts[order], ends[order], table)
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end byte of each word of all rows, and where each row's words begin."""
     if not len(data):

@@ -100,7 +100,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     graph = common.materialize(found.join(repeated, "node"), "graph")
     plain = graph.where("NOT branches")
     edges = graph.where("branches").drop("lo")
-    first = edges.groupBy("node", "context").agg(F.min("doc_id").alias("lo"))
+    # written: were it aggregated in the join, both would share one exchange, and a hot context could not be split
+    first = common.materialize(edges.groupBy("node", "context").agg(F.min("doc_id").alias("lo")), "edges")
     edges = common.materialize(edges.join(first, ["node", "context"]), "edges")
     whole = plain.select("doc_id", "key", "lo", "a", "b").unionByName(edges.select("doc_id", "key", "lo", "a", "b")).where("doc_id > lo")
     spans = whole.select("doc_id", "key", F.col("a").alias("s"), (F.col("b") + window).alias("e"))

@@ -10,11 +10,9 @@ to the next position of a difference cover (mod 13, four positions), and long ti
 the precomputed ranks of the cover samples and the last bytes behind the sample, so no suffix
 is ever compared byte by byte over its length and memory is bounded by one batch of buckets.
 
-A bucket with more than BUCKET contexts isn't gathered. Its suffixes are judged by ranges of offsets:
-a range whose bytes common to all its suffixes occur in no other context holds no repeated suffix, one
-whose bytes altogether occur elsewhere holds repeated ones only, and any other range is cut in
-halves, down to single suffixes. That takes a few rows a context, counted over the cluster by
-hash, and gives the same result.
+A bucket with more than BUCKET contexts is dealt out further before it is sorted: by the distance of its suffixes to
+the bucket's string, in ranges, since equal suffixes have one distance, and by the bytes that all suffixes of a
+range cover. Groups that are still larger share nearly all of their bytes and are counted suffix by suffix.
 
 Defined cases: a byte is removed if a 200-byte string over it starts anywhere else, in this document,
 another one or a repeated row; so all copies go. Null and short texts lose nothing; rows with a null
@@ -37,8 +35,8 @@ WINDOW, K = 200, 16
 SLICE = 1 << 20
 #: Contexts of a bucket that one task sorts, and bytes of contexts sorted together.
 BUCKET, BATCH = 16_384, 1 << 20
-#: Suffixes whose keys a task holds at once, and the widest range of offsets in larger buckets (a power of two).
-SUFFIXES, WIDEST = 1 << 19, 32
+#: Suffixes whose keys a task holds at once, the width of a range of distances in larger buckets, and its pieces that one task sorts.
+SUFFIXES, WIDEST, GROUP = 1 << 19, 32, 16_384
 #: A difference cover: every difference mod 13 is one of two of these residues.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 
@@ -195,53 +193,108 @@ def _sorted_buckets(sources: DataFrame, window: int) -> DataFrame:
     return ordered.select(*columns).mapInArrow(run, "doc_id long, key long, s int, e int")
 
 
-def _spread_buckets(sources: DataFrame, window: int) -> DataFrame:
-    """doc_id, key, s, e from buckets of any size, by halving ranges of offsets."""
+def _ranges(sources: DataFrame, window: int) -> DataFrame:
+    """id, node, low, shared, whole: the ranges of distances that a context has suffixes in, with two hashes.
+
+    shared: of the bytes that all suffixes of the range cover; whole: of all bytes that any of them covers, null
+    where the context has not all of the range's distances.
+    """
+
+    def run(batches):
+        for batch in batches:
+            text, at = common.bytes_of(batch.column(3).cast(pa.large_binary()).view(pa.large_utf8()))
+            o, size = batch.column(2).to_numpy().astype(np.int64), np.diff(at)
+            first, last = (o - (size - window)) // WIDEST, o // WIDEST
+            own = np.repeat(np.arange(len(o)), last - first + 1)
+            low = (first[own] + np.arange(len(own)) - np.searchsorted(own, own)) * WIDEST
+            high, begin = low + WIDEST - 1, at[:-1][own]
+            shared = flat.span_hash_any(text, begin + o[own] - low, begin + o[own] - high + window, flat.BYTE).view(np.int64)
+            inside = (high <= o[own]) & (o[own] - low + window <= size[own])
+            whole = np.zeros(len(own), np.int64)
+            whole[inside] = flat.span_hash_any(
+                text, (begin + o[own] - high)[inside], (begin + o[own] - low + window)[inside], flat.BYTE
+            ).view(np.int64)
+            rows = pa.array(own)
+            yield pa.record_batch(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(low.astype(np.int32)), pa.array(shared), pa.array(whole, mask=~inside)],
+                ["id", "node", "low", "shared", "whole"],
+            )
+
+    return sources.select("id", "node", "o", "bytes").mapInArrow(run, "id long, node long, low int, shared long, whole long")
+
+
+def _pieces(rows: DataFrame, window: int) -> DataFrame:
+    """The rows with their context cut down to the suffixes of their range."""
+    begin = F.greatest(F.col("o") - F.col("low") - (WIDEST - 1), F.lit(0))
+    end = F.least(F.col("o") - F.col("low") + window, F.octet_length("bytes"))
+    return rows.select(
+        "doc_id", "key", "node", "low", "shared", (F.col("o") - begin).alias("o"), (F.col("a") + begin).alias("a"), F.lit(0).cast("long").alias("size"),
+        F.substring("bytes", begin + 1, end - begin).alias("bytes"),
+    )
 
-    def hashed(batches):
-        # n: distance range [low, low + width) of a context, hashes of what its suffixes share and of all they cover
+
+def _single(pieces: DataFrame, window: int) -> DataFrame:
+    """node, far, h, doc_id, key, s: every suffix of the pieces, by its distance and hash."""
+
+    def run(batches):
         for batch in batches:
-            shared, whole = [], []
-            for r in batch.select(["bytes", "o", "low", "width"]).to_pylist():
-                text, o, low, high = np.frombuffer(r["bytes"], np.uint8), r["o"], r["low"], r["low"] + r["width"] - 1
-                span = lambda a, b: int(flat.span_hash(text, np.array([a]), np.array([b]), flat.BYTE).view(np.int64)[0])  # noqa: E731, B023
-                shared.append(span(o - low, o - high + window))
-                inside = high <= o and o - low + window <= len(text)
-                whole.append(span(o - high, o - low + window) if inside else None)
-            columns = [batch.column(c) for c in ("id", "node", "low", "width")]
-            yield pa.record_batch([*columns, pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], ["id", "node", "low", "width", "shared", "whole"])
+            text, at = common.bytes_of(batch.column(5).cast(pa.large_binary()).view(pa.large_utf8()))
+            o, a = (batch.column(c).to_numpy().astype(np.int64) for c in (3, 4))
+            count = np.diff(at) - window + 1
+            own = np.repeat(np.arange(len(o)), count)
+            step = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            start = at[:-1][own] + step
+            h = flat.span_hash_any(text, start, start + window, flat.BYTE).view(np.int64)
+            rows = pa.array(own)
+            yield pa.record_batch(
+                [batch.column(c).take(rows) for c in (0, 1, 2)]
+                + [pa.array((o[own] - step).astype(np.int32)), pa.array(h), pa.array((a[own] + step).astype(np.int32))],
+                ["doc_id", "key", "node", "far", "h", "s"],
+            )
+
+    return pieces.select("doc_id", "key", "node", "o", "a", "bytes").mapInArrow(
+        run, "doc_id long, key long, node long, far int, h long, s int"
+    )
+
+
+def _spread_buckets(sources: DataFrame, window: int) -> DataFrame:
+    """doc_id, key, s, e from buckets of any size, dealt out by range of distances and by content.
 
+    Equal suffixes have one distance to their bucket's string, so ranges of distances are independent; and suffixes
+    that are equal share the bytes that all suffixes of the range cover, so a range is dealt on by their hash. What is
+    alone then holds no repeated suffix; where all bytes of a range occur again, all its suffixes are repeated and
+    one copy goes on. The rest is sorted like small buckets; a group of more than GROUP pieces, which share
+    nearly all of their bytes, is counted suffix by suffix.
+    """
     sources = common.materialize(sources.withColumn("id", F.monotonically_increasing_id()), "hot")
-    suffixes_ = F.octet_length("bytes") - window
-    # distances of a context's suffixes run from o - suffixes_ to o
-    open_ = sources.select(
-        "id", F.explode(F.sequence(F.call_function("div", F.col("o") - suffixes_, F.lit(WIDEST)), F.call_function("div", F.col("o"), F.lit(WIDEST)))).alias("g")
-    ).select("id", (F.col("g") * WIDEST).cast("int").alias("low"))
-    out, width = None, WIDEST
-    while width:
-        rows = open_.withColumn("width", F.lit(width)).join(sources, "id").select("id", "node", "low", "width", "o", "bytes")
-        rows = common.materialize(
-            rows.mapInArrow(hashed, "id long, node long, low int, width int, shared long, whole long"), "hot"
-        )
-        again = rows.groupBy("node", "low", "shared").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        full = rows.where("whole IS NOT NULL").groupBy("node", "low", "whole").agg(F.count("*").alias("copies"), F.min("id").alias("witness")).where("copies > 1")
-        kept = rows.join(common.materialize(again, "hot"), ["node", "low", "shared"]).join(common.materialize(full, "hot"), ["node", "low", "whole"], "left")
-        all_ = F.col("copies").isNotNull()
-        # of equal ranges one goes on, so that a context that covers only a part of the range still meets it
-        kept = kept.select("id", "low", all_.alias("all"), (~all_ | (F.col("id") == F.col("witness"))).alias("goes_on"))
-        kept = common.materialize(kept, "hot")
-        done = kept.where("all").select("id", "low", F.lit(width).alias("width"))
-        out = done if out is None else out.unionByName(done)
-        half = width // 2
-        if half:
-            parts = kept.where("goes_on").select("id", F.explode(F.array(F.col("low"), F.col("low") + half)).alias("low"))
-            inside = (F.col("low") <= F.col("o")) & (F.col("low") + half - 1 >= F.col("o") - suffixes_)
-            open_ = common.materialize(parts.join(sources, "id").where(inside).select("id", "low"), "hot")
-        width = half
-    first = F.col("a") + F.col("o")
-    return out.join(sources, "id").select(
-        "doc_id", "key", (first - F.col("low") - F.col("width") + 1).alias("s"), (first - F.col("low") + window).alias("e")
+    rows = common.materialize(_ranges(sources, window), "hot")
+    again = common.materialize(rows.groupBy("node", "low", "shared").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "hot")
+    full = rows.where("whole IS NOT NULL").groupBy("node", "low", "whole").agg(F.count("*").alias("copies"), F.min("id").alias("witness"))
+    full = common.materialize(full.where("copies > 1"), "hot")
+    kept = rows.join(again, ["node", "low", "shared"]).join(full, ["node", "low", "whole"], "left")
+    all_ = F.col("copies").isNotNull()
+    kept = kept.select("id", "node", "low", "shared", all_.alias("all"), (~all_ | (F.col("id") == F.col("witness"))).alias("goes_on"))
+    kept = common.materialize(kept, "hot")
+    for spent in (rows, again, full):
+        common.discard(spent)
+    first = F.col("a") + F.col("o") - F.col("low")
+    done = kept.where("all").select("id", "low").join(sources, "id").select(
+        "doc_id", "key", (first - (WIDEST - 1)).alias("s"), (first + window).alias("e")
     )
+    rest = kept.where("goes_on").select("id", "low", "shared")
+    rest = rest.join(sources, "id")
+    sizes = kept.where("goes_on").groupBy("node", "low", "shared").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = common.materialize(sizes, "hot")
+    pieces = _pieces(rest, window).join(sizes, ["node", "low", "shared"])
+    small = pieces.where(F.col("m") <= GROUP).withColumn("node", F.xxhash64("node", "low", "shared"))
+    spans = done.unionByName(_sorted_buckets(small, window))
+    if sizes.where(F.col("m") > GROUP).isEmpty():
+        return spans
+    single = common.materialize(_single(pieces.where(F.col("m") > GROUP), window), "hot")
+    by = ["node", "far", "h"]
+    repeated = common.materialize(single.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "hot")
+    found = single.join(repeated, by)
+    return spans.unionByName(found.select("doc_id", "key", "s", (F.col("s") + window).alias("e")))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
