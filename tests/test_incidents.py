@@ -200,6 +200,11 @@ def test_list_evidence_report_cursor(spark, logs):
     assert incidents.incident_list(merged, "resolved").count() == 0
     found = incidents.evidence(merged, df).collect()
     assert len(found) == sum(len(r.sample_ids) for r in listed)
+    # the log table is read for the time of the incidents only, if they tell it
+    plan = incidents.evidence(merged, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ts_ms" in plan and "scalar-subquery" in plan
+    timeless = merged.withColumn("first_ts_ms", F.lit(None).cast("long"))
+    assert incidents.evidence(timeless, df).count() == incidents.evidence(merged.drop("last_ts_ms"), df).count() == len(found)
     rolled = detect.rollup(detect.with_ticks(df, SET.interval_ms), 5_000)
     one = incidents.report(built, rolled).first()
     assert sum(s.n for s in one.timeline) == one.event_count and len(one.streams) == 4

@@ -160,11 +160,25 @@ def incident_list(incidents: DataFrame, status: str = "open", n: int | None = No
 
 
 def evidence(incidents: DataFrame, logs: DataFrame) -> DataFrame:
-    """The log rows behind the sample ids of each incident."""
+    """The log rows behind the sample ids of each incident.
+
+    Samples lie between the first and the last time of their incident, so the log table is read for the time that the
+    incidents span (all of it, where the incidents come without times or one has none).
+    """
     wanted = incidents.select(
         F.col("id").alias("incident_id"), F.posexplode("sample_ids").alias("pos", "id")
     )
-    return wanted.join(logs.select("id", "log_group", "log_stream", "ts_ms", "message"), "id").select(
+    rows = logs
+    if {"first_ts_ms", "last_ts_ms"} <= set(incidents.columns):
+        known = F.count("first_ts_ms") + F.count("last_ts_ms") == 2 * F.count(F.lit(1))
+        span = incidents.agg(F.when(known, F.min("first_ts_ms")).alias("lo"), F.when(known, F.max("last_ts_ms")).alias("hi"))
+        lo, hi = F.coalesce(span.select("lo").scalar(), F.lit(-(2**62))), F.coalesce(span.select("hi").scalar(), F.lit(2**62))
+        rows = rows.where(F.col("ts_ms").between(lo, hi))
+        if "day" in logs.columns:
+            # one-row subqueries, so the folders of other days are not read
+            first, last = (tx.utc_wall_clock(span.select(c).scalar()).cast("date") for c in ("lo", "hi"))
+            rows = rows.where((F.col("day") >= F.coalesce(first, F.col("day"))) & (F.col("day") <= F.coalesce(last, F.col("day"))))
+    return wanted.join(rows.select("id", "log_group", "log_stream", "ts_ms", "message"), "id").select(
         "incident_id", "pos", "id", "log_group", "log_stream", "ts_ms", "message"
     )
 

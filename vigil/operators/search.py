@@ -95,27 +95,33 @@ def multi_search(
 ) -> DataFrame:
     """Top k rows for each of many queries (qid, query).
 
-    Blocks of rows are scored against a slice of the queries by one matrix product and
-    only the k best of a task per query leave it, so the pairs are never rows. Queries are shipped to the tasks in slices of at most about `slice_size`;
-    more queries mean more passes over the rows, not bigger tasks.
+    Blocks of rows are scored against a block of the queries by one matrix product and only the k best of a block
+    per query leave it, so the pairs are never rows. Up to `slice_size` queries are shipped to the tasks
+    as they are, and the rows are not moved. More queries stay distributed: rows and queries are dealt into
+    blocks by hash, and every block of rows meets every block of queries in one task.
     """
     total = queries.count()
-    slices = max(1, -(-total // slice_size))
     found = df.where(F.char_length("message") >= min_len) if min_len else df
     rows = found.select("id", "embedding")
-    parts = []
-    for number in range(slices):
-        part = queries
-        if slices > 1:
-            part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == number)
-        block = part.select("qid", "query").toArrow()
-        if block.num_rows:
-            parts.append(_block_top_k(rows, block, k))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "qid string, rank int, id string, distance double")
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+    kind = "qid string, id string, distance double"
+    if total <= slice_size:
+        block = queries.select("qid", "query").toArrow()
+        if not block.num_rows:
+            return df.sparkSession.createDataFrame([], "qid string, rank int, id string, distance double")
+        merged = rows.mapInArrow(_block_scorer(block, k), kind)
+    else:
+        parts = [max(1, -(-n // slice_size)) for n in (total, rows.count())]
+        dealt = lambda one, name, own, n, other, m: one.withColumn(
+            own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+        ).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        left = dealt(queries.select("qid", "query"), "qid", "_q", parts[0], "_r", parts[1])
+        right = dealt(rows, "id", "_r", parts[1], "_q", parts[0])
+
+        def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+            out = [b for b in _block_scorer(asked, k)(iter(held.to_batches()))] if asked.num_rows and held.num_rows else []
+            return pa.Table.from_batches(out, pa.schema([("qid", pa.string()), ("id", pa.string()), ("distance", pa.float64())]))
+
+        merged = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(meet, kind)
     per_query = Window.partitionBy("qid").orderBy("distance", "id")
     return (
         merged.withColumn("rank", F.row_number().over(per_query))
@@ -124,7 +130,8 @@ def multi_search(
     )
 
 
-def _block_top_k(rows: DataFrame, block: pa.Table, k: int) -> DataFrame:
+def _block_scorer(block: pa.Table, k: int):
+    """Batches of rows (id, embedding) to the k best of them for each query of the block."""
     qids = [str(q) for q in block.column("qid").to_pylist()]
     matrix = np.array(block.column("query").to_pylist(), dtype=np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -160,7 +167,7 @@ def _block_top_k(rows: DataFrame, block: pa.Table, k: int) -> DataFrame:
                     ["qid", "id", "distance"],
                 )
 
-    return rows.mapInArrow(score, "qid string, id string, distance double")
+    return score
 
 
 class _Best:

@@ -188,6 +188,12 @@ _PROMPT_LINES = (
 _GAP = f"{q.SESSION_GAP_MS}"
 
 
+_PANES = (
+    f"WITH {LOGS}, w AS (SELECT *, {SUSPECT} AS sus, unnest(range(pane, pane + {q.LOOK_BACK_MS}, {q.PANE_MS})) AS window_ms FROM "
+    f"(SELECT *, (ts_ms + {q.PANE_MS - 1}) // {q.PANE_MS} * {q.PANE_MS} AS pane FROM logs)) "
+    "SELECT window_ms, log_group, count(*) AS n, count(*) FILTER (sus) AS n_suspects, min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms, "
+    "round(count(*) FILTER (sus) / count(*), 6) + 0.0 AS rate FROM w GROUP BY window_ms, log_group"
+)
 #: A word stays if so many messages of its node have it.
 _FIXED = f"here >= least({templates.LEAST}, total) AND here * {templates.PARTS} >= total"
 
@@ -217,6 +223,17 @@ _ASKED = (
     f"wanted AS (SELECT ('0x' || substr(md5(w), 1, 8))::BIGINT % {q.DIM} AS s, count(*)::DOUBLE AS n FROM asked GROUP BY ALL)"
 )
 
+_TERMS = "list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')"
+_BM25 = (
+    f"text AS (SELECT id, {_TERMS.format(text='message')} AS w FROM doc), "
+    "size AS (SELECT count(*) AS rows, greatest(sum(len(w)), 1) AS words FROM text), "
+    "post AS (SELECT term, id, l, count(*) AS tf FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM text) GROUP BY ALL), "
+    f"query AS (SELECT DISTINCT unnest({_TERMS.format(text='(SELECT arg_min(text, item_id) FROM benchmark)')}) AS term), "
+    "hit AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM post SEMI JOIN query USING (term)), "
+    "scored AS (SELECT id, round(sum(ln(1 + (rows - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE "
+    "/ (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / (words::DOUBLE / rows)))), 9) AS score FROM hit, size GROUP BY id)"
+)
+
 ORACLES: dict[str, str] = {
     "embed_hash": (
         f"WITH {_SLOTS}, total AS (SELECT id, sqrt(sum(n * n)) AS len, max(n) AS top FROM slot GROUP BY id) "
@@ -230,6 +247,18 @@ ORACLES: dict[str, str] = {
         "FROM doc JOIN len USING (id) LEFT JOIN dot USING (id) WHERE length(message) >= 32) "
         f"SELECT {_result} FROM found ORDER BY round(dist, 6), id LIMIT 20"
     ),
+    "lexical_search": f"WITH {DOC}, {_BM25} SELECT id, round(score, 6) + 0.0 AS score FROM scored ORDER BY scored.score DESC, id LIMIT 20",
+    "fused_search": (
+        f"WITH {_SLOTS}, {_ASKED}, {_BM25}, len AS (SELECT id, sqrt(sum(n * n)) AS len FROM slot GROUP BY id), "
+        "dot AS (SELECT id, sum(slot.n * wanted.n) AS dot FROM slot JOIN wanted USING (s) GROUP BY id), "
+        "near AS (SELECT id, round(1 - coalesce(dot, 0) / (len * (SELECT sqrt(sum(n * n)) FROM wanted)), 6) AS dist "
+        "FROM doc JOIN len USING (id) LEFT JOIN dot USING (id) WHERE length(message) >= 32), "
+        "v AS (SELECT id, row_number() OVER (ORDER BY dist, id) AS r FROM near QUALIFY r <= 50), "
+        "l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM scored QUALIFY r <= 50) "
+        "SELECT id, round(coalesce(1.0::DOUBLE / (60 + l.r), 0) + coalesce(1.0::DOUBLE / (60 + v.r), 0), 9) + 0.0 AS score, "
+        "l.r::INTEGER AS by_words, v.r::INTEGER AS by_vector FROM l FULL JOIN v USING (id) "
+        "ORDER BY coalesce(1.0::DOUBLE / (60 + l.r), 0) + coalesce(1.0::DOUBLE / (60 + v.r), 0) DESC, id LIMIT 20"
+    ),
     # the exact ten nearest: the index is held to them
     "ann_search": f"WITH {DOCV} SELECT {_result} FROM docv ORDER BY dist, id LIMIT 10",
     "cosine_distance": (
@@ -392,6 +421,40 @@ ORACLES: dict[str, str] = {
         f"WITH {TICKED} SELECT tick_ms, log_group, (row_number() OVER (PARTITION BY tick_ms, log_group "
         "ORDER BY ts_ms, id))::INTEGER AS sample_no, id FROM ticked WHERE sus QUALIFY sample_no <= 3"
     ),
+    "representative_evidence": (
+        f"WITH {DOCV}, e AS (SELECT log_group, id, embedding::DOUBLE[] AS v FROM docv), "
+        "m AS (SELECT log_group, list(a ORDER BY i) AS mv FROM (SELECT log_group, i, avg(x) AS a FROM "
+        "(SELECT log_group, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY ALL) GROUP BY log_group), "
+        "pool AS (SELECT e.log_group, id, v, round(list_cosine_distance(v, mv), 9) AS d, "
+        "row_number() OVER (PARTITION BY e.log_group ORDER BY round(list_cosine_distance(v, mv), 9), id) AS place "
+        "FROM e JOIN m ON e.log_group = m.log_group QUALIFY place <= 20), "
+        "p1 AS (SELECT * FROM pool WHERE place = 1), "
+        "a1 AS (SELECT pool.*, round(list_cosine_distance(pool.v, p1.v), 9) AS near FROM pool JOIN p1 USING (log_group) WHERE pool.place <> 1), "
+        "p2 AS (SELECT * FROM a1 QUALIFY row_number() OVER (PARTITION BY log_group ORDER BY near DESC, place) = 1), "
+        "a2 AS (SELECT a1.* REPLACE (least(a1.near, round(list_cosine_distance(a1.v, p2.v), 9)) AS near) FROM a1 JOIN p2 USING (log_group) "
+        "WHERE a1.place <> p2.place), "
+        "p3 AS (SELECT * FROM a2 QUALIFY row_number() OVER (PARTITION BY log_group ORDER BY near DESC, place) = 1) "
+        "SELECT log_group, pick::INTEGER AS pick, id, round(d, 6) + 0.0 AS distance FROM (SELECT log_group, 1 AS pick, id, d FROM p1 "
+        "UNION ALL SELECT log_group, 2, id, d FROM p2 UNION ALL SELECT log_group, 3, id, d FROM p3)"
+    ),
+    "window_panes": _PANES,
+    "stream_panes": _PANES,
+    "change_points": (
+        f"WITH {LOGS}, c AS (SELECT log_group AS g, ts_ms // 3600000 * 3600000 AS b, count(*) AS n FROM logs GROUP BY ALL), "
+        "cal AS (SELECT g, unnest(range(lo, hi + 1, 3600000)) AS b FROM (SELECT g, min(b) AS lo, max(b) AS hi FROM c GROUP BY g)), "
+        "r AS (SELECT cal.g, cal.b, coalesce(c.n, 0) AS n, (cal.b % 86400000) // 3600000 AS hour FROM cal LEFT JOIN c ON cal.g = c.g AND cal.b = c.b), "
+        "m AS (SELECT g, hour, median(n) AS e FROM r GROUP BY ALL), rm AS (SELECT r.*, e FROM r JOIN m USING (g, hour)), "
+        "d AS (SELECT g, hour, median(abs(n - e)) AS mad FROM rm GROUP BY ALL), "
+        "z AS (SELECT rm.*, (n - e) / greatest(1.4826::DOUBLE * mad, 1.0) AS z FROM rm JOIN d USING (g, hour)), "
+        "s AS (SELECT g, b, n, e, 'up' AS direction, z - 0.5::DOUBLE AS step FROM z UNION ALL SELECT g, b, n, e, 'down', -z - 0.5::DOUBLE FROM z), "
+        "p AS (SELECT *, round(sum(step) OVER o, 9) AS p FROM s WINDOW o AS (PARTITION BY g, direction ORDER BY b ROWS UNBOUNDED PRECEDING)), "
+        "q AS (SELECT *, round(p - least(0.0, min(p) OVER o), 6) AS cusum FROM p "
+        "WINDOW o AS (PARTITION BY g, direction ORDER BY b ROWS UNBOUNDED PRECEDING)), "
+        "f AS (SELECT *, lag(cusum, 1, 0.0) OVER w AS before, max(CASE WHEN cusum = 0 THEN b END) OVER o AS zero, min(b) OVER o AS first FROM q "
+        "WINDOW w AS (PARTITION BY g, direction ORDER BY b), o AS (PARTITION BY g, direction ORDER BY b ROWS UNBOUNDED PRECEDING)) "
+        "SELECT g AS log_group, direction, coalesce(zero + 3600000, first) AS onset_ms, b AS bucket_ms, n, e AS expected, round(cusum, 4) + 0.0 AS cusum "
+        "FROM f WHERE cusum > 5 AND before <= 5"
+    ),
     "window_summary": (
         f"WITH {CONTEXT} SELECT tick_ms, first_ts_ms, last_ts_ms, event_count, suspect_count, "
         "to_json(aggregates)::VARCHAR AS aggregates FROM context"
@@ -415,6 +478,10 @@ ORACLES: dict[str, str] = {
         "LEFT JOIN slots ON slots.bucket = b GROUP BY b"
     ),
     "score_windows": f"WITH {COUNTS}, {SCORED} SELECT * FROM scored",
+    "external_scores": (
+        f"WITH {CONTEXT} SELECT tick_ms, len(samples) || ' sample lines' AS title, CASE WHEN len(samples) >= 5 THEN 'high' ELSE 'low' END AS severity, "
+        "least(len(samples) / 8, 1.0)::DOUBLE AS confidence FROM context WHERE len(samples) / 8 >= 0.2"
+    ),
     "incident_gate": (
         f"WITH {COUNTS}, {SCORED} SELECT tick_ms, title, severity, confidence FROM scored "
         "WHERE severity IN ('high', 'critical') AND confidence >= 0.3"
@@ -564,6 +631,14 @@ ORACLES: dict[str, str] = {
         f"WITH {EV}, buckets AS (SELECT ts_ms // 3600000 * 3600000 AS bucket_ms, count(*) AS n FROM ev GROUP BY ALL) "
         "SELECT * FROM buckets"
     ),
+    "stream_audit": (
+        f"WITH {LOGS}, j AS (SELECT ts_ms, (ts_ms // 60000) % {q.LANDINGS} AS part, NOT coalesce(regexp_matches(message, '[^{SPACE}]'), false) AS bad FROM logs), "
+        "mx AS (SELECT part, max(ts_ms) FILTER (NOT bad) AS m FROM j GROUP BY part), "
+        "wm AS (SELECT part, max(m) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) "
+        f"- {q.LATENESS_MS} AS w FROM mx) "
+        "SELECT part::INTEGER AS batch, count(*) AS n_input, count(*) FILTER (NOT bad AND NOT coalesce(ts_ms < w, false)) AS n_stored, "
+        "count(*) FILTER (NOT bad AND coalesce(ts_ms < w, false)) AS n_late, count(*) FILTER (bad) AS n_rejected FROM j JOIN wm USING (part) GROUP BY part"
+    ),
     "stream_session_incidents": (
         f"WITH {EV}, {_sessions('ev')} SELECT * FROM sessions "
         f"WHERE last_ts_ms + {_GAP} <= (SELECT max(ts_ms) FROM hits) - 600000"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,13 @@ from vigil.functions import text as tx
 from vigil.functions import vectors as vx
 from vigil.functions.timeparse import DAY_MS, HOUR_MS, MINUTE_MS, since_ms
 from vigil.operators import (
-    adhoc, alerts, ann, assemble, browse, convo, correlate, detect, embed, incidents, pq, score, search, templates,
+    adhoc, alerts, ann, assemble, browse, changes, convo, correlate, detect, embed, incidents, lexical, panes, pq,
+    representative, score, search, templates,
 )
 from vigil.plans import detection, ingest
 from vigil.session import materialize, shared_dir
 from vigil.sources import conversations, raw_lines, tables
-from vigil.streaming import streams
+from vigil.streaming import audit, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +44,8 @@ PQ_CELLS, PQ_PARTS, PQ_PROBES, PQ_RERANK = 16, 32, 12, 30
 DETECT_DELAY_MS = 10 * MINUTE_MS
 SESSION_GAP_MS = 30 * MINUTE_MS
 MARGIN_MS = 10 * MINUTE_MS
+PANE_MS, LOOK_BACK_MS = 15 * MINUTE_MS, 60 * MINUTE_MS
+LANDINGS, LATENESS_MS = 4, 2 * DAY_MS
 
 
 def _r(c, digits: int = 6):
@@ -134,10 +138,56 @@ def hybrid_search(spark, d):
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark, d, name: str, build) -> str:
+    """The folder of a table or index that is made once in a session, as ingest would, and then searched."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = shared_dir(spark, name)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def _first_item(spark, d):
+    return tables.sample(spark, d, "benchmark").agg(F.min_by("text", "item_id").alias("text"))
+
+
+def _embedded_docs(spark, d):
+    """The documents with the hash embedder's vectors and their norms, as a stored table."""
+
+    def build(path):
+        rows = embed.embed(_doc(spark, d), embed.hash_embedder(DIM)).drop("embed_text")
+        rows.withColumn("norm", vx.norm("embedding")).write.parquet(path)
+
+    return spark.read.parquet(_stored(spark, d, "embedded", build))
+
+
 def search_by_text(spark, d):
-    docs = embed.embed(_doc(spark, d), embed.hash_embedder(DIM))
-    first = tables.sample(spark, d, "benchmark").agg(F.min_by("text", "item_id").alias("text"))
-    return _rounded_result(search.search_by_text(docs, first, embed.hash_embedder(DIM), k=20))
+    """Only the query text is embedded here; the rows' vectors are stored."""
+    found = search.search_by_text(_embedded_docs(spark, d), _first_item(spark, d), embed.hash_embedder(DIM), k=20)
+    return _rounded_result(found)
+
+
+def _postings(spark, d):
+    path = _stored(spark, d, "postings", lambda path: lexical.Postings(spark, path).append(_doc(spark, d), 0))
+    return lexical.Postings(spark, path)
+
+
+def lexical_search(spark, d):
+    """The twenty best documents for the first benchmark text by BM25."""
+    found = _postings(spark, d).search(_first_item(spark, d).first()[0], k=20)
+    return found.select("id", _r("score").alias("score"))
+
+
+def fused_search(spark, d):
+    """Rank fusion of the fifty best documents by words and the fifty nearest by vector."""
+    words = lexical.with_rank(_postings(spark, d).search(_first_item(spark, d).first()[0], k=50), F.desc("score"), "id")
+    near = search.search_by_text(_embedded_docs(spark, d), _first_item(spark, d), embed.hash_embedder(DIM), k=50)
+    near = lexical.with_rank(near.withColumn("distance", _r("distance")), "distance", "id")
+    return lexical.fuse(words, near, k=20).select("id", _r("score", 9).alias("score"), F.col("rank_0").alias("by_words"), F.col("rank_1").alias("by_vector"))
 
 
 def _pq_index(spark, rows):
@@ -390,6 +440,21 @@ def evidence_samples(spark, d):
     return detect.evidence_samples(_ticked(spark, d)).select("tick_ms", "log_group", "sample_no", "id")
 
 
+def representative_evidence(spark, d):
+    """Three documents of every group: near the group's mean vector, unlike each other."""
+    return representative.representatives(_doc(spark, d, "inner")).select("log_group", "pick", "id", _r("distance").alias("distance"))
+
+
+def window_panes(spark, d):
+    """An hour's look-back every quarter of an hour."""
+    found = panes.windows(panes.panes(tables.all_logs(spark, d), PANE_MS), LOOK_BACK_MS, PANE_MS)
+    return found.withColumn("rate", _r("rate"))
+
+
+def change_points(spark, d):
+    return changes.change_points(tables.all_logs(spark, d)).withColumn("cusum", _r("cusum", 4))
+
+
 def window_summary(spark, d):
     counts = detect.group_counts(_ticked(spark, d), "tick_ms")
     return detect.window_summary(counts).withColumn("aggregates", _json("aggregates"))
@@ -413,6 +478,23 @@ def score_windows(spark, d):
     return score.rule_scores(detect.group_counts(_ticked(spark, d), "tick_ms"))
 
 
+def _stand_in_scorer():
+    """Stands for a scorer service: an incident for every prompt, by the number of its sample lines."""
+
+    def judge(prompt: str) -> str:
+        n = int(prompt.split("Samples (", 1)[1].split(")", 1)[0])
+        return json.dumps({"incidents": [{"title": f"{n} sample lines", "severity": "HIGH" if n >= 5 else "low", "confidence": n / 8}]})
+
+    return judge
+
+
+def external_scores(spark, d):
+    """Prompts of all ticks through a replaceable scorer, its answers parsed and gated."""
+    prompts = detect.alert_prompt(detect.tick_context(_ticked(spark, d)), TICK, detection.PROMPT_HEADER, detection.PROMPT_FOOTER)
+    scored = score.parse_incidents(score.external_scorer(_stand_in_scorer)(prompts))
+    return score.gate(scored, "low", 20).select("tick_ms", "title", "severity", "confidence")
+
+
 def incident_gate(spark, d):
     scored = score.rule_incidents(detect.group_counts(_ticked(spark, d), "tick_ms"))
     return score.gate(scored, "high", 30).select("tick_ms", "title", "severity", "confidence")
@@ -493,7 +575,7 @@ def incident_list(spark, d):
 
 
 def incident_evidence(spark, d):
-    found = _built(spark, d).select(incidents.incident_id().alias("id"), "sample_ids")
+    found = _built(spark, d).select(incidents.incident_id().alias("id"), "sample_ids", "first_ts_ms", "last_ts_ms")
     return incidents.evidence(found, tables.all_logs(spark, d)).select(
         "incident_id", "pos", "id", "log_group", "ts_ms"
     )
@@ -772,6 +854,25 @@ def stream_rate(spark, d):
     return streams.read_rate(spark, f"{base}/out")
 
 
+def stream_panes(spark, d):
+    """As `window_panes`, from panes that a stream has stored."""
+    base = shared_dir(spark, "panes")
+    panes.panes_to_table(_log_stream(spark, d), f"{base}/panes", f"{base}/checkpoint", PANE_MS, every=None).awaitTermination()
+    return panes.read_windows(spark, f"{base}/panes", LOOK_BACK_MS, PANE_MS).withColumn("rate", _r("rate"))
+
+
+def stream_audit(spark, d):
+    """All log rows landing in four files, each spread over the whole time, one file a batch: what became of them."""
+    base = shared_dir(spark, "audit")
+    logs = tables.all_logs(spark, d)
+    for part in range(LANDINGS):
+        own = logs.where(F.pmod(F.floor(F.col("ts_ms") / MINUTE_MS), F.lit(LANDINGS)) == part)
+        own.coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    arriving = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    audit.audited_stream(arriving, f"{base}/table", f"{base}/checkpoint", LATENESS_MS, every=None).awaitTermination()
+    return audit.read_metrics(spark, f"{base}/table").select("batch", "n_input", "n_stored", "n_late", "n_rejected")
+
+
 def stream_session_incidents(spark, d):
     return _drain(
         spark, streams.session_incidents(_event_stream(spark, d), "30 minutes"), "sessions"
@@ -815,15 +916,15 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         cosine_distance, semantic_search, search_filtered, multi_search, search_stats, hybrid_search,
-        search_by_text, ann_search, pq_search, pq_recall, cell_search, vector_dim_check, vector_from_json, embed_hash,
+        search_by_text, lexical_search, fused_search, ann_search, pq_search, pq_recall, cell_search, vector_dim_check, vector_from_json, embed_hash,
         browse_recent, browse_filtered, latest_stream, latest_events, group_catalog, group_filter,
         group_fanout, min_len, since_filter, recent_errors,
         parse_header, assemble_events, strip_ansi, embed_text, mean_pool, token_pool, first_token_pool,
         plugin_embedder, quality_filter,
         reject_counts, stable_id, message_templates, learned_templates,
         window_scan, suspects, group_counts, group_counts_json, top_groups, samples,
-        evidence_samples, window_summary, error_rate, error_trend, ingest_rate, score_windows,
-        incident_gate, alert_prompt,
+        evidence_samples, representative_evidence, window_panes, change_points, window_summary, error_rate, error_trend, ingest_rate, score_windows,
+        external_scores, incident_gate, alert_prompt,
         normalize_severity, clamp_confidence, parse_incidents, dedupe_key, incident_build,
         incident_merge, incident_list, incident_evidence, incident_timeline, incident_sessions, incident_correlation,
         incident_report, alert_outbox, alert_routing, cursor_upsert,
@@ -832,6 +933,6 @@ QUERIES: dict[str, Query] = {
         since_dialect_b, truncate_text, iso_time, in_timezone, failure_class, rows_as_json,
         conv_summary, conv_render, conv_render_tools, conv_messages_json, conv_with_system,
         conv_files, conv_keep_first, conv_delete, fold_token_lines,
-        stream_rate, stream_session_incidents, stream_dedupe, stream_ingest, stream_detect,
+        stream_rate, stream_panes, stream_audit, stream_session_incidents, stream_dedupe, stream_ingest, stream_detect,
     )
 }
