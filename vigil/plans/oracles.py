@@ -234,6 +234,15 @@ _BM25 = (
     "/ (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / (words::DOUBLE / rows)))), 9) AS score FROM hit, size GROUP BY id)"
 )
 
+_EVENTS = (
+    f"WITH {DOC}, raw AS (SELECT log_group, log_stream, ts_ms, doc_id, "
+    f"unnest(string_split('[' || doc_id || '] ' || message, {NL})) AS line, "
+    f"generate_subscripts(string_split('[' || doc_id || '] ' || message, {NL}), 1) AS line_no FROM doc), "
+    f"cut AS (SELECT * REPLACE ({_trim} AS line) FROM raw) "
+    f"SELECT log_group, log_stream, ts_ms, string_agg(line, {NL} ORDER BY line_no) AS message "
+    "FROM cut WHERE line <> '' GROUP BY log_group, log_stream, ts_ms, doc_id"
+)
+
 ORACLES: dict[str, str] = {
     "embed_hash": (
         f"WITH {_SLOTS}, total AS (SELECT id, sqrt(sum(n * n)) AS len, max(n) AS top FROM slot GROUP BY id) "
@@ -644,14 +653,8 @@ ORACLES: dict[str, str] = {
         f"WHERE last_ts_ms + {_GAP} <= (SELECT max(ts_ms) FROM hits) - 600000"
     ),
     "stream_dedupe": f"WITH {EV} SELECT id, ts_ms FROM ev",
-    "stream_ingest": (
-        f"WITH {DOC}, raw AS (SELECT log_group, log_stream, ts_ms, doc_id, "
-        f"unnest(string_split('[' || doc_id || '] ' || message, {NL})) AS line, "
-        f"generate_subscripts(string_split('[' || doc_id || '] ' || message, {NL}), 1) AS line_no FROM doc), "
-        f"cut AS (SELECT * REPLACE ({_trim} AS line) FROM raw) "
-        f"SELECT log_group, log_stream, ts_ms, string_agg(line, {NL} ORDER BY line_no) AS message "
-        "FROM cut WHERE line <> '' GROUP BY log_group, log_stream, ts_ms, doc_id"
-    ),
+    "stream_ingest": _EVENTS,
+    "stream_assembly": _EVENTS,
     "stream_detect": (
         f"WITH {BUILT}, closed AS (SELECT * FROM built WHERE now_ms <= (SELECT max(ts_ms) - 1 FROM ticked) - {q.DETECT_DELAY_MS}), "
         f"merged AS ({_fold('closed')}) SELECT id, created_ms, updated_ms, severity, title, first_ts_ms, last_ts_ms, "

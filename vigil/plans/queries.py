@@ -16,9 +16,9 @@ from vigil.operators import (
     representative, score, search, templates,
 )
 from vigil.plans import detection, ingest
-from vigil.session import materialize, shared_dir
+from vigil.session import RECOMMENDED_CONF, materialize, shared_dir
 from vigil.sources import conversations, raw_lines, tables
-from vigil.streaming import audit, streams
+from vigil.streaming import assembly, audit, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -898,6 +898,25 @@ def stream_ingest(spark, d):
     )
 
 
+def stream_assembly(spark, d):
+    """Events put together with state; what nothing ends is closed by the arrival of a later file."""
+    base = shared_dir(spark, "assembly")
+    raw_lines.write_line_files(_doc(spark, d), f"{base}/landing")
+    spark.range(1).select(F.lit("the end").alias("value")).write.text(f"{base}/landing/log_group=__end")
+    text = spark.readStream.option("lineSep", "\n").option("recursiveFileLookup", "true").text(f"{base}/landing")
+    group = F.regexp_extract("file", "log_group=([^/]+)/", 1)
+    events = assembly.assemble_stream(assembly.text_lines(text.select("value", "_metadata"), group), idle_ms=0)
+    # state stores with lists need this provider
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, RECOMMENDED_CONF[provider])
+    try:
+        found = _drain(spark, events, "assembly")
+    finally:
+        spark.conf.set(provider, before)
+    return found.where("NOT strays").select("log_group", "log_stream", "ts_ms", "message")
+
+
 def stream_detect(spark, d):
     base = shared_dir(spark, "detect")
     store = streams.incident_store(spark, f"{base}/incidents")
@@ -933,6 +952,6 @@ QUERIES: dict[str, Query] = {
         since_dialect_b, truncate_text, iso_time, in_timezone, failure_class, rows_as_json,
         conv_summary, conv_render, conv_render_tools, conv_messages_json, conv_with_system,
         conv_files, conv_keep_first, conv_delete, fold_token_lines,
-        stream_rate, stream_panes, stream_audit, stream_session_incidents, stream_dedupe, stream_ingest, stream_detect,
+        stream_rate, stream_panes, stream_audit, stream_assembly, stream_session_incidents, stream_dedupe, stream_ingest, stream_detect,
     )
 }
