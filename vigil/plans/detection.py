@@ -21,7 +21,7 @@ PROMPT_HEADER = (
     '"dedupe_key", "summary", "suggested_actions", "tags"}]}\n'
     "severity is info, low, medium, high or critical; confidence is between 0 and 1."
 )
-PROMPT_FOOTER = 'Output: {"incidents": [ ... ]}'
+PROMPT_FOOTER = "Give one entry for each distinct problem, and an empty list if there is none."
 
 Scorer = Callable[[DataFrame], DataFrame]
 

@@ -464,6 +464,10 @@ ORACLES: dict[str, str] = {
         "SELECT g AS log_group, direction, coalesce(zero + 3600000, first) AS onset_ms, b AS bucket_ms, n, e AS expected, round(cusum, 4) + 0.0 AS cusum "
         "FROM f WHERE cusum > 5 AND before <= 5"
     ),
+    "sketch_bounds": (
+        f"WITH {LOGS} SELECT log_group, count(*) AS n, true AS streams_within, true AS median_within, true AS n_exact "
+        "FROM logs WHERE log_group IS NOT NULL GROUP BY log_group"
+    ),
     "window_summary": (
         f"WITH {CONTEXT} SELECT tick_ms, first_ts_ms, last_ts_ms, event_count, suspect_count, "
         "to_json(aggregates)::VARCHAR AS aggregates FROM context"

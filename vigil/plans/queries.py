@@ -13,7 +13,7 @@ from vigil.functions import vectors as vx
 from vigil.functions.timeparse import DAY_MS, HOUR_MS, MINUTE_MS, since_ms
 from vigil.operators import (
     adhoc, alerts, ann, assemble, browse, changes, convo, correlate, detect, embed, incidents, lexical, panes, pq,
-    representative, score, search, templates,
+    representative, score, search, sketches, templates,
 )
 from vigil.plans import detection, ingest
 from vigil.session import RECOMMENDED_CONF, materialize, shared_dir
@@ -455,6 +455,31 @@ def change_points(spark, d):
     return changes.change_points(tables.all_logs(spark, d)).withColumn("cusum", _r("cusum", 4))
 
 
+def _sketches(spark, d):
+    return sketches.build(tables.all_logs(spark, d), HOUR_MS)
+
+
+def sketch_summary(spark, d):
+    """Counts, distinct streams, length quantiles and heaviest streams of all hours, from the hours' sketches."""
+    return sketches.summary(_sketches(spark, d)).withColumn("heaviest", _json("heaviest"))
+
+
+def sketch_bounds(spark, d):
+    """Whether the merged sketches of each group keep their bounds against the exact counts."""
+    merged = sketches.summary(_sketches(spark, d)).withColumn("median", F.get("length_quantiles", F.lit(0)))
+    exact = tables.all_logs(spark, d).select("log_group", "log_stream", F.char_length("message").alias("length"))
+    own = exact.join(merged.select("log_group", "n", "n_streams", "median"), "log_group")
+    counts = own.groupBy("log_group", "n", "n_streams").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("log_stream").alias("streams"), F.count("length").alias("lengths"),
+        F.count_if(F.col("length") < F.col("median")).alias("below"), F.count_if(F.col("length") <= F.col("median")).alias("upto"),
+    )
+    half, slack = F.col("lengths") * 0.5, F.col("lengths") * 0.02 + 1
+    return counts.select(
+        "log_group", "n", (F.abs(F.col("n_streams") - F.col("streams")) <= F.greatest(F.lit(1.0), F.col("streams") * 0.05)).alias("streams_within"),
+        ((F.col("below") - slack <= half) & (half <= F.col("upto") + slack)).alias("median_within"), (F.col("rows") == F.col("n")).alias("n_exact"),
+    )
+
+
 def window_summary(spark, d):
     counts = detect.group_counts(_ticked(spark, d), "tick_ms")
     return detect.window_summary(counts).withColumn("aggregates", _json("aggregates"))
@@ -942,7 +967,8 @@ QUERIES: dict[str, Query] = {
         plugin_embedder, quality_filter,
         reject_counts, stable_id, message_templates, learned_templates,
         window_scan, suspects, group_counts, group_counts_json, top_groups, samples,
-        evidence_samples, representative_evidence, window_panes, change_points, window_summary, error_rate, error_trend, ingest_rate, score_windows,
+        evidence_samples, representative_evidence, window_panes, change_points, sketch_summary,
+        sketch_bounds, window_summary, error_rate, error_trend, ingest_rate, score_windows,
         external_scores, incident_gate, alert_prompt,
         normalize_severity, clamp_confidence, parse_incidents, dedupe_key, incident_build,
         incident_merge, incident_list, incident_evidence, incident_timeline, incident_sessions, incident_correlation,

@@ -32,12 +32,13 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the folder the cluster gives in `spark.checkpoint.dir`.
 
-    Only a local session without that setting falls back to a temporary folder;
+    Only a local session (one process) without that setting falls back to a temporary folder;
     on a cluster executors would not see it, so there the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="vigil-")
         spark.conf.set("spark.checkpoint.dir", base)
