@@ -41,7 +41,8 @@ def assemble_events(lines: DataFrame, strays: bool = False) -> DataFrame:
     numbers of the chunks before it are added from a table with one row per chunk,
     and the lines of an event are joined per chunk first and then over its chunks.
     Blank lines are dropped, and so are lines before the first header of a file, unless
-    `strays` asks for them as event number 0.
+    `strays` asks for them as event number 0: one row for each chunk of them, with its `chunk`
+    (null for events), so a file without headers is never one value.
     """
     parsed = parse_header(lines).where(F.col("line") != "")
 
@@ -79,16 +80,19 @@ def assemble_events(lines: DataFrame, strays: bool = False) -> DataFrame:
     numbered = pieces.join(offsets, ["file", "chunk"]).withColumn(
         "event_no", F.col("earlier") + F.col("local_no")
     )
-    return (
-        (numbered if strays else numbered.where(F.col("event_no") > 0))
-        .groupBy("file", "event_no")
-        .agg(
-            F.min("log_group").alias("log_group"),
-            F.max("log_stream").alias("log_stream"),
-            F.max("ts_ms").alias("ts_ms"),
-            _ordered_text(F.struct("chunk", F.col("piece").alias("part"))).alias("message"),
-        )
+    begun = numbered.where(F.col("event_no") > 0)
+    events = begun.groupBy("file", "event_no").agg(
+        F.min("log_group").alias("log_group"),
+        F.max("log_stream").alias("log_stream"),
+        F.max("ts_ms").alias("ts_ms"),
+        _ordered_text(F.struct("chunk", F.col("piece").alias("part"))).alias("message"),
+    )
+    if not strays:
+        return events
+    loose = numbered.where(F.col("event_no") == 0).select(
+        "file", "event_no", "log_group", "log_stream", "ts_ms", F.col("piece").alias("message"), "chunk"
     )
+    return events.withColumn("chunk", F.lit(None).cast(loose.schema["chunk"].dataType)).unionByName(loose)
 
 
 def carry_over(events: DataFrame, open_before: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +103,9 @@ def carry_over(events: DataFrame, open_before: DataFrame) -> tuple[DataFrame, Da
     open event of their source; the newest event of each source stays open.
     """
     columns = open_before.columns
-    strays = events.where(F.col("event_no") == 0).select("file", F.col("message").alias("more"))
+    # only of sources with an open event, whose text they are a part of
+    loose = events.where(F.col("event_no") == 0).join(open_before.select("file").distinct(), "file", "left_semi")
+    strays = loose.groupBy("file").agg(_ordered_text(F.struct("chunk", F.col("message").alias("part"))).alias("more"))
     last = events.groupBy("file").agg(F.max("event_no").alias("last_no")).where(F.col("last_no") > 0)
 
     grown = (
