@@ -123,7 +123,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # with great certainty is ranked, so that the window over a frequent language stays small
     usable = usable.withColumn("h", F.xxhash64("doc_id"))
     share = F.least(F.lit(1.0), (each + 10 * F.sqrt(F.lit(float(each))) + 50) / F.count("*"))
-    limit = usable.groupBy(F.col("lang").alias("of")).agg(share.alias("share"))
+    # written, so that its size is known and the rows need not be dealt out by language to meet it
+    limit = common.materialize(usable.groupBy(F.col("lang").alias("of")).agg(share.alias("share")), "languages")
     near = usable.join(limit, F.col("lang") == F.col("of")).where(
         (F.col("share") == 1) | (F.col("h").cast("double") < F.col("share") * 2.0**64 - 2.0**63)
     )
