@@ -56,3 +56,65 @@ def test_keep(docs, empty, clashing):
     none = li.fit(empty)
     assert li.predict(docs, none).where("lang_pred <> 'und'").count() == 0
     assert li.predict(empty, model).count() == 0
+
+
+def slow_counts(text):
+    """N-gram counts of one text by plain loops."""
+    raw, flat = text.encode(), []
+    for k, b in enumerate(raw):
+        if 65 <= b <= 90:
+            b += 32
+        elif b < 128 and not 97 <= b <= 122:
+            b = 32
+        elif k and raw[k - 1] == 0xC3 and 0x80 <= b < 0x9F:
+            b += 32
+        if not (b == 32 and flat and flat[-1] == 32):
+            flat.append(b)
+    out = [0.0] * li.DIMS
+    for size in (1, 2, 3):
+        for k in range(len(flat) - size + 1):
+            gram = size
+            for b in flat[k : k + size]:
+                gram = gram * 257 + b
+            out[((gram * 0x9E3779B1) >> 12) & (li.DIMS - 1)] += 1
+    return out
+
+
+def test_predictions_are_those_of_the_nearest_centroid(labelled):
+    import math
+
+    model = li.fit(labelled)
+    rows = {r["doc_id"]: r for r in li.predict(labelled, model).collect()}
+    some = [r for r in labelled.collect() if r["doc_id"] is not None and r["doc_id"] < 60 and r["text"]]
+    for r in some:
+        weights = [math.log1p(c) * float(w) for c, w in zip(slow_counts(r["text"]), model["idf"])]
+        length = math.sqrt(sum(w * w for w in weights))
+        near = [sum(w * float(c) for w, c in zip(weights, centre) if w) / length for centre in model["centres"]]
+        best = max(near)
+        found = rows[r["doc_id"]]
+        # the languages of all centroids that are nearest, but for rounding
+        assert found["lang_pred"] in {model["langs"][model["owner"][k]] for k, v in enumerate(near) if v > best - 1e-5}
+        assert abs(found["score"] - best) < 1e-4
+    assert len(some) > 40
+
+
+def test_the_sample_is_the_first_rows_by_hash(spark, labelled):
+    """Only a share of the hashes is ranked; the rows chosen are those that ranking all would choose."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    many = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "yy").otherwise("xx").alias("lang"),
+        F.concat(F.lit("ab ka ru "), F.when(F.col("id") % 50 == 0, "sch ein")).alias("text"),
+    ).withColumn("text", F.coalesce("text", F.lit("ab ka ru to mi")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    usable = many.where(~li.held_out()).withColumn("r", rank)
+    want = usable.where("r <= 20").count()
+    seen = []
+    normal = li.np.lexsort
+    li.np.lexsort = lambda keys: seen.append(len(keys[0])) or normal(keys)
+    try:
+        li.fit(many, max_train_rows=40)
+    finally:
+        li.np.lexsort = normal
+    assert want == 40 and seen[0] == 40

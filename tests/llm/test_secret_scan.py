@@ -52,3 +52,31 @@ def test_scan(spark, docs, empty, clashing, texts):
     assert got[200]["spans"] == got[201]["spans"] == got[203]["spans"] == "" and got[202]["n_random"] == 0
     assert got[200]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert ss.scan(clashing).count() == docs.count() and ss.scan(empty).count() == 0
+
+
+def test_false_discovery_step_against_plain_benjamini_hochberg(spark):
+    """The random spans are those that a plain step-up procedure per stratum accepts."""
+    rng = random.Random(6)
+    words = ["internationalisation", "the_longest_identifier", "some/path/to/a/directory", "aianmentleaimentention"]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(words) + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 4))]
+        parts += ["".join(rng.choices(B62, k=rng.randint(20, 64))) for _ in range(rng.randint(0, 2))]
+        rng.shuffle(parts)
+        rows.append((i, " and ".join(parts)))
+    strata, found = {}, []
+    for i, text in rows:
+        for s, e, stratum, bin_ in ss.candidates(text, ss.base_spans(text)):
+            strata.setdefault(stratum, []).append(bin_)
+            found.append((i, s, e, stratum, bin_))
+    least = {}
+    for stratum, bins in strata.items():
+        ordered = sorted(bins, reverse=True)
+        for rank, b in enumerate(ordered, 1):
+            # the last of equal bins has the rank that counts
+            if b > 0 and (rank == len(ordered) or ordered[rank] < b) and len(bins) * 10 ** (-b / 10) <= ss.FDR * rank:
+                least[stratum] = b
+    want = sorted((i, s, e) for i, s, e, stratum, b in found if stratum in least and b >= least[stratum])
+    got = ss.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], x["s"], x["e"]) for r in got for x in r["spans"] if x["k"] == 3) == want
+    assert 30 < len(want) < len(found)

@@ -15,7 +15,8 @@ has to compete with the many short tokens only. Those become spans of kind `rand
 
 Defined cases: null and empty texts have no spans; each row stands alone, except that repeated
 rows count again in their stratum; a token that overlaps a base span is no candidate; decimal
-numbers and UUIDs are none either. Only id and text are read.
+numbers and UUIDs are none either; texts of any length are read whole, in one pass of each pattern; an empty table gives
+an empty result. Only id and text are read.
 """
 
 from __future__ import annotations
