@@ -12,7 +12,7 @@ A bucket of that table is not expanded into its pairs. Its smallest class stands
 are paired with that one, and near pairs are confirmed on the full shingle sets. Buckets whose
 members are then all connected are done. In the others, members of different components are
 compared by signature in blocks of a bounded size, and pairs that come near are confirmed there.
-Components come from star contractions over the confirmed links.
+Components come from contracting the confirmed links.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and are linked with
 nothing; fewer than five words make one shingle of the whole sequence; rows with equal ids are judged each by

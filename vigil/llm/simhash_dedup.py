@@ -18,7 +18,7 @@ linked, and found like this:
 
 Pairs are never rows: a bucket is compared in place, in cells of a bounded number of indexed and probing
 classes, and a cell returns at most one link a class, a forest that connects what the found pairs
-connect. Components come from star contractions over these links.
+connect. Components come from contracting these links.
 
 Defined cases: null and empty texts, and texts without words, have the fingerprint zero and are linked like any
 other; fewer words than a shingle make one shingle of them all; texts of any length are read in pieces;
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import common
-from vigil.llm.components import components
+from vigil.llm.components import components, forest
 
 WORDS, SEED, FAR = 3, 42, 3
 BITS, BLOCKS = 64, 4
@@ -291,21 +291,6 @@ def _dealt(rows: DataFrame, cell: int) -> DataFrame:
 
 # verification
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node that each of n nodes is connected with by the edges (a, b)."""
-    label = np.arange(n)
-    while True:
-        x, y = label[a], label[b]
-        low, now = np.minimum(x, y), label.copy()
-        np.minimum.at(now, x, low)
-        np.minimum.at(now, y, low)
-        while (jumped := now[now]).tobytes() != now.tobytes():
-            now = jumped
-        if (now == label).all():
-            return label
-        label = now
-
-
 def compare(fp: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what one cell's pairs within FAR bits connect: at most one for each class."""
     nodes, at = np.unique(fp, return_inverse=True)
