@@ -72,7 +72,7 @@ def templates(df: DataFrame, id_col: str, text_col: str, name: str, forms: bool
 
     def capital(word):
         # all capitals are no name
-        first, rest = F.left(word, F.lit(1)), F.substring(word, F.lit(2), F.char_length(word))
+        first, rest = F.substring(word, 1, 1), F.substr(word, F.lit(2))
         return (first != F.lower(first)) & (rest == F.lower(rest))
 
     def placed(raw, i):
