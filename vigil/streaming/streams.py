@@ -137,10 +137,13 @@ def rate(logs: DataFrame, width: str = "1 minute", delay: str = "10 minutes") ->
 def rate_to_table(
     logs: DataFrame, path: str, checkpoint: str, width: str = "1 minute", delay: str = "10 minutes", every: str | None = "3 seconds"
 ) -> StreamingQuery:
-    """Counts of all buckets that a batch touched, open ones too; a batch that is run again replaces its folder."""
+    """Counts of all buckets that a batch touched, open ones too; a batch that is run again replaces its folder.
+
+    The counts are gathered in few files behind a shuffle of their own, so that the state's partitions stay tasks of their own.
+    """
 
     def write(changed: DataFrame, batch_id: int) -> None:
-        changed.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changed.hint("rebalance").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(rate(logs, width, delay).writeStream.outputMode("update").foreachBatch(write), checkpoint, every)
 
