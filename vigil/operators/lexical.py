@@ -1,8 +1,8 @@
 """The lexical half of hybrid search: postings with BM25 weights, and rank fusion with the vector result.
 
 Postings (term, id, how often, length of the text) of whole texts are stored by a hash of the term and sorted by
-it, so a search reads the folders of its terms, and of those the row groups that hold them. What a weight needs
-beside them, the number of rows, the mean length and each term's document frequency, is kept per batch
+it, so a search reads the folders of its terms, and of those the row groups that hold them. A text's terms are counted where
+it is read, and each posting is shuffled once, to its folder. What a weight needs beside them, the number of rows, the mean length and each term's document frequency, is kept per batch
 and added up, so batches can be appended.
 
 Defined cases: terms are runs of letters and digits of any script, lower-cased; null and empty messages have none and
@@ -12,10 +12,19 @@ are never found, but a row without a term counts as a row; a term that a query r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FOLDERS = 64
+#: The columns of a posting.
+STORED = "term string, id string, length long, tf long, folder int, batch int"
+#: Words that a task counts at once (one text, if that has more).
+COUNTED = 1 << 19
 K1, B = 1.2, 0.75
 #: The constant of reciprocal rank fusion.
 RANK = 60
@@ -26,6 +35,23 @@ def terms(text: Column | str) -> Column:
     return F.filter(F.split(low, r"[^\p{L}\p{Nd}]+"), lambda x: x != "")
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, id, length, tf: a row for each different term of each text (id, terms)."""
+    for batch in batches:
+        length = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(length)])
+        flat, row = batch.column(1).flatten(), 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(at, at[row] + COUNTED, side="right")) - 1)
+            names = flat.slice(at[row], at[end] - at[row]).dictionary_encode()
+            own = np.repeat(np.arange(end - row), length[row:end])
+            pairs, tf = np.unique(own * max(len(names.dictionary), 1) + names.indices.to_numpy(), return_counts=True)
+            own, code = np.divmod(pairs, max(len(names.dictionary), 1))
+            columns = [names.dictionary.take(pa.array(code)), batch.column(0).take(pa.array(own + row)), pa.array(length[own + row]), pa.array(tf)]
+            yield pa.record_batch(columns, ["term", "id", "length", "tf"])
+            row = end
+
+
 class Postings:
     """Stored postings below `path`."""
 
@@ -34,13 +60,13 @@ class Postings:
 
     def append(self, df: DataFrame, batch: int) -> "Postings":
         """Add rows (id, message); a batch that is added again replaces its files."""
-        rows = df.select("id", terms("message").alias("terms")).withColumn("length", F.size("terms").cast("long"))
-        counted = rows.select("id", "length", F.explode("terms").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-        placed = counted.withColumns({"folder": self._folder(F.col("term")), "batch": F.lit(batch)})
-        ordered = placed.hint("rebalance", "folder").sortWithinPartitions("folder", "term")
+        rows = df.select(F.col("id").cast("string").alias("id"), terms("message").alias("terms"))
+        placed = rows.mapInArrow(counted, "term string, id string, length long, tf long").withColumn("folder", self._folder(F.col("term")))
+        ordered = placed.hint("rebalance", "folder").sortWithinPartitions("folder", "term").withColumn("batch", F.lit(batch))
         replacing = lambda w: w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         replacing(ordered.write).partitionBy("folder", "batch").parquet(f"{self.path}/postings")
-        size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).withColumn("batch", F.lit(batch))
+        words = self.spark.read.schema(STORED).parquet(f"{self.path}/postings").where(F.col("batch") == batch).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+        size = words.withColumns({"rows": F.lit(df.count()), "batch": F.lit(batch)}).select(F.col("rows").cast("long").alias("rows"), "words", "batch")
         replacing(size.coalesce(1).write).partitionBy("batch").parquet(f"{self.path}/sizes")
         return self
 
@@ -55,10 +81,11 @@ class Postings:
         size = self.spark.read.parquet(f"{self.path}/sizes").agg(F.sum("rows").alias("rows"), F.sum("words").alias("words")).first()
         if not wanted:
             return self.spark.createDataFrame([], "id string, score double")
-        stored = "term string, id string, length long, tf long, folder int, batch int"
-        hits = self.spark.read.schema(stored).parquet(f"{self.path}/postings").where(
+        hits = self.spark.read.schema(STORED).parquet(f"{self.path}/postings").where(
             F.col("folder").isin(sorted({f for _, f in wanted})) & F.col("term").isin([t for t, _ in wanted])
         )
+        # rows of one id and length in a batch are one text; dealt out by id, so that the weights need no further shuffle
+        hits = hits.repartition("id").groupBy("term", "id", "length", "batch").agg(F.sum("tf").alias("tf"))
         mean = F.lit(max(size["words"], 1) / max(size["rows"], 1))
         # counts are partial aggregates with one row a term
         seen = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
