@@ -11,6 +11,8 @@ from vigil.llm import common
 
 #: Edges that a task contracts at once.
 HELD = 1 << 21
+#: So few edges are contracted by one task to the end: rounds of small jobs take longer.
+FEW = 1 << 18
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,12 +61,17 @@ def components(links: DataFrame) -> DataFrame:
     A round first contracts the edges of each task to stars, without a shuffle, so that long chains become short.
     A node then has a root for each task that knew it; all these roots, and the node, are tied to the least of them.
     Both steps keep the components, and after a number of rounds logarithmic in the size only stars are
-    left. Each round is written to the shared folder. Neighbourhoods are never gathered: a node meets as
+    left. When at most FEW edges are left, one task contracts them, and no round follows. Each round is written to the shared folder. Neighbourhoods are never gathered: a node meets as
     many rows as tasks, and a root only a minimum.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = common.materialize(edges, "stars")
-    while not _stars(edges):
+    while True:
+        if edges.count() <= FEW:
+            edges = common.materialize(_contracted(edges.coalesce(1)), "stars")
+            break
+        if _stars(edges):
+            break
         local = common.materialize(_contracted(edges), "stars")
         least = local.groupBy("u").agg(F.min("v").alias("m"))
         tied = local.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
