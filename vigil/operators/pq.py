@@ -36,6 +36,8 @@ WORDS, ROUNDS = 256, 8
 SAMPLE_ROWS = 65_536
 #: Codes and queries that a task of a many-query search holds.
 CODE_BLOCK, QUERY_BLOCK = 65_536, 512
+#: Rows that a task computes with at once.
+SLICE = 4096
 #: Rows of a page of the stored vectors.
 PAGE_ROWS = 64
 
@@ -64,7 +66,10 @@ def _any(tests: list[Column]) -> Column:
 
 
 def _closest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (rows @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
+    half, out = (centres * centres).sum(axis=1) / 2, np.empty(len(rows), np.int64)
+    for i in range(0, len(rows), SLICE):
+        out[i : i + SLICE] = (rows[i : i + SLICE] @ centres.T - half).argmax(axis=1)
+    return out
 
 
 def _trained(rows: np.ndarray, words: int, rounds: int) -> np.ndarray:
@@ -253,12 +258,15 @@ class PQIndex:
             if not asked_.num_rows or not listed.num_rows:
                 return kind.empty_table()
             ids = np.array(listed.column("id").to_pylist(), dtype=str)
-            code = np.frombuffer(b"".join(listed.column("code").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
-            flat = code + np.arange(code.shape[1]) * WORDS
+            code = np.frombuffer(b"".join(listed.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            # as numbers of the flat table; small numbers and slices keep a worker's memory apart from the block's size
+            flat = code + (np.arange(code.shape[1]) * WORDS).astype(np.int32)
             out: list[tuple[str, np.ndarray, np.ndarray]] = []
             for qid, unit, cell in zip(asked_.column("qid").to_pylist(), asked_.column("unit").to_pylist(), asked_.column("cell").to_pylist()):
                 unit = np.array(unit)
-                near = np.round(index.centres[cell] @ unit + index._table(unit).ravel()[flat].sum(axis=1), 12)
+                table = index._table(unit).ravel()
+                near = np.concatenate([table[flat[i : i + SLICE]].sum(axis=1) for i in range(0, len(flat), SLICE)])
+                near = np.round(index.centres[cell] @ unit + near, 12)
                 limit = np.partition(near, -rerank)[-rerank] if len(near) > rerank else -np.inf
                 some = np.flatnonzero(near >= limit)
                 some = some[np.lexsort((ids[some], -near[some]))[:rerank]]
