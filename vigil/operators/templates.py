@@ -23,6 +23,8 @@ from vigil.session import materialize
 WILDCARD = "<*>"
 #: Levels that follow the words, one part of a node's messages that keeps a word, and least messages that do (if there are so many).
 DEPTH, PARTS, LEAST = 2, 16, 2
+#: Words that a task counts, about.
+TASK_WORDS = 1 << 21
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -81,15 +83,18 @@ def assign(shaped: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
 def fixed_words(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
     """length, path, kept: for each position after the path the words that stay, of leaves with several messages."""
     sizes = leaves.groupBy("length", "path").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
-    sizes = materialize(sizes.where("rows > 1 AND length > size(path)"), "leaves")
-    rest = leaves.join(sizes, ["length", "path"]).select(
-        "length", "path", "total", "n", F.posexplode(F.expr(f"slice(words, {depth + 1}, length)")).alias("pos", "word")
-    )
-    counted = rest.groupBy("length", "path", "total", "pos", "word").agg(F.sum("n").alias("here"))
+    sizes = sizes.where("rows > 1 AND length > size(path)").withColumn("leaf", F.monotonically_increasing_id())
+    sizes = materialize(sizes, "leaves")
+    # dealt out by the number of words, since nearly all of a task's words are rows of its partial counts
+    parts = sizes.agg(F.ceil(F.sum((F.col("length") - depth) * F.col("rows")) / TASK_WORDS).cast("int")).first()[0]
+    rest = leaves.join(sizes, ["length", "path"]).select("leaf", "total", "n", F.expr(f"slice(words, {depth + 1}, length)").alias("rest"))
+    rest = rest.repartition(max(parts or 0, 1), F.xxhash64("leaf", "rest")).select("leaf", "total", "n", F.posexplode("rest").alias("pos", "word"))
+    counted = rest.groupBy("leaf", "total", "pos", "word").agg(F.sum("n").alias("here"))
     # every position has a row, if only with no words
-    stay = counted.groupBy("length", "path", "pos").agg(F.collect_set(F.when(_fixed("here", "total"), F.col("word"))).alias("stay"))
+    stay = counted.groupBy("leaf", "pos").agg(F.collect_set(F.when(_fixed("here", "total"), F.col("word"))).alias("stay"))
     listed = F.array_sort(F.collect_list(F.struct("pos", "stay")))
-    return stay.groupBy("length", "path").agg(F.transform(listed, lambda x: x["stay"]).alias("kept"))
+    kept = stay.groupBy("leaf").agg(F.transform(listed, lambda x: x["stay"]).alias("kept"))
+    return kept.join(sizes.select("leaf", "length", "path"), "leaf").drop("leaf")
 
 
 def labelled(df: DataFrame, depth: int = DEPTH) -> DataFrame:
