@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +17,37 @@ from vigil.functions import vectors as vx
 from vigil.schema import DEFAULT_DIM
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
+#: Words that the hash embedder counts at once (one text, if that has more).
+COUNTED = 1 << 19
 
 
 def hash_embedder(dim: int = DEFAULT_DIM) -> Embedder:
-    """Word counts in `dim` slots, scaled to length one. Runs in the JVM.
+    """Word counts in `dim` slots, scaled to length one.
 
-    A word's slot is the number in the first eight hexadecimal digits of its MD5, modulo `dim`.
+    A word's slot is the number in the first eight hexadecimal digits of its MD5, modulo `dim`. The different words
+    of a batch are hashed once, and a batch is counted in pieces of COUNTED words.
     """
 
+    @F.arrow_udf("array<float>")
+    def counted(words: pa.Array) -> pa.Array:
+        length = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(length)])
+        flat, row, out = words.flatten(), 0, np.zeros((len(words), dim), np.float32)
+        while row < len(words):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + COUNTED, side="right")) - 1)
+            names = flat.slice(at[row], at[end] - at[row]).dictionary_encode()
+            slots = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in names.dictionary.to_pylist()]
+            slot = np.array(slots, np.int64)[names.indices.to_numpy()]
+            own = np.repeat(np.arange(end - row), length[row:end])
+            counts = np.bincount(own * dim + slot, minlength=(end - row) * dim).reshape(-1, dim).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            out[row:end] = counts / np.where(norm > 0, norm, 1)
+            row = end
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim), pa.array(out.ravel()))
+
     def apply(df: DataFrame, text_column: str, out_column: str) -> DataFrame:
         words = F.filter(F.split(F.lower(F.coalesce(text_column, F.lit(""))), r"\s+"), lambda w: w != "")
-        slot = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
-        slots = [str(i) for i in range(dim)]
-        counter = CountVectorizerModel.from_vocabulary(slots, inputCol="_words", outputCol="_counts", minTF=1.0)
-        counted = counter.transform(df.withColumn("_words", F.transform(words, lambda w: slot(w).cast("string"))))
-        unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
-        return unit.withColumn(out_column, vector_to_array("_unit", "float32")).drop(
-            "_words", "_counts", "_unit"
-        )
+        return df.withColumn(out_column, counted(words))
 
     return apply
 
