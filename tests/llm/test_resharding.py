@@ -72,3 +72,44 @@ def test_rewrite(spark, many, tmp_path):
 
 def test_empty(empty):
     assert rs.reshard(empty, F.lit(0), shards=4).count() == 0
+
+
+def test_rewrite_by_blocks(spark, many, tmp_path):
+    """Rows of whole blocks are placed without matching; slots, sizes and whole rows are in the files."""
+    old = F.crc32(F.col("source").cast("binary"))
+    moved = rs.reshard(many, old, shards=10)
+    path = str(tmp_path / "out")
+    touched = rs.rewrite(many, moved, path, files=3, old_shard=old, shards=10)
+    names = ("doc_id", "size", "text_crc32", "shard", "slot")
+    told = lambda df: sorted((tuple(r) for r in df.select(*names).collect()), key=str)
+    assert told(rs.placed(many, moved, path, touched)) == told(moved)
+    back = spark.read.parquet(path)
+    plain = lambda df: sorted((tuple(r) for r in df.select(*many.columns).collect()), key=str)
+    assert touched == list(range(10)) and plain(back) == plain(many)
+    placed_old = {(r["doc_id"], r["shard"], r[rs.SLOT]): r["source"] for r in back.collect()}
+    of = {r["source"]: r["old"] for r in many.select("source", rs._old(old, 10)).distinct().collect()}
+    assert all(of[placed_old[r["doc_id"], r["shard"], r["slot"]]] == r["old"] for r in moved.collect())
+
+
+def test_query_rewrites_the_affected_shards(spark, many, tmp_path):
+    from pathlib import Path
+
+    from vigil.llm.queries import QUERIES
+
+    docs = many.drop("slot")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(base.glob("shards-*"))
+    rows = QUERIES["op8_resharding"](spark, str(tmp_path)).collect()
+    (made,) = set(base.glob("shards-*")) - before
+    back = spark.read.parquet(str(made))
+    assert sorted((tuple(r) for r in back.select(*docs.columns).collect()), key=str) == sorted((tuple(r) for r in docs.collect()), key=str)
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in rows} == {(r["doc_id"], r["shard"], r[rs.SLOT]) for r in back.collect()}
+    assert len(rows) == docs.count()
+
+
+def test_query_on_an_empty_table(spark, empty, tmp_path):
+    from vigil.llm.queries import QUERIES
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["op8_resharding"](spark, str(tmp_path)).count() == 0

@@ -7,7 +7,9 @@ byte that moves costs one, says how many bytes go where. Blocks that lie within
 flow move whole; only the few blocks at the borders of parts are cut, by running sums of
 document sizes within the block, so a new shard misses its capacity by about one document for each
 part. Slots are numbered per shard and block with offsets from the block counts. Nothing is
-ever sorted over a whole shard. `rewrite` writes the files of the shards that gained or lost rows.
+ever sorted over a whole shard. `rewrite` writes the files of the shards that gained or lost rows, texts and all:
+rows of a block that moves whole find their shard by the block, only those of cut blocks are matched one by one,
+so that a text is shuffled once, to its new file. `placed` reads the rows' places back from the files.
 
 Defined cases: a null text has 0 bytes and the CRC of the empty text; null ids are placed like all
 others; repeated rows are rows of their own, in a fixed order by id, CRC and size; a null old shard
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vigil.llm import common
@@ -25,6 +28,10 @@ from vigil.llm import common
 #: Blocks of an old shard. Shards times blocks rows are collected.
 BLOCKS = 512
 ROW_BYTES = 16
+#: Bytes of documents in a file of a shard, about.
+FILE_BYTES = 32 << 20
+#: The column of a shard's files that holds the slot.
+SLOT = "__slot"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -86,16 +93,27 @@ def _parts(flow_row: list[int], own: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def narrow(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, old, block of every row."""
+def _measured(id_col: str, text_col: str) -> list[Column]:
+    """doc_id, size, text_crc32 of a document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(
+    return [
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.coalesce(old_shard.cast("long"), F.lit(0)), F.lit(shards)).cast("int").alias("old"),
-    )
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)).cast("int"))
+    ]
+
+
+def _old(old_shard: Column, shards: int) -> Column:
+    return F.pmod(F.coalesce(old_shard.cast("long"), F.lit(0)), F.lit(shards)).cast("int").alias("old")
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BLOCKS)).cast("int")
+
+
+def narrow(docs: DataFrame, old_shard: Column, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, old, block of every row."""
+    return docs.select(*_measured(id_col, text_col), _old(old_shard, shards)).withColumn("block", _block())
 
 
 def reshard(
@@ -149,21 +167,56 @@ def affected(moved: DataFrame) -> list[int]:
     return sorted(r["shard"] for r in changed.distinct().collect())
 
 
-def rewrite(docs: DataFrame, moved: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", files: int = 8) -> list[int]:
-    """Write the documents of the affected shards to path/shard=N, `files` files each; returns those shards.
+def rewrite(
+    docs: DataFrame, moved: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", files: int | None = None,
+    old_shard: Column | None = None, shards: int = 40,
+) -> list[int]:
+    """Write the documents of the affected shards and their slots to path/shard=N, about `files` files each; returns those shards.
 
-    Rows are matched by id and CRC of the text, rows with equal ids and texts by number.
+    moved: of `reshard`. With its `old_shard` and `shards`, rows of blocks that have one new shard are not matched; without,
+    and in the other blocks, rows are matched by id, size and CRC of the text, rows with equal ones by number.
     """
-    shards = affected(moved)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    by = Window.partitionBy("__id", "__crc")
-    left = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")).withColumn("__crc", crc)
-    left = left.withColumn("__n", F.row_number().over(by.orderBy(F.lit(0))))
-    right = moved.select(F.col("doc_id").alias("__id2"), F.col("text_crc32").alias("__crc2"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    right = right.withColumn("__n2", F.row_number().over(Window.partitionBy("__id2", "__crc2").orderBy("__slot")))
-    both = left.join(right, F.expr("__id <=> __id2 AND __crc = __crc2 AND __n = __n2")).where(F.col("__shard").isin(shards))
-    salted = both.repartition(max(1, len(shards) * files), "__shard", F.pmod("__slot", F.lit(files)))
-    out = salted.sortWithinPartitions("__shard", "__slot").select(F.col("__shard").alias("shard"), *[docs[c] for c in docs.columns if c != "shard"])
+    touched = affected(moved)
+    moved = moved.withColumn("block", _block())
+    if files is None:
+        total = moved.where(F.col("shard").isin(touched)).agg(F.sum("size")).first()[0] or 0
+        files = max(1, -(-total // (FILE_BYTES * max(1, len(touched)))))
+    same = ["doc_id", "size", "text_crc32"]
+    # the rows of docs, as one column beside the others: its columns may have any name
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("row")
+    rows = docs.select(*_measured(id_col, text_col), whole_row, *([] if old_shard is None else [_old(old_shard, shards)]))
+    rows = rows.withColumn("block", _block())
+    columns = ("row", *same, "old", "block", "shard")
+    found = None
+    if old_shard is not None:
+        # at most shards * BLOCKS rows
+        ways = moved.groupBy("old", "block").agg(F.min("shard").alias("shard"), F.max("shard").alias("other"))
+        known = rows.join(F.broadcast(ways), ["old", "block"])
+        found = known.where("shard = other").select(*columns)
+        rows = known.where("shard != other").drop("shard", "other")
+        moved_ = moved.join(F.broadcast(ways.where("shard != other").select("old", "block")), ["old", "block"])
+        same += ["old"]
+    else:
+        moved_ = moved
+    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))).alias("l")
+    places = moved_.withColumn("n", F.row_number().over(Window.partitionBy(*same).orderBy("shard", "slot"))).alias("r")
+    match = " AND ".join(f"l.{c} <=> r.{c}" for c in [*same, "n"])
+    matched = numbered.join(places, F.expr(match)).select("row", *[f"r.{c}" for c in columns[1:]])
+    found = (matched if found is None else found.unionByName(matched)).where(F.col("shard").isin(touched))
+    # a block's rows of one shard have consecutive slots; they stay together, so texts are shuffled and sorted once
+    group = ["shard", "file", "old", "block"]
+    dealt = found.withColumn("file", F.pmod("block", F.lit(files))).repartition(max(1, len(touched) * files), "shard", "file")
+    firsts = moved.groupBy("shard", "old", "block").agg(F.min("slot").alias("first"))
+    at = F.row_number().over(Window.partitionBy(*group).orderBy("doc_id", "text_crc32", "size"))
+    slots = dealt.withColumn("at", at).join(F.broadcast(firsts), ["shard", "old", "block"])
+    out = slots.select("shard", "row.*", (F.col("first") + F.col("at") - 1).alias(SLOT))
     out.write.partitionBy("shard").parquet(path)
-    return shards
+    return touched
+
+
+def placed(docs: DataFrame, moved: DataFrame, path: str, touched: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every row: of the shards `touched` from the files of `rewrite`, else from `moved`."""
+    fields = [f for f in docs.schema.fields if f.name != "shard"] + [T.StructField(SLOT, T.LongType()), T.StructField("shard", T.IntegerType())]
+    files = docs.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+    back = files.select(*_measured(id_col, text_col), "shard", F.col(SLOT).alias("slot"))
+    return back.unionByName(moved.where(~F.col("shard").isin(touched)).select(*back.columns))
