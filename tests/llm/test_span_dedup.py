@@ -96,3 +96,17 @@ def test_edge_cases(docs, clashing, empty):
     assert texts[1] == "" and texts[9] == "one two three"
     kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup(docs).collect()}
     assert kept[0] == b"" and kept[8] == b"one"
+
+
+def test_a_common_phrase_makes_no_common_bucket(spark):
+    """Texts that share less than half a window share no bucket, so no context of theirs is read or sorted."""
+    rng = random.Random(22)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    rows = [(i, noise(300) + " the phrase that many texts have in common " + noise(300), i) for i in range(200)]
+    found = suffix_dedup.suffixes(spark.createDataFrame(rows, "doc_id long, text string, key long")).collect()
+    assert len({r["node"] for r in found}) == len(found)
+    # every suffix is in one run
+    starts = defaultdict(list)
+    for r in found:
+        starts[r["doc_id"]] += range(r["a"], r["b"] + 1)
+    assert all(sorted(starts[i]) == list(range(len(t) - 199)) for i, t, _ in rows)

@@ -1,8 +1,10 @@
 """Repeated byte strings of 200 bytes by suffix sorting in buckets, with difference-cover ranks for ties.
 
 The suffixes of all texts fall into buckets by content: the 16-byte string with the least hash among
-the first 200 bytes of a suffix. Suffixes that agree in 200 bytes are in one bucket, at the same offset
-from that string. A bucket's members that stand together in a text share a context, the bytes that
+the first 200 bytes of a suffix, and the bytes beside it. Suffixes that agree in 200 bytes choose the same string at
+the same distance; if they begin at most 92 bytes ahead of it, they have the 92 bytes behind it in common,
+else the 93 bytes before it. These bytes belong to the bucket's content, since 16 bytes of prose
+alone occur again by chance, the more often the larger the table is. A bucket's members that stand together in a text share a context, the bytes that
 all of them cover; equal contexts are counted first, by partial aggregates, and copies of a context
 need no sorting. Only buckets with several contexts are sorted, one at a time, and only one
 source of each context takes part. There the suffixes are compared by their first bytes up
@@ -43,18 +45,36 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 
 def suffixes(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, key, node, context, o, a, b: the runs of suffixes of one bucket in each text."""
+    half = (window - k) // 2
+
+    def sides(data, first, own, o, a, b):
+        """(row, node, context, o, a, b) of the runs, cut where the distance to the string exceeds `half`."""
+        base = first[own]
+        for side in (0, 1):
+            some = np.flatnonzero(o > half if side else a + o - b <= half)
+            at = base[some] + a[some] + o[some]
+            begin, end = base[some] + a[some], base[some] + b[some]
+            if side:  # all of the run's suffixes begin before at - half and cover the string
+                end = np.minimum(end, at - half - 1)
+                node = flat.span_hash(data, at - half - 1, at + k, flat.BYTE)
+            else:  # they begin from at - half on, at the string at last
+                begin = np.maximum(begin, at - half)
+                node = flat.span_hash(data, at, at - half + window, flat.BYTE)
+            context = flat.mix(flat.span_hash(data, begin, end + window, flat.BYTE) + (at - begin).astype(np.uint64))
+            yield own[some], node.view(np.int64), context.view(np.int64), at - begin, begin - base[some], end - base[some]
 
     def run(batches):
         for batch in batches:
             data, offsets = common.bytes_of(batch.column(2))
             for r0, r1, part, at in common.slices(data, offsets, SLICE):
-                own, node, context, o, a, b = anchors.anchors(part, at, k, window, flat.BYTE)
-                rows = pa.array(own + r0)
-                yield pa.record_batch(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(node), pa.array(context)]
-                    + [pa.array(x.astype(np.int32)) for x in (o, a, b)],
-                    ["doc_id", "key", "node", "context", "o", "a", "b"],
-                )
+                own, _, _, *run_ = anchors.anchors(part, at, k, window, flat.BYTE)
+                for own, node, context, o, a, b in sides(part, at, own, *run_):
+                    rows = pa.array(own + r0)
+                    yield pa.record_batch(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(node), pa.array(context)]
+                        + [pa.array(x.astype(np.int32)) for x in (o, a, b)],
+                        ["doc_id", "key", "node", "context", "o", "a", "b"],
+                    )
 
     return docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "key", "text").mapInArrow(
         run, "doc_id long, key long, node long, context long, o int, a int, b int"
